@@ -169,18 +169,24 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
 
 
 def encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "token_ids", decoded_col: str = "decoded") -> DataFrame:
-    """The documents with their ids (array<int>) and the decoded text."""
-    from pyspark.sql import functions as F
+    """The documents in their own columns, with their ids (array<int>) and the text decoded from these."""
+    import numpy as np
     from pyspark.sql import types as T
 
     small_batches(docs.sparkSession)
+    at = docs.columns.index(text_col)
+    schema = T.StructType([*docs.schema.fields, T.StructField(ids_col, T.ArrayType(T.IntegerType(), False)), T.StructField(decoded_col, T.StringType())])
+    names = schema.names
 
-    @F.pandas_udf(T.StructType().add("ids", T.ArrayType(T.IntegerType())).add("decoded", T.StringType()))
-    def both(texts):
-        import pandas as pd
-
+    def run(batches):
         v, recent = vocabulary(path)
-        ids = [array("i", encode_bytes(t or "", v, recent)) for t in texts]
-        return pd.DataFrame({"ids": [list(i) for i in ids], "decoded": [v.decode(i) for i in ids]})
-
-    return docs.withColumn("_bpe", both(text_col)).withColumn(ids_col, F.col("_bpe.ids")).withColumn(decoded_col, F.col("_bpe.decoded")).drop("_bpe")
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 250):
+                b = batch.slice(lo, 250)
+                raws = [encode_bytes(t or "", v, recent) for t in b.column(at).to_pylist()]
+                ends = np.cumsum([0, *(len(r) // 4 for r in raws)]).astype(np.int32)
+                ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(raws), np.int32)))
+                decoded = pa.array([v.decode(array("I", r)) for r in raws], pa.string())
+                yield pa.RecordBatch.from_arrays([*b.columns, ids, decoded], names)
+
+    return docs.mapInArrow(run, schema)
