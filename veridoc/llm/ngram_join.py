@@ -39,9 +39,9 @@ from veridoc.llm.components import Forest, connected
 from veridoc.llm.textbytes import MIX_LOWER, U, blend, buffers, running, slices, span, word_bounds
 
 N = 5
-SLICE = 1 << 20
+SLICE = 1 << 19
 FREQUENT = 1 << 17
-BLOCK = 1 << 21  # shingles counted, or packed, at once
+BLOCK = 1 << 20  # shingles counted, or packed, at once
 CHUNK = 4096
 GAP = np.zeros(256, bool)
 GAP[[9, 10, 11, 12, 13, 32]] = True
@@ -317,7 +317,7 @@ def open_groups(batches):
         else:
             queries.append((key, s))
             held += s.size
-            if held > 1 << 22:  # queries pass by in blocks
+            if held > 1 << 20:  # queries pass by in blocks
                 if own and (found := links(own, queries)):
                     yield out(found)
                 queries, held = [], 0
@@ -347,7 +347,7 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     # The matrix, and pairs of groups that share enough of it.
     total = described.agg(F.sum("n")).first()[0] or 0
-    buckets = max(partitions(spark), int(total * 0.3 * 18 / (24 << 20)) + 1)
+    buckets = max(partitions(spark), int(total * 0.3 * 18 / (12 << 20)) + 1)
     packed = texts.select("text").mapInArrow(matrix_rows(order, buckets), "bucket bigint, rows binary")
     pairs = packed.groupBy("bucket").applyInArrow(bucket_pairs, "g1 bigint, g2 bigint, shared bigint").groupBy("g1", "g2").agg(F.sum("shared").alias("shared"))
     a = groups.select(F.col("g").alias("g1"), F.col("sets").alias("k1"), F.col("least").alias("a1"), F.col("most").alias("b1"))
@@ -386,7 +386,7 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 gs.append(signed(g))
                 raws.append(own.tobytes())
                 held += own.nbytes
-                if held > 8 << 20:
+                if held > 4 << 20:
                     yield pa.RecordBatch.from_arrays([pa.array(gs, pa.int64()), pa.array(keys, pa.int64()), pa.array(raws, pa.binary())], ["g", "s", "raw"])
                     keys, gs, raws, held = [], [], [], 0
             if keys:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veridoc.llm import bpe, decontaminate, fingerprint, html_main, ngram_join, pii, quality, tokenfile, url_filter
+from veridoc.llm import bpe, decontaminate, fingerprint, html_main, ngram_join, pii, quality, suffix_dedup, tokenfile, url_filter
 from veridoc.llm.common import partitions, table
 
 
@@ -19,6 +19,10 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar_sets(table(spark, sf_dir, "documents"))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup_report(table(spark, sf_dir, "documents"))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), word_bpe())
 
@@ -60,7 +64,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_join, op3_bpe, op4_quality, op5_html, op6_url_filter, op7_decontaminate, op8_token_files, op9_fingerprint, op10_pii)}
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_suffix_dedup, op3_bpe, op4_quality, op5_html, op6_url_filter, op7_decontaminate, op8_token_files, op9_fingerprint, op10_pii)}
 SQL: dict[str, str] = {}
 
 
