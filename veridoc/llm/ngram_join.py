@@ -97,7 +97,8 @@ class Order:
             if hit.any():
                 common = own[hit][np.argsort(self.rank[i[hit]], kind="stable")]
                 rest = own[~hit]
-        group = int(common.min()) if common.size * 2 >= n else int(rest[0])
+        least = common.min() if common.size * 2 >= n else rest[0]
+        group = int(blend(least.reshape(1))[0])  # spread again: a least hash is small
         k = prefix_size(n)
         return (rest[:k] if rest.size >= k else np.concatenate([rest, common[: k - rest.size]])), group
 
