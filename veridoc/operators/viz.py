@@ -1,0 +1,233 @@
+"""Visual zone: captions, values beside or below them, dates, names, numbers, document kinds."""
+
+from __future__ import annotations
+
+from difflib import SequenceMatcher
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+# Captions by field, in order of preference; the order decides ties.
+ALIASES = {
+    "full_name": ["full name", "holder name", "name of holder", "фио", "ф.и.о", "фамилия имя отчество", "полное имя", "to'liq ism", "to‘liq ism", "adı soyadı", "ad soyad", "толық аты-жөні", "ному насаб", "姓名"],
+    "document_number": ["passport no", "passport number", "document no", "номер паспорта", "паспорт №", "pasaport no", "pasaport numarası", "pasport raqami", "құжат №", "护照号码", "护照号"],
+    "surname_viz": ["surname", "surnane", "last name", "фамилия", "familiya", "famillya", "soyadı", "тегі", "насаб", "姓"],
+    "given_names_viz": ["given names", "given name", "имя", "имена", "ismi", "isml", "adı", "ism", "аты", "ном", "名"],
+    "patronymic": ["отчество", "otasining ismi", "otatieing ismi", "patronymic", "patronyg"],
+    "nationality": ["nationality", "гражданство", "fuqaroligi", "uyruğu", "ұлты", "шаҳрвандӣ", "国籍"],
+    "birth_date": ["date of birth", "birth date", "oatecf bith", "дата рождения", "tug'ilgan sana", "tuggan sanasi", "doğum tarihi", "туған күні", "санаи таваллуд", "出生日期"],
+    "birth_place": ["place of birth", "место рождения", "tug'ilgan joyi", "doğum yeri", "туған жері", "ҷои таваллуд", "出生地点", "出生地"],
+    "sex": ["sex", "gender", "пол", "jinsi", "cinsiyeti", "жынысы", "ҷинс", "性别"],
+    "issue_date": ["date of issue", "issue date", "дата выдачи", "berilgan sana", "veriliş tarihi", "берілген күні", "санаи дода шудан", "签发日期"],
+    "expiry_date": ["date of expiry", "expiry date", "valid until", "срок действия", "действителен до", "amal qilish muddati", "son geçerlilik", "жарамдылық мерзімі", "эътибор дорад то", "有效期至", "有效期"],
+    "issuing_authority": ["authority", "issued by", "орган выдачи", "кем выдан", "bergan organ", "veren makam", "берген орган", "мақомот", "签发机关", "签发地点"],
+    "personal_number": ["personal no", "personal number", "personal code", "identity no", "identity number", "identification no", "national id", "id no", "1o number", "персональный номер", "личный номер", "идентификационный номер", "идентификация №", "shaxsiy raqami", "shaxsiy raqam", "shaxsly ragam", "pinfl", "пинфл", "jshshir", "жшшір", "tc kimlik no", "t.c. kimlik no", "kimlik no", "iin", "иин", "жсн", "身份证号码", "公民身份号码"],
+    "tax_number": ["tax identification number", "taxpayer identification number", "tax id", "tax number", "tin", "inn", "i n n", "инн", "и н н", "инн / inn", "стир", "stir", "налоговый номер", "идентификационный номер налогоплательщика", "soliq raqami", "солиқ рақами", "vergi kimlik no", "vergi numarası", "салық нөмірі"],
+    "issue_place": ["place of issue", "место выдачи", "berilgan joyi", "veriliş yeri", "берілген жері", "ҷои дода шудан", "签发地点"],
+    "authority_code": ["authority code", "код подразделения", "код органа", "bergan organ kodi", "makam kodu", "орган коды"],
+    "document_type_viz": ["type", "тип", "turi", "türü", "түрі", "навъ", "类型"],
+    "issuing_state_viz": ["country code", "код государства", "davlat kodi", "ülke kodu", "мемлекет коды", "国家码"],
+}
+NAME_FIELDS = ("full_name", "surname_viz", "given_names_viz", "patronymic")
+LETTER_FIELDS = ("surname_viz", "given_names_viz", "patronymic", "birth_place", "issuing_authority", "issue_place")
+COUNTRIES = ("AUTO", "CHN", "UZB", "RUS", "TUR", "KAZ", "TJK")
+SEXES = ("m", "f", "м", "ж", "male", "female", "муж", "жен", "erkak", "ayol", "e", "k")
+SIGNATURES = ("signature", "подпись", "imzo", "imzosi")
+# Personal numbers by country, and month names.
+PERSONAL = {"CHN": r"\d{17}[0-9Xx]", "UZB": r"\d{14,15}", "TUR": r"[1-9]\d{10}", "KAZ": r"\d{12}"}
+MONTHS = "JAN FEB MAR APR MAY JUN JUL AUG SEP OCT NOV DEC".split()
+# Surname romanisations.
+SURNAMES = "OUYANG SITU SIMA SHANGGUAN ZHUGE ZHANG WANG HUANG ZHOU ZHENG ZHAO ZHU ZHONG CHEN CHENG DENG DING DONG FANG FENG GAO GONG GUO HAN HE HU JIANG KONG LAI LEI LI LIANG LIAO LIN LIU LONG LU LUO MA MAO MENG PAN PENG QIAN QIN REN SHEN SHI SONG SUN TAN TANG TIAN WAN WEI WU XIA XIAO XIE XIONG XU XUE YAN YANG YAO YE YI YU YUAN ZENG ZHAI ZHAN ZHI ZOU".split()
+BOX = ["x1", "y1", "x2", "y2"]
+
+
+def norm(text: Column) -> Column:
+    """Case folded, white space collapsed.  Non-ASCII compatibility forms go through ``norm_full``."""
+    return F.trim(F.regexp_replace(F.replace(F.replace(F.lower(text), F.lit("ё"), F.lit("е")), F.lit("ß"), F.lit("ss")), r"(?U)\s+", " "))
+
+
+def norm_full(text: Column) -> Column:
+    """The same after NFKC; only texts that are not plain ASCII reach the vectorised function."""
+    @F.pandas_udf("string")
+    def nfkc(s: pd.Series) -> pd.Series:
+        return s.str.normalize("NFKC").str.casefold()
+
+    return F.when(F.octet_length(text) == F.char_length(text), norm(text)).otherwise(norm(nfkc(text)))
+
+
+def aliases(spark: SparkSession) -> DataFrame:
+    """The caption dimension (under 200 rows): field, field_ord, alias, alias_ord, len, cjk, pattern, compact."""
+    import re
+
+    rows = []
+    for f, (field, names) in enumerate(ALIASES.items()):
+        for a, alias in enumerate(names):
+            cjk = any("一" <= c <= "鿿" for c in alias)
+            edge = lambda c, side: side if c.isalnum() else ""
+            pattern = f"^{re.escape(alias)}" if cjk else edge(alias[0], r"(?U)(?<!\w)") + re.escape(alias) + edge(alias[-1], r"(?!\w)")
+            rows.append((field, f, alias, a, len(alias), cjk, pattern, "".join(c for c in alias if c.isalnum() or c == "_")))
+    return spark.createDataFrame(rows, "field string, field_ord int, alias string, alias_ord int, len int, cjk boolean, pattern string, compact string")
+
+
+def label_match(items: DataFrame) -> DataFrame:
+    """field and alias of each item that is a caption: contained captions first (the longest), then joined ones; the first field wins.
+
+    The dimension is a literal of under 200 rows, so it is broadcast; its size does not grow with the data.
+    """
+    dim = F.broadcast(aliases(items.sparkSession))
+    t = items.withColumn("_n", norm(F.col("text"))).withColumn("_c", F.regexp_replace("_n", r"(?U)\W", ""))
+    inside = F.when(F.col("cjk"), F.col("_n").startswith(F.col("alias"))).otherwise(F.col("_n").contains(F.col("alias")) & F.expr("regexp_like(_n, pattern)"))
+    joined = (F.length("compact") >= 6) & F.col("_c").startswith(F.col("compact")) & (F.length("_c") <= F.length("compact") + 14)
+    tier = F.when(inside, 1).when(joined, 2)
+    hits = t.join(dim, F.col("_n").contains(F.col("alias")) | F.col("_c").startswith(F.col("compact"))).withColumn("tier", tier).where("tier is not null")
+    best = F.min(F.struct("field_ord", "tier", (-F.col("len")).alias("l"), "alias_ord", "field", "alias"))
+    return hits.groupBy("doc_id", "item_idx").agg(best.alias("b")).select("doc_id", "item_idx", "b.field", "b.alias", F.col("b.tier").cast("long").alias("tier"))
+
+
+def label_match_fuzzy(items: DataFrame, least: float = 0.84) -> DataFrame:
+    """The third tier: captions with OCR damage, by matching-block ratio; only items that no other tier takes reach Python."""
+    names = [(f, a) for f, al in ALIASES.items() for a in al if len(a) >= 6]
+
+    @F.pandas_udf("struct<field:string,alias:string,ratio:double>")
+    def best(texts: pd.Series) -> pd.DataFrame:
+        def one(t: str):
+            found: dict[str, tuple[float, str]] = {}
+            for f, a in names:
+                # the ratio is at most 2 * shorter / sum of lengths
+                if t and 2 * min(len(t), len(a)) / (len(t) + len(a)) >= least and f not in found or f in found:
+                    r = SequenceMatcher(None, t, a).ratio()
+                    if r >= least and (f not in found or r > found[f][0]):
+                        found[f] = (r, a)
+            f = next((f for f in ALIASES if f in found), None)
+            return (f, found[f][1], round(found[f][0], 6)) if f else (None, None, None)
+
+        return pd.DataFrame([one(t or "") for t in texts], columns=["field", "alias", "ratio"])
+
+    rest = items.join(label_match(items).select("doc_id", "item_idx"), ["doc_id", "item_idx"], "left_anti").where(F.length("text") <= 60)
+    caption = F.regexp_replace(F.regexp_extract(norm(F.col("text")), r"^([^:;|/]*)", 1), r"^[ /.\-—]+|[ /.\-—]+$", "")
+    return rest.withColumn("b", best(caption)).where("b.field is not null").select("doc_id", "item_idx", "b.*")
+
+
+def inline_value(text: Column, alias: Column) -> Column:
+    n = norm(text)
+    at = F.instr(n, alias)
+    tail = F.substring(n, at + F.length(alias), F.length(n))
+    slashed = F.instr(tail, F.lit("/")) > 0
+    value = F.regexp_replace(tail, r"^[ /:;·.\-—]+|[ /:;·.\-—]+$", "")
+    bad = (at == 0) | tail.rlike(r"(?U)^[\p{L}\p{Nd}]") | (slashed & ~F.substring_index(tail, "/", 1).contains(":")) | (F.length(value) < 2)
+    return F.when(bad, "").otherwise(value)
+
+
+def is_date(compact: Column) -> Column:
+    part = lambda a, n: F.substring(compact, a, n)
+    ok = lambda y, m, d: F.try_to_date(F.concat_ws("-", y, m, d), "yyyy-MM-dd").isNotNull()
+    return F.when(compact.rlike(r"^\d{6}$"), ok(F.concat(F.lit("20"), part(1, 2)), part(3, 2), part(5, 2))).when(
+        compact.rlike(r"^\d{8}$"), ok(part(5, 4), part(3, 2), part(1, 2)) | ok(part(1, 4), part(5, 2), part(7, 2))).otherwise(False)
+
+
+def valid_candidate(field: Column, text: Column) -> Column:
+    """Whether a text can be the value of a field."""
+    v = F.regexp_replace(text, r"^[ /:;·.\-—]+|[ /:;·.\-—]+$", "")
+    digits = F.length(F.regexp_replace(v, r"\D", ""))
+    n = norm(v)
+    every = [a for names in ALIASES.values() for a in names]
+    name_ok = ~n.rlike("|".join(SIGNATURES)) & ~v.rlike(r"\d") & ~n.isin(every) & ~F.upper(v).isin(*COUNTRIES)
+    letters = F.length(F.regexp_replace(v, r"[^\p{L}]", "")) >= 2
+    plain = F.length(F.regexp_replace(v, r"\s", ""))
+    rule = (
+        F.when(field.isin("personal_number", "tax_number"), digits.between(9, 18) & (digits >= F.length(F.regexp_replace(v, "[ -]", "")) * 0.7))
+        .when(field.isin("birth_date", "issue_date", "expiry_date"), is_date(F.regexp_replace(v, r"[ ./-]", "")))
+        .when(field == "sex", n.isin(*SEXES)).when(field.isin(*LETTER_FIELDS), letters)
+        .when(field.isin("document_number", "authority_code"), v.rlike(r"\d") & plain.between(3, 24)).otherwise(F.length(v) >= 2)
+    )
+    return (F.length(v) >= 1) & (~field.isin(*NAME_FIELDS) | name_ok) & rule
+
+
+def nearest_value(labels: DataFrame, items: DataFrame) -> DataFrame:
+    """For each caption, the nearest valid item right of it or below it.
+
+    labels: doc_id, field, item_idx; items: doc_id, item_idx, text, score, box.  An equi-join on the page
+    (a page's items are few) with range conditions; the least distance wins, then the earlier item.
+    """
+    box = [F.col(c).alias(f"l{c}") for c in BOX]
+    lab = labels.join(items.select("doc_id", "item_idx", F.col("score").alias("label_score"), *box), ["doc_id", "item_idx"]).withColumnRenamed("item_idx", "label_idx")
+    free = items.join(labels.select("doc_id", "item_idx"), ["doc_id", "item_idx"], "left_anti")
+    j = lab.join(free, "doc_id").where(valid_candidate(F.col("field"), F.col("text")))
+    c = F.col
+    lh, h = F.greatest(c("ly2") - c("ly1"), F.lit(1.0)), F.greatest(c("y2") - c("y1"), F.lit(1.0))
+    overlap = F.greatest(F.lit(0.0), F.least("ly2", "y2") - F.greatest("ly1", "y1")) / F.least(lh, h)
+    right = (c("x1") >= c("lx2") - 10) & (overlap > 0.35)
+    below = (c("y1") >= c("ly2") - 5) & (c("y1") - c("ly2") < lh * 2.8) & (F.abs(c("x1") - c("lx1")) < F.greatest(F.lit(180.0), (c("lx2") - c("lx1")) * 0.8))
+    d = F.when(right, F.greatest(F.lit(0.0), c("x1") - c("lx2")) + F.abs((c("y1") + c("y2")) / 2 - (c("ly1") + c("ly2")) / 2) * 2).when(below, (c("y1") - c("ly2")) * 2 + F.abs(c("x1") - c("lx1")))
+    best = j.withColumn("d", d).where("d is not null").groupBy("doc_id", "field", "label_idx", "label_score").agg(F.min(F.struct("d", "item_idx", "text", "score")).alias("b"))
+    conf = F.round(F.least("label_score", c("b.score") * F.greatest(F.lit(0.72), 1 - c("b.d") / 1200)), 3)
+    return best.select("doc_id", "field", F.col("b.item_idx").cast("long").alias("value_idx"), F.col("b.text").alias("value"), F.col("b.d").alias("distance"), conf.alias("confidence"))
+
+
+def reading_order(labels: DataFrame, items: DataFrame, reach: int = 6) -> DataFrame:
+    """The first valid item among the next ``reach`` in reading order; not for names."""
+    w = Window.partitionBy("doc_id").orderBy("y1", "x1", "item_idx")
+    placed = items.withColumn("p", F.row_number().over(w))
+    lab = labels.where(~F.col("field").isin(*NAME_FIELDS)).join(placed.select("doc_id", "item_idx", F.col("p").alias("lp"), F.col("score").alias("ls")), ["doc_id", "item_idx"]).drop("item_idx")
+    free = placed.join(labels.select("doc_id", "item_idx"), ["doc_id", "item_idx"], "left_anti")
+    j = lab.join(free, "doc_id").where(F.col("p").between(F.col("lp") + 1, F.col("lp") + reach) & valid_candidate(F.col("field"), F.col("text")))
+    best = j.groupBy("doc_id", "field", "ls").agg(F.min(F.struct("p", "text", "score")).alias("b"))
+    return best.select("doc_id", "field", F.trim("b.text").alias("value"), F.round(F.least("ls", "b.score", F.lit(0.82)), 3).alias("confidence"))
+
+
+def ocr_date(text: Column) -> Column:
+    """ISO date of a printed one: a month name with day and year around it, or day, month and year in numbers."""
+    compact = F.regexp_replace(F.regexp_replace(F.upper(text), r"\s", ""), r"0CT(?=\d{4}\b)", "OCT")
+    name = F.regexp_extract(compact, "(" + "|".join(MONTHS) + ")", 1)
+    month = F.array_position(F.array(*map(F.lit, MONTHS)), name).cast("int")
+    at = F.instr(compact, name)
+    before = F.regexp_replace(F.substring(compact, F.lit(1), at - 1), r"\D", "")
+    after = F.regexp_replace(F.substring(compact, at + 3, F.length(compact)), r"\D", "")
+    md = month.cast("string")
+    less = F.substring(before, F.lit(1), F.length(before) - F.length(md))
+    day_in = lambda s: F.coalesce(s.try_cast("long").between(1, 31), F.lit(False))
+    before = F.when(before.endswith(md) & (F.length(before) > F.length(md)) & day_in(less), less).otherwise(before)
+    iso = lambda y, m, d: F.date_format(F.try_to_date(F.concat_ws("-", y, F.lpad(m, 2, "0"), F.lpad(d, 2, "0")), "yyyy-MM-dd"), "yyyy-MM-dd")
+    day = F.substring(before, -2, 2)
+    numeric = r"(?<!\d)(\d{1,2})[./-](\d{1,2})[./-](\d{4})(?!\d)"
+    g = lambda i: F.regexp_extract(text, numeric, i)
+    by_number = F.when(text.rlike(numeric), iso(g(3), g(2), g(1)))
+    return F.when((name != "") & (F.length(after) < 4), F.lit(None).cast("string")).when((name != "") & day_in(day), iso(F.substring(after, -4, 4), md, day)).otherwise(by_number)
+
+
+def split_name(value: Column) -> Column:
+    """struct(surname, given_names): by a comma, else by the longest known surname before two letters or more."""
+    up = F.upper(value)
+    comma = r"^\s*([A-Z][A-Z' -]{1,30}?)\s*[,，]\s*([A-Z][A-Z' -]{1,40})\s*$"
+    compact = F.regexp_replace(up, "[^A-Z]", "")
+    known = F.array(*[F.lit(s) for s in sorted(SURNAMES, key=len, reverse=True)])
+    hit = F.get(F.filter(known, lambda s: compact.startswith(s) & (F.length(compact) - F.length(s) >= 2)), F.lit(0))
+    one = lambda a, b: F.struct(a.alias("surname"), b.alias("given_names"))
+    squeeze = lambda c: F.trim(F.regexp_replace(c, r"\s+", " "))
+    return F.when(up.rlike(comma), one(squeeze(F.regexp_extract(up, comma, 1)), squeeze(F.regexp_extract(up, comma, 2)))).when(hit.isNotNull(), one(hit, F.substring(compact, F.length(hit) + 1, F.length(compact))))
+
+
+def personal_number(items: DataFrame, country: str) -> DataFrame:
+    """doc_id, number, confidence where a page has exactly one distinct number of the country's form."""
+    pattern = rf"(?<!\d){PERSONAL[country]}(?!\d)"
+    each = items.select("doc_id", "score", F.explode(F.regexp_extract_all(F.regexp_replace("text", r"[\s.-]", ""), F.lit(pattern), F.lit(0))).alias("number"))
+    return each.groupBy("doc_id").agg(F.min("number").alias("number"), F.max("number").alias("m"), F.round(F.least(F.max("score"), F.lit(0.78)), 3).alias("confidence")).where("number = m").drop("m")
+
+
+def classify(items: DataFrame) -> DataFrame:
+    """doc_id, kind: the visual document, by priority."""
+    up = F.upper("text")
+    has = lambda *words: F.max(up.rlike("|".join(words)))
+    flags = items.groupBy("doc_id").agg(has("PASSPORT").alias("p"), has("姓名").alias("n"), has("VISA").alias("v"), has("TAIWAN", "台湾居民").alias("t"), has("IDENTITY CARD", "KIMLIK KARTI", "KİMLİK KARTI").alias("c"))
+    kind = F.when(F.col("p") & F.col("n"), "PASSPORT").when(F.col("v"), "VISA").when(F.col("t"), "TAIWAN_TRAVEL_PERMIT").when(F.col("c"), "ID_CARD")
+    return flags.select("doc_id", kind.alias("kind")).where("kind is not null")
+
+
+def mapping_audit(items: DataFrame, labels: DataFrame, fields: DataFrame) -> DataFrame:
+    """Per item: the fields it is a caption of or whose value it holds, and its role."""
+    by_label = labels.select("doc_id", "item_idx", "field", F.lit("label").alias("role"))
+    a, b = norm(F.col("text")), norm(F.col("value"))
+    by_value = items.join(fields.select("doc_id", "field", "value"), "doc_id").where((F.length(b) >= 2) & (F.length(a) >= 2) & (a.contains(b) | b.contains(a))).select("doc_id", "item_idx", "field", F.lit("value").alias("role"))
+    hits = by_label.unionByName(by_value).groupBy("doc_id", "item_idx").agg(F.array_join(F.sort_array(F.collect_set("field")), "|").alias("mapped"), F.min("role").alias("role"))
+    return items.join(hits, ["doc_id", "item_idx"], "left").select("doc_id", F.col("item_idx").cast("long").alias("item_idx"), F.coalesce("mapped", F.lit("")).alias("mapped"), F.coalesce("role", F.lit("unmapped")).alias("role"), F.format_string("%.1f%%", F.col("score") * 100).alias("confidence"))
