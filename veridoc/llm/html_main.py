@@ -54,7 +54,8 @@ HINTS = {
 HINT_OF = {w: k for k, ws in HINTS.items() for w in ws.split()}
 HINT_NAMES = list(HINTS)
 BUCKETS = (1, 20, 80, 250)
-N_FEATURES = 1 + len(TAGS) + len(HINT_NAMES) + len(BUCKETS) + 4
+N_FEATURES = 1 + len(TAGS) + len(HINT_NAMES) + len(BUCKETS) + 5
+CLUTTER = {1 + TAGS.index(t) for t in ("aside", "nav", "footer", "header", "form", "dialog")} | {1 + len(TAGS) + i for i, h in enumerate(HINT_NAMES) if h != "main"}
 EDGE_KINDS = 3  # by the child: an element of running text or a leaf, a plain container, a container with a purpose
 PLAIN = {"div", "section", "body", "table", "figure"}
 RUNNING = {"p", "heading", "list", "li", "quote", "pre"}
@@ -68,6 +69,7 @@ class Page:
         self.features: list[list[int]] = [[0]]
         self.edge: list[int] = [0]
         self.leaves: list[tuple[int, str]] = []
+        self.clutter: list[bool] = [False]
         self.seconds: list[tuple[str, int]] = [("html", 0)]
         self.text: list[str] = []
         self.marks: dict[int, int] = {}  # only labelled pages have marks
@@ -81,6 +83,9 @@ class Page:
             for m in ATTRIBUTE.finditer(attributes):
                 hints |= {HINT_OF[w] for x in WORDS.findall(m[1] or m[2] or m[3] or "") if (w := x.lower()) in HINT_OF}
         f += [1 + len(TAGS) + HINT_NAMES.index(h) for h in hints]
+        if self.clutter[self.seconds[-1][1]]:  # somewhere above is an element that tends not to hold content
+            f.append(N_FEATURES - 1)
+        self.clutter.append(self.clutter[self.seconds[-1][1]] or bool(CLUTTER & set(f)))
         self.parent.append(self.seconds[-1][1])
         self.features.append(f)
         kind = TAGS[f[1] - 1]
@@ -107,6 +112,7 @@ class Page:
                 if self.seconds[-1][0] == "p":
                     f.append(base + 3)
                 self.parent.append(self.seconds[-1][1])
+                self.clutter.append(False)
                 self.features.append(f)
                 self.edge.append(0)
                 self.leaves.append((len(self.parent) - 1, run))
@@ -308,7 +314,7 @@ def sample_page(rng: random.Random) -> tuple[str, set[str]]:
         return plain(rng.choice(["section", "div", "ol"]), plain("h3", sentence(1)) + each, attr("comments", "comment-list", "replies", "discussion", "reader-comments"))
 
     def story():
-        out = [block(rng.choice(["h1", "h1", "h2"]), sentence(rng.randint(1, 30)))]
+        out = [block(rng.choice(["h1", "h1", "h2"]), sentence(rng.randint(1, 30)))] if rng.random() < 0.7 else []
         short = rng.random() < 0.25
         for _ in range(rng.choice([1, 1, 2, 20]) if short else rng.randint(1, 9)):
             if short and rng.random() < 0.8:
