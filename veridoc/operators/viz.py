@@ -106,7 +106,9 @@ def label_match_fuzzy(items: DataFrame, least: float = 0.84) -> DataFrame:
 
     rest = items.join(label_match(items).select("doc_id", "item_idx"), ["doc_id", "item_idx"], "left_anti").where(F.length("text") <= 60)
     caption = F.regexp_replace(F.regexp_extract(norm(F.col("text")), r"^([^:;|/]*)", 1), r"^[ /.\-—]+|[ /.\-—]+$", "")
-    return rest.withColumn("b", best(caption)).where("b.field is not null").select("doc_id", "item_idx", "b.*")
+    rest = rest.withColumn("_c", caption)
+    known = rest.select("_c").distinct().withColumn("b", best("_c")).where("b.field is not null")  # captions recur; each is matched once
+    return rest.join(known, "_c").select("doc_id", "item_idx", "b.*")
 
 
 def inline_value(text: Column, alias: Column) -> Column:
