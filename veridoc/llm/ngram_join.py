@@ -34,14 +34,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veridoc.llm.common import partitions, small_batches, stored
+from veridoc.llm.common import partitions, release, small_batches, stored
 from veridoc.llm.components import Forest, connected
 from veridoc.llm.textbytes import MIX_LOWER, U, blend, buffers, running, slices, span, word_bounds
 
 N = 5
-SLICE = 1 << 19
-FREQUENT = 1 << 17
-BLOCK = 1 << 20  # shingles counted, or packed, at once
+SLICE = 1 << 18
+FREQUENT = 1 << 19
+COUNTED = 1 << 21  # shingles counted at once, before counts meet
+BLOCK = 1 << 20  # matrix rows packed at once
 CHUNK = 4096
 GAP = np.zeros(256, bool)
 GAP[[9, 10, 11, 12, 13, 32]] = True
@@ -122,20 +123,22 @@ def frequent_shingles(texts: DataFrame) -> np.ndarray:
             v = np.sort(np.concatenate(held))
             cut = np.flatnonzero(np.append(True, v[1:] != v[:-1]))
             n = np.diff(np.append(cut, v.size))
-            many = n >= 4
+            many = n >= 2
             return pa.RecordBatch.from_arrays([pa.array(v[cut[many]].view(np.int64)), pa.array(n[many].astype(np.int64))], ["h", "n"])
 
         for b in batches:
             for own in sets_of(b.column(0)):
                 held.append(own)
                 size += own.size
-                if size >= BLOCK:
+                if size >= COUNTED:
                     yield out()
                     held, size = [], 0
         if held:
             yield out()
+        held = []
+        release()
 
-    counts = texts.select("text").mapInArrow(run, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n")).where("n >= 16")
+    counts = texts.select("text").mapInArrow(run, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n")).where("n >= 8")
     top = counts.orderBy(F.desc("n"), "h").limit(FREQUENT).toArrow()
     return top["h"].to_numpy().astype(np.int64).view(U)[::-1]
 
@@ -176,12 +179,15 @@ def matrix_rows(order, buckets: int):
                         held, size = [], 0
         if held:
             yield from out()
+        held = []
+        release()
 
     return run
 
 
 def bucket_pairs(key, table):
     """Groups that share a shingle, with how many they share inside one bucket."""
+    release()
     parts = ([], [], [])
     for chunk in table["rows"].chunks:
         for body in chunk:
@@ -348,7 +354,7 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     # The matrix, and pairs of groups that share enough of it.
     total = described.agg(F.sum("n")).first()[0] or 0
-    buckets = max(partitions(spark), int(total * 0.3 * 18 / (12 << 20)) + 1)
+    buckets = max(partitions(spark), int(total * 0.3 * 18 / (4 << 20)) + 1)
     packed = texts.select("text").mapInArrow(matrix_rows(order, buckets), "bucket bigint, rows binary")
     pairs = packed.groupBy("bucket").applyInArrow(bucket_pairs, "g1 bigint, g2 bigint, shared bigint").groupBy("g1", "g2").agg(F.sum("shared").alias("shared"))
     a = groups.select(F.col("g").alias("g1"), F.col("sets").alias("k1"), F.col("least").alias("a1"), F.col("most").alias("b1"))
@@ -365,24 +371,20 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     involved = kept.select(F.col("home").alias("g")).union(kept.select("g")).union(groups.where("sets > 1").select("g")).distinct()
     at_home = groups.join(involved, "g").select("g", F.col("g").alias("home"), chunks("sets").alias("chunks"), F.lit(0).alias("kind"))
     routes = stored(at_home.unionByName(kept.select("g", "home", chunks("sets").alias("chunks"), F.lit(1).alias("kind"))), "routes")
-    mask = bitmap(routes)
+    mask = bitmap(classes.join(routes.select("g").distinct(), "g").select("rep"))
 
     def gather(batches):
         bits = mask.value
-        seen: set = set()
         for b in batches:
             keys, gs, raws, held = [], [], [], 0
-            for own in sets_of(b.column(0)):
+            # Copies stay behind: only the document that stands for a set sends it.
+            ids = b.column(0).to_numpy(zero_copy_only=False) & ((1 << BITS) - 1)
+            asked = np.flatnonzero(bits[ids >> 3] >> (ids & 7).astype(np.uint8) & 1)
+            for own in sets_of(b.column(1).take(pa.array(asked))):
                 if not own.size:
                     continue
                 g = order.value.look(own)[1]
-                if not bits[(g >> 38) >> 3] >> ((g >> 38) & 7) & 1:
-                    continue
                 key = set_id(own)
-                if key in seen:
-                    continue
-                if len(seen) < 1_000_000:
-                    seen.add(key)
                 keys.append(signed(key))
                 gs.append(signed(g))
                 raws.append(own.tobytes())
@@ -393,7 +395,7 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             if keys:
                 yield pa.RecordBatch.from_arrays([pa.array(gs, pa.int64()), pa.array(keys, pa.int64()), pa.array(raws, pa.binary())], ["g", "s", "raw"])
 
-    whole = texts.where("doc_id is not null").select("text").mapInArrow(gather, "g bigint, s bigint, raw binary")
+    whole = texts.where("doc_id is not null").mapInArrow(gather, "g bigint, s bigint, raw binary")
     own_chunk = F.pmod(F.xxhash64("s"), F.col("chunks")).cast("int")
     here = F.struct(own_chunk.alias("chunk"), F.lit(0).alias("kind"))
     later = F.filter(F.sequence(F.lit(0), F.col("chunks") - 1), lambda j: (F.col("kind") == 1) | (j > own_chunk))
@@ -411,10 +413,11 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 BITS = 26
 
 
-def bitmap(routes: DataFrame):
-    """A broadcast bit for each top-BITS value of a routed group: 2**BITS bits at most, however many groups there are."""
-    words = routes.select(F.expr(f"shiftrightunsigned(g, {64 - BITS + 6})").alias("w"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(g, {64 - BITS}) & 63 as int))").alias("b"))
+def bitmap(ids: DataFrame):
+    """A broadcast bit for the low BITS bits of each id: 2**BITS bits (8 MB) whatever the number of ids; a shared bit only sends a set in vain."""
+    top = (1 << (BITS - 6)) - 1
+    words = ids.select(F.expr(f"shiftright(rep, 6) & {top}").alias("w"), F.expr("shiftleft(1L, cast(rep & 63 as int))").alias("b"))
     found = words.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
     out = np.zeros(1 << (BITS - 6), np.int64)
     out[found["w"].to_numpy()] = found["b"].to_numpy()
-    return routes.sparkSession.sparkContext.broadcast(out.view(np.uint8))
+    return ids.sparkSession.sparkContext.broadcast(out.view(np.uint8))
