@@ -54,6 +54,35 @@ def test_ngram_join(docs, empty):
     assert ngram_join.similar_sets(empty).count() == 0
 
 
+@pytest.mark.parametrize("signed, chunk", [(16, 4096), (1, 4096), (16, 3)])
+def test_ngram_join_edited_texts(spark, monkeypatch, signed, chunk):
+    monkeypatch.setattr(ngram_join, "SIGNED", signed)
+    monkeypatch.setattr(ngram_join, "CHUNK", chunk)
+    rng, texts = np.random.default_rng(5), []
+    passage = [f"p{i}" for i in range(30)]
+    for i in range(60):
+        words = [f"w{x}" for x in rng.integers(0, 4000, int(rng.integers(20, 200)))]
+        for _ in range(int(rng.integers(1, 7))):
+            one = list(words)
+            for at in rng.integers(0, len(one), int(rng.integers(0, 1 + len(one) // 16))):
+                one[at] = f"e{rng.integers(0, 9)}"
+            texts.append(" ".join(passage + one if i % 3 == 0 else one))
+    sets = dict(enumerate(map(shingles, texts)))
+    up = {i: i for i in sets}
+
+    def root(x):
+        return x if up[x] == x else root(up[x])
+
+    for a in sets:
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if 100 * both >= 75 * (len(sets[a]) + len(sets[b]) - both) and root(a) != root(b):
+                x, y = sorted((root(a), root(b)))
+                up[y] = x
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    assert {tuple(r) for r in ngram_join.similar_sets(rows).collect()} == {(i, len(s), root(i)) for i, s in sets.items()}
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(50)] + [(100, 101), (200, 200)], "u bigint, v bigint")
     got = {r.node: r.root for r in connected(edges).collect()}

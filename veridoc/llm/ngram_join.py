@@ -13,8 +13,11 @@ every pair of sets with 100 * intersection >= 75 * union, by these steps.
     travel packed, as blocks of arrays by hash range; no row is made for each pair of documents.
 4.  Bound.  For two groups, the number of matrix shingles they share bounds the intersection any two members
     can have; pairs that cannot reach the limit are dropped, and so are those whose sizes cannot.
-5.  Opening.  Only for the groups left are whole sets gathered: each group's own, and those of
-    its partners as queries.  Inside a group, union-find spares the comparisons between sets that are linked
+    For the pairs left, each set of groups of at most ``SIGNED`` sets is summed up in ``PARITY`` bits: the
+    parity of its shingles in each place.  Two sets differ in at least as many shingles as their bits
+    differ in places, so pairs of groups without a pair of sets near enough are dropped, and no other.
+5.  Opening.  Only for the groups left are whole sets gathered: each group's own (straight to their
+    home, by its name), and those of its partners as queries.  Inside a group, union-find spares the comparisons between sets that are linked
     already; of two linked parts, the smaller one's sets are compared.  Groups of more than
     ``CHUNK`` sets are dealt into chunks.
 6.  Components of the links give the classes.
@@ -44,6 +47,8 @@ FREQUENT = 1 << 19
 COUNTED = 1 << 21  # shingles counted at once, before counts meet
 BLOCK = 1 << 20  # matrix rows packed at once
 CHUNK = 4096
+SIGNED = 16
+PARITY = 2048
 GAP = np.zeros(256, bool)
 GAP[[9, 10, 11, 12, 13, 32]] = True
 PLACE = np.array([0xD6E8FEB86659FD93, 0xA5A3564E27F8863D, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], U)
@@ -332,6 +337,53 @@ def open_groups(batches):
         yield out(found)
 
 
+def gather(order, mask, form=lambda own: own.tobytes()):
+    """The sets of the documents in the mask, with their groups.  Copies stay behind: only the document that stands for a set sends it."""
+
+    def run(batches):
+        bits = mask.value
+        for b in batches:
+            keys, gs, raws, held = [], [], [], 0
+            ids = b.column(0).to_numpy(zero_copy_only=False) & ((1 << BITS) - 1)
+            asked = np.flatnonzero(bits[ids >> 3] >> (ids & 7).astype(np.uint8) & 1)
+            for own in sets_of(b.column(1).take(pa.array(asked))):
+                if not own.size:
+                    continue
+                keys.append(signed(set_id(own)))
+                gs.append(signed(order.value.look(own)[1]))
+                raws.append(form(own))
+                held += len(raws[-1])
+                if held > 4 << 20:
+                    yield pa.RecordBatch.from_arrays([pa.array(gs, pa.int64()), pa.array(keys, pa.int64()), pa.array(raws, pa.binary())], ["g", "s", "raw"])
+                    keys, gs, raws, held = [], [], [], 0
+            if keys:
+                yield pa.RecordBatch.from_arrays([pa.array(gs, pa.int64()), pa.array(keys, pa.int64()), pa.array(raws, pa.binary())], ["g", "s", "raw"])
+        release()
+
+    return run
+
+
+def parities(own: np.ndarray) -> bytes:
+    """The size of a set, then for each of PARITY places whether an odd number of its shingles falls there."""
+    odd = np.bincount((own >> U(20)).astype(np.int64) % PARITY, minlength=PARITY) & 1
+    return np.array([own.size], np.int64).tobytes() + np.packbits(odd.astype(bool)).tobytes()
+
+
+def near_enough(batches):
+    """home, g, sets, a, z (lists of parities, or null): the rows of which some pair of sets may be similar.  Similar sets differ in at most a seventh of their sizes' sum."""
+    for b in batches:
+        keep = []
+        for a, z in zip(b.column(3).to_pylist(), b.column(4).to_pylist()):
+            if a is None or z is None:
+                keep.append(True)
+                continue
+            x, y = (np.frombuffer(b"".join(side), np.uint8).reshape(len(side), -1) for side in (a, z))
+            n, m = (np.ascontiguousarray(side[:, :8]).view(np.int64)[:, 0] for side in (x, y))
+            apart = np.bitwise_count(x[:, None, 8:] ^ y[None, :, 8:]).sum(axis=2, dtype=np.int64)
+            keep.append(bool((7 * apart <= n[:, None] + m[None, :]).any()))
+        yield pa.RecordBatch.from_arrays(list(b.columns[:3]), ["home", "g", "sets"]).filter(pa.array(keep, pa.bool_()))
+
+
 def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id of every document."""
     spark = docs.sparkSession
@@ -349,7 +401,7 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.int64()), pa.array(groups, pa.int64())], ["doc_id", "n", "s", "g"])
 
     described = stored(texts.mapInArrow(describe, "doc_id bigint, n bigint, s bigint, g bigint"), "sets")
-    classes = described.where("s is not null and doc_id is not null").groupBy("s").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("g").alias("g"))
+    classes = stored(described.where("s is not null and doc_id is not null").groupBy("s").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("g").alias("g")), "classes")
     groups = stored(classes.groupBy("g").agg(F.count("*").alias("sets"), F.min("n").alias("least"), F.max("n").alias("most")), "groups")
 
     # The matrix, and pairs of groups that share enough of it.
@@ -366,42 +418,32 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     swap = F.col("k1") > F.col("k2")  # the group with more sets is the home
     kept = stored(kept.select(F.when(swap, F.col("g1")).otherwise(F.col("g2")).alias("home"), F.when(swap, F.col("g2")).otherwise(F.col("g1")).alias("g"), F.greatest("k1", "k2").alias("sets")), "pairs")
 
+    # Pairs of small groups must also have sets near enough by their parities.
+    few = groups.where(F.col("sets") <= SIGNED).join(kept.select("g").union(kept.select("home")).distinct(), "g").select("g", "sets")
+    few = stored(few, "small-groups")
+    mask = bitmap(classes.join(few.select("g"), "g").select("rep"))
+    signs = texts.where("doc_id is not null").mapInArrow(gather(order, mask, parities), "g bigint, s bigint, raw binary")
+    signs = signs.join(few, "g").groupBy("g").agg(F.collect_set("raw").alias("signs"), F.first("sets").alias("sets")).where(F.size("signs") == F.col("sets")).select("g", "signs")
+    near = kept.join(signs.select(F.col("g").alias("home"), F.col("signs").alias("a")), "home", "left").join(signs.withColumnRenamed("signs", "z"), "g", "left")
+    kept = stored(near.select("home", "g", "sets", "a", "z").mapInArrow(near_enough, "home bigint, g bigint, sets bigint"), "close-pairs")
+
     # Where each group's sets go: home and, as queries, to partners; chunk by chunk.
     chunks = lambda k: F.ceil(F.col(k) / CHUNK).cast("int")
-    involved = kept.select(F.col("home").alias("g")).union(kept.select("g")).union(groups.where("sets > 1").select("g")).distinct()
-    at_home = groups.join(involved, "g").select("g", F.col("g").alias("home"), chunks("sets").alias("chunks"), F.lit(0).alias("kind"))
-    routes = stored(at_home.unionByName(kept.select("g", "home", chunks("sets").alias("chunks"), F.lit(1).alias("kind"))), "routes")
-    mask = bitmap(classes.join(routes.select("g").distinct(), "g").select("rep"))
-
-    def gather(batches):
-        bits = mask.value
-        for b in batches:
-            keys, gs, raws, held = [], [], [], 0
-            # Copies stay behind: only the document that stands for a set sends it.
-            ids = b.column(0).to_numpy(zero_copy_only=False) & ((1 << BITS) - 1)
-            asked = np.flatnonzero(bits[ids >> 3] >> (ids & 7).astype(np.uint8) & 1)
-            for own in sets_of(b.column(1).take(pa.array(asked))):
-                if not own.size:
-                    continue
-                g = order.value.look(own)[1]
-                key = set_id(own)
-                keys.append(signed(key))
-                gs.append(signed(g))
-                raws.append(own.tobytes())
-                held += own.nbytes
-                if held > 4 << 20:
-                    yield pa.RecordBatch.from_arrays([pa.array(gs, pa.int64()), pa.array(keys, pa.int64()), pa.array(raws, pa.binary())], ["g", "s", "raw"])
-                    keys, gs, raws, held = [], [], [], 0
-            if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(gs, pa.int64()), pa.array(keys, pa.int64()), pa.array(raws, pa.binary())], ["g", "s", "raw"])
-
-    whole = texts.where("doc_id is not null").mapInArrow(gather, "g bigint, s bigint, raw binary")
+    open_at = kept.select(F.col("home").alias("g")).union(groups.where("sets > 1").select("g")).distinct()
+    homes = stored(groups.join(open_at, "g").select("g", chunks("sets").alias("chunks")), "homes")
+    dealt = homes.where("chunks > 1").select("g", F.col("g").alias("home"), "chunks", F.lit(0).alias("kind"))
+    routes = stored(dealt.unionByName(kept.select("g", "home", chunks("sets").alias("chunks"), F.lit(1).alias("kind"))), "routes")
+    stay = bitmap(classes.join(homes.where("chunks = 1").select("g"), "g").select("rep"))
+    go = bitmap(classes.join(routes.select("g").distinct(), "g").select("rep"))
+    known = texts.where("doc_id is not null")
+    own = known.mapInArrow(gather(order, stay), "g bigint, s bigint, raw binary").select(F.col("g").alias("home"), F.lit(0).alias("chunk"), F.lit(0).alias("kind"), "s", "raw")
+    whole = known.mapInArrow(gather(order, go), "g bigint, s bigint, raw binary")
     own_chunk = F.pmod(F.xxhash64("s"), F.col("chunks")).cast("int")
     here = F.struct(own_chunk.alias("chunk"), F.lit(0).alias("kind"))
     later = F.filter(F.sequence(F.lit(0), F.col("chunks") - 1), lambda j: (F.col("kind") == 1) | (j > own_chunk))
     places = F.concat(F.when(F.col("kind") == 0, F.array(here)).otherwise(F.array().cast("array<struct<chunk:int,kind:int>>")), F.transform(later, lambda j: F.struct(j.alias("chunk"), F.lit(1).alias("kind"))))
-    sent = whole.join(routes, "g").withColumn("p", F.explode(places)).select("home", F.col("p.chunk").alias("chunk"), F.col("p.kind").alias("kind"), "s", "raw")
-    found = sent.repartition(partitions(spark), "home", "chunk").sortWithinPartitions("home", "chunk", "kind", "s").mapInArrow(open_groups, "u bigint, v bigint")
+    far = whole.join(routes, "g").withColumn("p", F.explode(places)).select("home", F.col("p.chunk").alias("chunk"), F.col("p.kind").alias("kind"), "s", "raw")
+    found = own.unionByName(far).repartition(partitions(spark), "home", "chunk").sortWithinPartitions("home", "chunk", "kind", "s").mapInArrow(open_groups, "u bigint, v bigint")
     ids = classes.select("s", "rep")
     links = found.join(ids.withColumnRenamed("s", "u").withColumnRenamed("rep", "ru"), "u").join(ids.withColumnRenamed("s", "v").withColumnRenamed("rep", "rv"), "v").select(F.col("ru").alias("u"), F.col("rv").alias("v"))
     roots = connected(links)
