@@ -65,7 +65,32 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_suffix_dedup, op3_bpe, op4_quality, op5_html, op6_url_filter, op7_decontaminate, op8_token_files, op9_fingerprint, op10_pii)}
-SQL: dict[str, str] = {}
+LOWERED = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+WORDS = f"coalesce(list_filter(regexp_split_to_array({LOWERED.format('text')}, '{decontaminate.GAPS_LOWERED}'), lambda x: x <> ''), [])"
+RULE_ROWS = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in url_filter.RULES)
+
+#: Operators that SQL expresses and that are quick enough in it on whole tables.
+SQL: dict[str, str] = {
+    "op6_url_filter": f"""
+WITH rules(rhost, rpath, verdict) AS (VALUES {RULE_ROWS}),
+rest AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) END AS rest FROM pages),
+parts AS (SELECT page_id, coalesce({LOWERED.format("regexp_extract(rest, '^([^/?#]*)', 1)")}, '') AS host, coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM rest),
+urls AS (SELECT DISTINCT host, path FROM parts),
+best AS (SELECT host, path, arg_max(rhost || rpath, length(rhost || rpath)) AS rule, arg_max(verdict, length(rhost || rpath)) AS verdict
+  FROM urls JOIN rules ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY host, path)
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM parts LEFT JOIN best USING (host, path)""",
+    "op7_decontaminate": f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {WORDS} AS w FROM documents),
+items AS (SELECT item_id, w, least(len(w), 10) AS n FROM (SELECT item_id, {WORDS} AS w FROM benchmark) WHERE len(w) > 0),
+windows AS (SELECT DISTINCT item_id, n, array_to_string(w[k : k + n - 1], ' ') AS s FROM (SELECT item_id, n, w, unnest(range(1, len(w) - n + 2)) AS k FROM items)),
+sizes AS (SELECT DISTINCT n FROM windows),
+spots AS (SELECT r, n, unnest(list_transform(range(1, greatest(len(w) - n + 2, 1)), lambda k: {{'k': k, 's': array_to_string(w[k : k + n - 1], ' ')}})) AS x FROM d, sizes),
+hits AS (SELECT r, spots.n AS n, x.k AS k, item_id FROM spots JOIN windows ON spots.n = windows.n AND x.s = windows.s),
+words AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(k, k + n)) AS p FROM hits) GROUP BY r),
+found AS (SELECT r, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT r, item_id::VARCHAR AS id FROM hits) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN words USING (r) LEFT JOIN found USING (r)""",
+}
 
 
 def queries() -> dict:
