@@ -142,7 +142,11 @@ def test_bpe_edges(path, text):
     from tokenizers import Tokenizer
 
     v, recent = bpe.vocabulary(path)
-    assert list(bpe.array("I", bpe.encode_bytes(text, v, recent))) == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+    t = Tokenizer.from_file(path)
+    want = t.encode(text, add_special_tokens=False).ids
+    assert list(bpe.array("I", bpe.encode_bytes(text, v, recent))) == want
+    ids, counts = tokenfile.library(path).encode(["a", text, None, text])
+    assert counts.tolist() == [1, len(want), 0, len(want)] and ids.tolist() == [*t.encode("a").ids, *want, *want]
 
 
 def test_token_files(docs, empty, path):
@@ -157,9 +161,23 @@ def test_token_files(docs, empty, path):
     assert tokenfile.read_frames(tokenfile.write_frames(empty, path, 2, 3)).count() == 0
 
 
+@pytest.mark.parametrize("limit", [1, 3, 7, 1000])
+def test_token_file_slices(monkeypatch, limit):
+    import pyarrow as pa
+
+    monkeypatch.setattr(tokenfile, "SLICE_BYTES", limit)
+    texts = [None, "", "abc", "x" * 20, "", "de", "f", None, "ghi"]
+    batches = [pa.record_batch([pa.array(range(a, b), pa.int64()), pa.array(texts[a:b], pa.string())], ["doc_id", "text"]) for a, b in ((0, 3), (3, 3), (3, 4), (4, 9))]
+    found = list(tokenfile.slices(batches))
+    assert [t for _, part in found for t in part] == texts and [i for ids, _ in found for i in ids] == list(range(9))
+    assert all(sum(len(t or "") for t in part[:-1]) <= limit for _, part in found)
+
+
 @pytest.mark.parametrize("n", [0, 1, 63, 64, 65, 5000])
 def test_coder_round_trip(n):
     ids = np.random.default_rng(n).zipf(1.3, n).clip(0, 65535).astype(np.uint32)
+    for same in (np.zeros(n, np.uint32), np.full(n, 65535, np.uint32), np.resize(np.arange(4, dtype=np.uint32), n)):
+        assert (tokenfile.unpack(tokenfile.pack(np.array([7]), np.array([n]), same))[2] == same).all()
     frame = tokenfile.pack(np.array([7]), np.array([n]), ids)
     assert (tokenfile.unpack(frame)[2] == ids).all()
     if n:

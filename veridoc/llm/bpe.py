@@ -57,7 +57,8 @@ class Vocabulary:
         self.ranks = {ids[a] << 32 | ids[b]: rank for rank, (a, b) in enumerate(model["merges"])}
         self.made = [ids[a + b] for a, b in model["merges"]]
         steps = spec["pre_tokenizer"]["pretokenizers"]
-        self.pieces = regex.compile(next(s["pattern"]["Regex"] for s in steps if s["type"] == "Split")).findall
+        self.pattern = next(s["pattern"]["Regex"] for s in steps if s["type"] == "Split")
+        self.pieces = regex.compile(self.pattern).findall
         self.recent_pieces = Recent(lambda piece: array("I", self.merge(piece)).tobytes(), 150_000)
         self.added_split = re.compile("(" + "|".join(map(re.escape, self.added)) + ")").split
 
@@ -136,6 +137,42 @@ def encode_bytes(text: str, v: Vocabulary, recent: Recent) -> bytes:
     return b"".join(map(ids, v.added_split(text)))
 
 
+def encode_texts(texts: list, of_words, whole):
+    """Ids of all texts, one after another (numpy, u32), and each text's number of ids (int64).
+
+    ``of_words`` encodes the distinct words of all texts together: an Arrow array of normalised
+    words gives their ids, one word after another, and where each begins and the last ends.
+    ``whole`` encodes the texts that may hold added tokens, odd white space, or characters that
+    would be changed again if a normalised word were normalised anew.
+    """
+    import numpy as np
+    import pyarrow.compute as pc
+
+    plain, apart = [], {}
+    for k, text in enumerate(texts):
+        text = text or ""
+        low = normal(text)
+        if "<|" in text or ODD_SPACE.search(text) or not (text.isascii() or unicodedata.is_normalized("NFC", low)):
+            apart[k], low = whole(text), ""
+        plain.append(low)
+    found = pc.utf8_split_whitespace(pa.array(plain, pa.string()))  # cuts where str.split() does
+    coded = pc.dictionary_encode(found.values)
+    pool, first = of_words(coded.dictionary)
+    word = coded.indices.to_numpy()
+    long = np.diff(first)[word]
+    ends = np.concatenate([[0], np.cumsum(long)])
+    place = np.int32 if max(ends[-1], pool.size) < 1 << 31 else np.int64
+    at = np.repeat((first[word] - ends[:-1]).astype(place), long)
+    at += np.arange(ends[-1], dtype=place)
+    ids = pool[at]
+    cuts = ends[found.offsets.to_numpy()]
+    counts = np.diff(cuts)
+    if apart:
+        parts = [apart.get(k, ids[a:b]) for k, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist()))]
+        ids, counts = np.concatenate(parts), np.array([len(x) for x in parts], np.int64)
+    return ids, counts
+
+
 _VOCABULARIES: dict[str, tuple[Vocabulary, Recent]] = {}
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veridoc.llm import bpe, decontaminate, fingerprint, html_main, ngram_join, pii, quality, suffix_dedup, tokenfile, url_filter
-from veridoc.llm.common import partitions, table
+from veridoc.llm.common import table
 
 
 def word_bpe() -> str:
@@ -48,7 +48,7 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokenfile.read_frames(tokenfile.write_frames(table(spark, sf_dir, "documents"), word_bpe(), 2, partitions(spark)))
+    return tokenfile.read_frames(tokenfile.write_frames(table(spark, sf_dir, "documents"), word_bpe(), 2))
 
 
 def op9_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:

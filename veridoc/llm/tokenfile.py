@@ -3,162 +3,181 @@
 File format.  A token file is a Parquet file in the shared folder whose rows are frames, in
 ascending order of documents.  A frame is one binary value:
 
-    header   magic "VTF1", ids (u32), blocks (u32), block length (u32), documents (u32)
+    header   magic "VTF2", ids (u32), blocks (u32), block length (u32), documents (u32)
     table    document ids (i64 each), their numbers of ids (u32 each)
-    blocks   crc32 of the block's ids (u32 each), words of code (u32 each), then the code words (u16)
+    blocks   crc32 of the block's ids (u32 each), words of code (u32 each), then the code words (u32)
     crc32    of everything before it (u32)
 
 Each block of ``BLOCK`` ids is coded on its own, with fresh models.  Three models predict the
 next id: order 2 (the id that last followed the two ids before), order 1 (that last followed the
 id before) and order 0 (the id seen last in its slot of a recency table, by its low 8 bits).
-Their adaptive hit rates are mixed into one interval: order 2, order 1, order 0 spread over its 256
-slots, and an escape spread over all ids; a carry-less range coder with a 64-bit range codes it and
-gives 16-bit words.  All blocks of a frame are coded in step, one numpy lane for each.
+Their hit rates, adapted every ``STEPS`` ids, are mixed into one interval: order 2, order 1, order 0
+spread over its 256 slots, and an escape spread over all ids; a range coder with a 64-bit range and
+carries codes it and gives 32-bit words.  All blocks of a frame are coded in step, one numpy lane for each.
 
 Parquet's commit protocol makes the writing safe against lost executors and repeated tasks.
 
 Defined cases: a null text counts as empty, so its document has the end id alone; a null id
-stands first; repeated ids stand by their text; an empty table gives no frames and no rows;
+stands first; repeated ids stand by a hash of their text, then by it; an empty table gives no frames and no rows;
 extra columns are ignored; ids must be below 65536.
 """
 
 from __future__ import annotations
 
+import os
 import struct
 import zlib
 
 import numpy as np
 
-MAGIC = b"VTF1"
+MAGIC = b"VTF2"
 BLOCK = 4096
 LANES = 1024
 O2_BITS, O1_BITS, O0_BITS = 12, 11, 8
-PROB_BITS, RATE = 12, 5
+PROB_BITS, RATE, STEPS = 12, 5, 16
+#: A range is shared out in 1 << TOTAL parts; below 1 << WORD a word of code is settled.
+TOTAL, WORD = PROB_BITS + 16, 32
 U = np.uint64
-TOP, BOT, TOTAL = U(1 << 48), U(1 << 40), U(PROB_BITS + 16)
-MASK_BOT = U((1 << 40) - 1)
 
 
 class Models:
-    """Predictions and hit rates of all lanes."""
+    """Predictions and hit rates of all lanes.  Rates move every ``STEPS`` ids."""
 
     def __init__(self, lanes: int):
-        self.at = np.arange(lanes)
-        self.o2 = np.zeros(lanes << O2_BITS, np.int32)
-        self.o1 = np.zeros(lanes << O1_BITS, np.int32)
-        self.o0 = np.zeros(lanes << O0_BITS, np.int32)
+        self.lanes, self.at = lanes, np.arange(lanes)
+        self.o2 = np.zeros(lanes << O2_BITS, np.uint16)
+        self.o1 = np.zeros(lanes << O1_BITS, np.uint16)
+        self.o0 = np.zeros(lanes << O0_BITS, np.uint16)
         self.base2, self.base1, self.base0 = self.at << O2_BITS, self.at << O1_BITS, self.at << O0_BITS
-        self.rate = np.full((3, lanes), 1 << (PROB_BITS - 2), np.int32)
-        self.prev = np.zeros(lanes, np.int64)
-        self.prev2 = np.zeros(lanes, np.int64)
-
-    def predict(self):
-        self.i2 = self.base2 + (((self.prev * 40503 + self.prev2 * 30011) >> 4) & ((1 << O2_BITS) - 1))
-        self.i1 = self.base1 + ((self.prev * 40503 >> 3) & ((1 << O1_BITS) - 1))
-        self.p2, self.p1 = self.o2[self.i2], self.o1[self.i1]
-
-    def widths(self):
-        """Width of each of the four parts, out of 1 << PROB_BITS; none is 0."""
-        one = 1 << PROB_BITS
-        w2 = self.rate[0]
-        left = one - w2
-        w1 = (left * self.rate[1]) >> PROB_BITS
-        left = left - w1
-        w0 = (left * self.rate[2]) >> PROB_BITS
-        return w2, w1, w0, left - w0
-
-    def learn(self, x: np.ndarray, slot: np.ndarray, event: np.ndarray):
-        """Moves each rate that was asked towards what happened."""
+        self.rate = np.full((3, lanes), 1 << (PROB_BITS - 2), np.int64)
+        self.share()
+
+    def contexts(self, before: np.ndarray, before2: np.ndarray):
+        """Places of the order-2 and order-1 predictions after these ids (int64)."""
+        h = before * 40503
+        return self.base2 + (((h + before2 * 30011) >> 4) & ((1 << O2_BITS) - 1)), self.base1 + ((h >> 3) & ((1 << O1_BITS) - 1))
+
+    def share(self):
+        """The interval of each event (order 2, 1, 0, escape), none of them empty: where it begins, and the width of one id in it."""
+        left, widths = (1 << PROB_BITS) - 4, []
+        for rate in self.rate:
+            widths.append(1 + ((left * rate) >> PROB_BITS))
+            left = left - widths[-1] + 1
+        widths.append(1 + left)
+        w = np.stack(widths)
+        ends = np.cumsum(w, axis=0) << 16
+        self.ends = ends[:3].astype(U)
+        self.begin = np.concatenate([np.zeros((1, self.lanes), np.int64), ends[:3]]).reshape(-1).astype(U)
+        self.unit = (w << np.array([[16], [16], [8], [0]])).reshape(-1).astype(U)
+
+    def learn(self, events: np.ndarray):
+        """Moves each rate that was asked towards what happened.  events: (steps, lanes)."""
         cap = 1 << PROB_BITS
         for k in range(3):
-            r = self.rate[k]
-            step = np.where(event == k, (cap - 64 - r) >> RATE, -((r - 64) >> RATE))
-            r += np.where(event >= k, step, 0)
-        self.o2[self.i2] = x
-        self.o1[self.i1] = x
-        self.o0[slot] = x
-        self.prev2, self.prev = self.prev, x.astype(np.int64)
+            hits, asked = (events == k).sum(0), (events >= k).sum(0)
+            self.rate[k] = np.clip(self.rate[k] + ((hits * cap - asked * self.rate[k]) >> RATE), 64, cap - 64)
+        self.share()
 
 
 def encode_blocks(ids: np.ndarray) -> list[np.ndarray]:
-    """ids: (blocks, length), int32 below 65536.  The code words of each block."""
+    """ids: (blocks, length), below 65536.  The code words of each block."""
     lanes, n = ids.shape
-    columns = np.ascontiguousarray(ids.T)
+    columns = np.zeros((n + 2, lanes), np.uint16)  # two ids 0 before the first
+    columns[2:] = ids.T
     m = Models(lanes)
     low, size = np.zeros(lanes, U), np.full(lanes, (1 << 64) - 1, U)
-    out = np.zeros((lanes, 2 * n + 16), np.uint16)
+    out = np.zeros((lanes, n + 3), np.uint32)
     flat, fill = out.reshape(-1), np.arange(lanes) * out.shape[1]
     starts = fill.copy()
-    for t in range(n):
-        x = columns[t]
-        m.predict()
-        w2, w1, w0, w3 = m.widths()
-        slot = m.base0 + (x & 255)
-        event = np.where(x == m.p2, 0, np.where(x == m.p1, 1, np.where(x == m.o0[slot], 2, 3)))
+    seen = np.zeros((3, STEPS, lanes), np.uint16)
+    part, share = np.zeros(lanes, U), np.zeros(lanes, U)
+    for t in range(0, n, STEPS):
+        x = columns[t + 2 : t + 2 + STEPS]
+        k = len(x)
         wide = x.astype(np.int64)
-        start = np.choose(event, ((w2 * 0).astype(np.int64), w2.astype(np.int64) << 16, ((w2 + w1).astype(np.int64) << 16) + (w0.astype(np.int64) << 8) * (wide & 255), ((w2 + w1 + w0).astype(np.int64) << 16) + w3 * wide))
-        width = np.choose(event, (w2.astype(np.int64) << 16, w1.astype(np.int64) << 16, w0.astype(np.int64) << 8, w3.astype(np.int64)))
-        r = size >> TOTAL
-        low += r * start.view(U)
-        size = r * width.view(U)
-        m.learn(x, slot, event)
-        while True:
-            settled = (low ^ (low + size)) < TOP
-            todo = np.flatnonzero(settled | (size < BOT))
-            if not todo.size:
-                break
-            a, s = low[todo], size[todo]
-            s = np.where(settled[todo], s, (~a + U(1)) & MASK_BOT)
-            flat[fill[todo]] = (a >> U(48)).astype(np.uint16)
-            fill[todo] += 1
-            low[todo], size[todo] = a << U(16), s << U(16)
-    for _ in range(4):
-        flat[fill] = (low >> U(48)).astype(np.uint16)
-        fill += 1
-        low = low << U(16)
-    return [flat[a:b] for a, b in zip(starts, fill)]
+        i2, i1 = m.contexts(columns[t + 1 : t + 1 + k].astype(np.int64), columns[t : t + k].astype(np.int64))
+        slot = wide & 255
+        i0 = m.base0 + slot
+        for memory, places, found in zip((m.o2, m.o1, m.o0), (i2, i1, i0), seen):
+            for j in range(k):
+                np.take(memory, places[j], out=found[j], mode="clip")
+                memory[places[j]] = x[j]
+        miss = (seen[:, :k] != x).astype(np.int64)
+        event = miss[0] * (1 + miss[1] * (1 + miss[2]))
+        cell = event * lanes + m.at
+        unit = m.unit.take(cell)
+        start = m.begin.take(cell) + unit * (np.where(event == 2, slot, wide) * (event > 1)).astype(U)
+        for j in range(k):
+            np.right_shift(size, U(TOTAL), out=share)
+            np.multiply(share, start[j], out=part)
+            low += part
+            over = low < part
+            if over.any():  # a carry into the words already settled
+                to = fill[over] - 1
+                while to.size:
+                    flat[to] += np.uint32(1)
+                    to = to[flat[to] == 0] - 1
+            np.multiply(share, unit[j], out=size)
+            todo = np.flatnonzero(size < U(1 << WORD))
+            if todo.size:
+                a, to = low[todo], fill[todo]
+                flat[to] = a >> U(WORD)
+                fill[todo] = to + 1
+                low[todo] = a << U(WORD)
+                size[todo] <<= U(WORD)
+        m.learn(event)
+    flat[fill], flat[fill + 1] = low >> U(WORD), low & U((1 << WORD) - 1)
+    return [flat[a:b] for a, b in zip(starts, fill + 2)]
 
 
 def decode_blocks(codes: list[np.ndarray], n: int) -> np.ndarray:
     """The ids of each block, (blocks, n)."""
     lanes = len(codes)
-    sizes = np.array([c.size for c in codes])
-    flat = np.concatenate([*codes, np.zeros(4, np.uint16)]) if lanes else np.zeros(4, np.uint16)
-    at = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
+    flat = np.concatenate([*codes, np.zeros(2, np.uint32)]).astype(U)
+    at = np.concatenate([[0], np.cumsum([c.size for c in codes])[:-1]]).astype(np.int64)
     m = Models(lanes)
-    low, size, code = np.zeros(lanes, U), np.full(lanes, (1 << 64) - 1, U), np.zeros(lanes, U)
-    for _ in range(4):
-        code = (code << U(16)) | flat[at].astype(U)
-        at += 1
-    columns = np.zeros((n, lanes), np.int32)
+    size, code = np.full(lanes, (1 << 64) - 1, U), (flat[at] << U(WORD)) | flat[at + 1]  # code: what lies above low
+    at += 2
+    columns = np.zeros((n + 2, lanes), np.uint16)
+    before2 = before = np.zeros(lanes, np.int64)
+    events = np.zeros((STEPS, lanes), np.int64)
     last = flat.size - 1
-    for t in range(n):
-        m.predict()
-        w2, w1, w0, w3 = (w.astype(np.int64) for w in m.widths())
-        r = size >> TOTAL
-        value = ((code - low) // r).view(np.int64)
-        a, b, c = w2 << 16, (w2 + w1) << 16, (w2 + w1 + w0) << 16
-        event = (value >= a).astype(np.int64) + (value >= b) + (value >= c)
-        s0 = np.minimum((value - b) // (w0 << 8), 255)
-        lit = (value - c) // w3
-        x = np.choose(event, (m.p2, m.p1, m.o0[m.base0 + np.maximum(s0, 0)], lit)).astype(np.int32)
-        columns[t] = x
-        start = np.choose(event, (a * 0, a, b + (w0 << 8) * s0, c + w3 * lit))
-        width = np.choose(event, (a, w1 << 16, w0 << 8, w3))
-        low += r * start.view(U)
-        size = r * width.view(U)
-        m.learn(x, m.base0 + (x & 255), event)
-        while True:
-            settled = (low ^ (low + size)) < TOP
-            todo = np.flatnonzero(settled | (size < BOT))
-            if not todo.size:
-                break
-            a_, s_ = low[todo], size[todo]
-            s_ = np.where(settled[todo], s_, (~a_ + U(1)) & MASK_BOT)
-            code[todo] = (code[todo] << U(16)) | flat[np.minimum(at[todo], last)].astype(U)
-            at[todo] += 1
-            low[todo], size[todo] = a_ << U(16), s_ << U(16)
-    return np.ascontiguousarray(columns.T)
+    p2, p1, p0 = (np.zeros(lanes, np.uint16) for _ in range(3))
+    for t in range(0, n, STEPS):
+        k = min(STEPS, n - t)
+        end2, end1, end0 = m.ends
+        for j in range(k):
+            x = columns[t + j + 2]
+            i2, i1 = m.contexts(before, before2)
+            share = size >> U(TOTAL)
+            value = code // share
+            event = events[j]
+            not2, not1 = value >= end2, value >= end1
+            escape = value >= end0
+            np.add(not2, not1, out=event, dtype=np.int64)
+            event += escape
+            cell = event * lanes + m.at
+            begin, unit = m.begin.take(cell), m.unit.take(cell)
+            q = (value - begin) // unit
+            lit = q.view(np.int64)
+            np.take(m.o2, i2, out=x, mode="clip")
+            np.copyto(x, np.take(m.o1, i1, out=p1, mode="clip"), where=not2)
+            np.copyto(x, np.take(m.o0, m.base0 + np.minimum(lit, 255), out=p0, mode="clip"), where=not1)
+            np.copyto(x, lit, where=escape, casting="unsafe")
+            code -= share * (begin + unit * q)
+            size = share * unit
+            todo = np.flatnonzero(size < U(1 << WORD))
+            if todo.size:
+                to = at[todo]
+                code[todo] = (code[todo] << U(WORD)) | flat[np.minimum(to, last)]
+                size[todo] <<= U(WORD)
+                at[todo] = to + 1
+            before2, before = before, x.astype(np.int64)
+            m.o2[i2] = x
+            m.o1[i1] = x
+            m.o0[m.base0 + (before & 255)] = x
+        m.learn(events[:k])
+    return np.ascontiguousarray(columns[2:].T)
 
 
 def pack(doc_ids: np.ndarray, counts: np.ndarray, ids: np.ndarray, block: int = BLOCK) -> bytes:
@@ -166,14 +185,14 @@ def pack(doc_ids: np.ndarray, counts: np.ndarray, ids: np.ndarray, block: int =
     n = ids.size
     block = min(block, max(64, -(-n // LANES)))
     blocks = -(-n // block)
-    padded = np.zeros(blocks * block, np.int32)
+    padded = np.zeros(blocks * block, np.uint16)
     padded[:n] = ids
     grid = padded.reshape(blocks, block)
     codes = encode_blocks(grid) if blocks else []
     crcs = np.array([zlib.crc32(g.astype("<u4").tobytes()) for g in grid], "<u4")
     body = b"".join([
         MAGIC, struct.pack("<IIII", n, blocks, block, len(doc_ids)), doc_ids.astype("<i8").tobytes(), counts.astype("<u4").tobytes(),
-        crcs.tobytes(), np.array([c.size for c in codes], "<u4").tobytes(), *[c.astype("<u2").tobytes() for c in codes],
+        crcs.tobytes(), np.array([c.size for c in codes], "<u4").tobytes(), *[c.astype("<u4").tobytes() for c in codes],
     ])
     return body + struct.pack("<I", zlib.crc32(body))
 
@@ -193,8 +212,8 @@ def unpack(frame: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     at += 4 * blocks
     sizes = take("<u4", blocks)
     at += 4 * blocks
-    words = np.frombuffer(frame, "<u2", int(sizes.sum()), at).astype(np.uint16)
-    grid = decode_blocks(np.split(words, np.cumsum(sizes)[:-1]) if blocks else [], block)
+    words = np.frombuffer(frame, "<u4", int(sizes.sum()), at)
+    grid = decode_blocks(np.split(words, np.cumsum(sizes)[:-1]), block) if blocks else np.zeros((0, 0), np.uint16)
     for k in range(blocks):
         if zlib.crc32(grid[k].astype("<u4").tobytes()) != crcs[k]:
             raise ValueError(f"block {k} fails its checksum")
@@ -204,65 +223,123 @@ def unpack(frame: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 # --- Spark ------------------------------------------------------------------------------------
 
 NO_ID = -(2**63)
+SLICE_BYTES = 24 << 20  # of texts encoded at a time; a longer text goes alone
+WORDS = 20_000  # of distinct words in one call of the library
 _LIBRARY: dict = {}
 
 
-def library_ids(path: str):
-    """Memo of the tokenizers library's ids, by stretch without white space."""
-    if path not in _LIBRARY:
-        from array import array
+class Library:
+    """The tokenizers library; it encodes each distinct word of some MB of texts once."""
 
+    def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         from veridoc.llm import bpe
 
-        t = Tokenizer.from_file(path)
-        t.no_truncation()
-        t.no_padding()
-        _LIBRARY[path] = bpe.vocabulary(path)[0], bpe.Recent(lambda w: array("I", t.encode(w, add_special_tokens=False).ids).tobytes(), 400_000)
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        v = bpe.vocabulary(path)[0]
+        self.piece = v.pattern
+        self.ends = np.array([s.endswith(v.suffix) for s in v.strings])
+
+    def whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+
+    def words(self, words):
+        """Ids of all words, and where each begins and the last ends: the ids that end a piece tell."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        found, sizes = [np.zeros(0, np.uint32)], [np.zeros(1, np.int64)]
+        for lo in range(0, len(words), WORDS):
+            some = words.slice(lo, WORDS)
+            pieces = pc.count_substring_regex(some, self.piece).to_numpy()
+            ids = self.whole(pc.binary_join(pa.ListArray.from_arrays([0, len(some)], some), " ")[0].as_py())
+            ends = np.concatenate([[0], np.flatnonzero(self.ends[ids]) + 1])
+            if ends.size == pieces.sum() + 1:
+                sizes.append(np.diff(ends[np.concatenate([[0], np.cumsum(pieces)])]))
+                found.append(ids)
+            else:  # the library cuts some word in another way
+                apart = [self.whole(w) for w in some.to_pylist()]
+                sizes.append(np.array([x.size for x in apart], np.int64))
+                found += apart
+        return np.concatenate(found), np.cumsum(np.concatenate(sizes))
+
+    def encode(self, texts: list):
+        from veridoc.llm import bpe
+
+        return bpe.encode_texts(texts, self.words, self.whole)
+
+
+def library(path: str) -> Library:
+    if path not in _LIBRARY:
+        _LIBRARY[path] = Library(path)
     return _LIBRARY[path]
 
 
-def write_frames(docs, path: str, end_id: int, parts: int, id_col: str = "doc_id", text_col: str = "text"):
+def slices(batches):
+    """Ids and texts of Arrow batches, regrouped to about SLICE_BYTES of texts."""
+    import pyarrow.compute as pc
+
+    ids, texts, held = [], [], 0
+    for batch in batches:
+        sizes = pc.binary_length(batch.column(1)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        part = (held + np.cumsum(sizes)) // SLICE_BYTES
+        cuts = [0, *(np.flatnonzero(np.diff(part, prepend=0)) + 1).tolist()]  # after each text that fills a slice
+        for lo, hi in zip(cuts, [*cuts[1:], batch.num_rows]):
+            ids.append(batch.column(0)[lo:hi].fill_null(NO_ID).to_numpy(zero_copy_only=False))
+            texts += batch.column(1)[lo:hi].to_pylist()
+            if hi in cuts[1:]:
+                yield np.concatenate(ids), texts
+                ids, texts = [], []
+        held = (held + int(sizes.sum())) % SLICE_BYTES
+    if texts:
+        yield np.concatenate(ids), texts
+
+
+def write_frames(docs, path: str, end_id: int, parts: int | None = None, id_col: str = "doc_id", text_col: str = "text"):
     """Encodes the documents in ascending order and returns the stored frames: shard, seq, n_ids, frame.
 
-    Documents are dealt by ranges of their id (repeated ids by their text), sorted inside each
-    range, and cut into frames of about LANES * BLOCK ids.
+    Documents are dealt by ranges of their id (repeated ids by a hash of their text, so that the
+    sample of the ranges holds no texts), sorted inside each range, and cut into frames of about
+    LANES * BLOCK ids.  Without ``parts`` adaptive execution sizes the ranges, in their order.
     """
     import pyarrow as pa
     from pyspark import TaskContext
+    from pyspark.sql import functions as F
 
     from veridoc.llm.common import small_batches, stored
 
     small_batches(docs.sparkSession)
 
     def run(batches):
-        from veridoc.llm import bpe
-
-        v, recent = library_ids(path)
+        encode = library(path).encode
         shard, seq = TaskContext.get().partitionId(), 0
-        ids, counts, raw, size = [], [], [], 0
-        end = np.array([end_id], "<u4").tobytes()
+        ids, counts, parts, size = [], [], [], 0
 
         def frame():
-            body = pack(np.array(ids, "<i8"), np.array(counts, "<u4"), np.frombuffer(b"".join(raw), "<u4"))
+            body = pack(np.concatenate(ids), np.concatenate(counts), np.concatenate(parts))
             return pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "seq": pa.array([seq], pa.int32()), "n_ids": pa.array([size], pa.int64()), "frame": pa.array([body], pa.binary())})
 
-        for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                own = bpe.encode_bytes(text or "", v, recent) + end
-                ids.append(NO_ID if doc_id is None else doc_id)
-                counts.append(len(own) // 4)
-                raw.append(own)
-                size += len(own) // 4
-                if size >= LANES * BLOCK:
-                    yield frame()
-                    seq += 1
-                    ids, counts, raw, size = [], [], [], 0
+        for keys, texts in slices(batches):
+            raw, n = encode(texts)
+            ids.append(keys)
+            counts.append(n + 1)
+            parts.append(np.insert(raw, np.cumsum(n), end_id))
+            size += parts[-1].size
+            if size >= LANES * BLOCK:
+                yield frame()
+                seq += 1
+                ids, counts, parts, size = [], [], [], 0
         if ids:
             yield frame()
 
-    rows = docs.selectExpr(f"cast(`{id_col}` as bigint) as doc_id", f"`{text_col}` as text").repartitionByRange(parts, "doc_id", "text").sortWithinPartitions("doc_id", "text")
+    rows = (
+        docs.selectExpr(f"cast(`{id_col}` as bigint) as doc_id", f"`{text_col}` as text").withColumn("key", F.xxhash64("text"))
+        .repartitionByRange(*([parts] if parts else []), "doc_id", "key").sortWithinPartitions("doc_id", "key", "text").select("doc_id", "text")
+    )
     return stored(rows.mapInArrow(run, "shard int, seq int, n_ids bigint, frame binary"), "tokens")
 
 
