@@ -161,6 +161,17 @@ def test_token_files(docs, empty, path):
     assert tokenfile.read_frames(tokenfile.write_frames(empty, path, 2, 3)).count() == 0
 
 
+@pytest.mark.parametrize("known, words", [(0, 1), (3, 2), (1000, 1000)])
+def test_token_file_words(monkeypatch, path, known, words):
+    monkeypatch.setattr(tokenfile, "KNOWN", known)
+    monkeypatch.setattr(tokenfile, "WORDS", words)
+    encoder = tokenfile.Library(path)
+    for texts in (["", None], ["It's a-b 12", " it's  a-b\u00fc 字12字 q"], TEXTS, ["a-b 12 x"], TEXTS):
+        want = [encoder.tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+        ids, counts = encoder.encode(texts)
+        assert counts.tolist() == [len(w) for w in want] and ids.tolist() == sum(want, [])
+
+
 @pytest.mark.parametrize("limit", [1, 3, 7, 1000])
 def test_token_file_slices(monkeypatch, limit):
     import pyarrow as pa

@@ -137,11 +137,22 @@ def encode_bytes(text: str, v: Vocabulary, recent: Recent) -> bytes:
     return b"".join(map(ids, v.added_split(text)))
 
 
+def gathered(pool, first, sizes):
+    """The runs of ``pool`` that begin at ``first``, one after another, and where each begins and the last ends."""
+    import numpy as np
+
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    place = np.int32 if max(ends[-1], pool.size) < 1 << 31 else np.int64
+    at = np.repeat((first - ends[:-1]).astype(place), sizes)
+    at += np.arange(ends[-1], dtype=place)
+    return pool[at], ends
+
+
 def encode_texts(texts: list, of_words, whole):
     """Ids of all texts, one after another (numpy, u32), and each text's number of ids (int64).
 
     ``of_words`` encodes the distinct words of all texts together: an Arrow array of normalised
-    words gives their ids, one word after another, and where each begins and the last ends.
+    words gives a pool of ids, where in it each word's ids begin, and how many they are.
     ``whole`` encodes the texts that may hold added tokens, odd white space, or characters that
     would be changed again if a normalised word were normalised anew.
     """
@@ -157,14 +168,9 @@ def encode_texts(texts: list, of_words, whole):
         plain.append(low)
     found = pc.utf8_split_whitespace(pa.array(plain, pa.string()))  # cuts where str.split() does
     coded = pc.dictionary_encode(found.values)
-    pool, first = of_words(coded.dictionary)
+    pool, first, sizes = of_words(coded.dictionary)
     word = coded.indices.to_numpy()
-    long = np.diff(first)[word]
-    ends = np.concatenate([[0], np.cumsum(long)])
-    place = np.int32 if max(ends[-1], pool.size) < 1 << 31 else np.int64
-    at = np.repeat((first[word] - ends[:-1]).astype(place), long)
-    at += np.arange(ends[-1], dtype=place)
-    ids = pool[at]
+    ids, ends = gathered(pool, first[word], sizes[word])
     cuts = ends[found.offsets.to_numpy()]
     counts = np.diff(cuts)
     if apart:

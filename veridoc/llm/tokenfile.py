@@ -33,7 +33,7 @@ import numpy as np
 MAGIC = b"VTF2"
 BLOCK = 4096
 LANES = 1024
-O2_BITS, O1_BITS, O0_BITS = 12, 11, 8
+O2_BITS, O1_BITS, O0_BITS = 10, 10, 8
 PROB_BITS, RATE, STEPS = 12, 5, 16
 #: A range is shared out in 1 << TOTAL parts; below 1 << WORD a word of code is settled.
 TOTAL, WORD = PROB_BITS + 16, 32
@@ -224,15 +224,17 @@ def unpack(frame: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 NO_ID = -(2**63)
 SLICE_BYTES = 24 << 20  # of texts encoded at a time; a longer text goes alone
-WORDS = 20_000  # of distinct words in one call of the library
+WORDS = 50_000  # of distinct words in one call of the library
+KNOWN = 500_000  # words kept from slice to slice, besides one slice's own
 _LIBRARY: dict = {}
 
 
 class Library:
-    """The tokenizers library; it encodes each distinct word of some MB of texts once."""
+    """The tokenizers library; it encodes each new word of some MB of texts once."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        import pyarrow as pa
         from tokenizers import Tokenizer
 
         from veridoc.llm import bpe
@@ -243,19 +245,23 @@ class Library:
         v = bpe.vocabulary(path)[0]
         self.piece = v.pattern
         self.ends = np.array([s.endswith(v.suffix) for s in v.strings])
+        self.known, self.pool = pa.array([], pa.string()), np.zeros(0, np.uint32)
+        self.first = self.sizes = np.zeros(0, np.int64)
 
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
 
-    def words(self, words):
-        """Ids of all words, and where each begins and the last ends: the ids that end a piece tell."""
+    def fresh(self, words):
+        """Ids of all words, and how many each has: the ids that end a piece tell."""
         import pyarrow as pa
         import pyarrow.compute as pc
 
-        found, sizes = [np.zeros(0, np.uint32)], [np.zeros(1, np.int64)]
+        found, sizes = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
         for lo in range(0, len(words), WORDS):
             some = words.slice(lo, WORDS)
-            pieces = pc.count_substring_regex(some, self.piece).to_numpy()
+            letters = pc.ascii_is_alpha(some).to_numpy(zero_copy_only=False)
+            pieces = np.ones(len(some), np.int64)  # of ASCII letters alone: one piece
+            pieces[~letters] = pc.count_substring_regex(some.filter(pa.array(~letters)), self.piece).to_numpy()
             ids = self.whole(pc.binary_join(pa.ListArray.from_arrays([0, len(some)], some), " ")[0].as_py())
             ends = np.concatenate([[0], np.flatnonzero(self.ends[ids]) + 1])
             if ends.size == pieces.sum() + 1:
@@ -265,7 +271,31 @@ class Library:
                 apart = [self.whole(w) for w in some.to_pylist()]
                 sizes.append(np.array([x.size for x in apart], np.int64))
                 found += apart
-        return np.concatenate(found), np.cumsum(np.concatenate(sizes))
+        return np.concatenate(found), np.concatenate(sizes)
+
+    def words(self, words):
+        """A pool of ids, where in it each word's ids begin, and how many they are.
+
+        Words of former slices are known; when these are more than KNOWN, those of this slice replace them.
+        """
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        from veridoc.llm import bpe
+
+        at = pc.index_in(words, value_set=self.known).fill_null(-1).to_numpy().astype(np.int64)
+        new = np.flatnonzero(at < 0)
+        at[new] = len(self.known) + np.arange(new.size)
+        some = words.take(pa.array(new))
+        ids, sizes = self.fresh(some)
+        self.known = pa.concat_arrays([self.known, some])
+        self.first = np.concatenate([self.first, self.pool.size + np.cumsum(sizes) - sizes])
+        self.sizes, self.pool = np.concatenate([self.sizes, sizes]), np.concatenate([self.pool, ids])
+        found = self.pool, self.first[at], self.sizes[at]
+        if len(self.known) > KNOWN:
+            self.known, (self.pool, ends), self.sizes = words, bpe.gathered(*found), found[2]
+            self.first = ends[:-1]
+        return found
 
     def encode(self, texts: list):
         from veridoc.llm import bpe
