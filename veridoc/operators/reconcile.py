@@ -73,22 +73,31 @@ def clean_person(value: Column) -> Column:
     return F.nullif(F.trim(F.regexp_replace(edge(F.regexp_replace(edge(value), SERVICE + r"[\s\S]*$", "")), r"\s+", " ")), F.lit(""))
 
 
+def bound(value: Column, body) -> Column:
+    """``body`` of a value that is computed once a row, however often ``body`` names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def identity_name(zone: Column, viz: Column, zone_conf: Column, viz_conf: Column, raw_fallback: Column, boundary: Column) -> Column:
     """A name from the zone and the visual one; the first rule that applies decides."""
-    a, b = clean_person(zone), clean_person(viz)
-    sa, sb = F.coalesce(zone.rlike(SERVICE), F.lit(False)), F.coalesce(viz.rlike(SERVICE), F.lit(False))
+    service = lambda c: F.coalesce(c.rlike(SERVICE), F.lit(False))
     letters = lambda c: F.regexp_replace(F.upper(c), "[^A-ZА-ЯЁ]", "")
-    ia, ib = F.upper(a).rlike(r"[^A-ZА-ЯЁ '\-]"), F.upper(b).rlike(r"[^A-ZА-ЯЁ '\-]")
-    ca, cb = letters(a), letters(b)
-    la, lb = F.length(ca), F.length(cb)
-    short = F.when(la < lb, a).otherwise(b)
-    prefix = (F.least(la, lb) >= 2) & F.when(la < lb, cb.startswith(ca)).otherwise(ca.startswith(cb))
-    both = (
-        F.when(sa != sb, F.when(sa, b).otherwise(a)).when(ia != ib, F.when(ia, b).otherwise(a)).when((la < 2) & (lb >= 2), b).when(ca == cb, a)
-        .when(prefix, short).when(F.coalesce(ca == F.concat(F.upper(boundary), cb), F.lit(False)), b)
-        .when(raw_fallback & (viz_conf >= 0.75), b).when(viz_conf >= zone_conf + 0.05, b).otherwise(a)
-    )
-    return F.when(a.isNotNull() & b.isNotNull(), both).otherwise(F.coalesce(a, b))
+    odd = lambda c: F.upper(c).rlike(r"[^A-ZА-ЯЁ '\-]")
+
+    def decided(n: Column) -> Column:
+        a, b, sa, sb, ia, ib, ca, cb = (n[k] for k in ("a", "b", "sa", "sb", "ia", "ib", "ca", "cb"))
+        la, lb = F.length(ca), F.length(cb)
+        short = F.when(la < lb, a).otherwise(b)
+        prefix = (F.least(la, lb) >= 2) & F.when(la < lb, cb.startswith(ca)).otherwise(ca.startswith(cb))
+        both = (
+            F.when(sa != sb, F.when(sa, b).otherwise(a)).when(ia != ib, F.when(ia, b).otherwise(a)).when((la < 2) & (lb >= 2), b).when(ca == cb, a)
+            .when(prefix, short).when(F.coalesce(ca == F.concat(F.upper(boundary), cb), F.lit(False)), b)
+            .when(raw_fallback & (viz_conf >= 0.75), b).when(viz_conf >= zone_conf + 0.05, b).otherwise(a)
+        )
+        return F.when(a.isNotNull() & b.isNotNull(), both).otherwise(F.coalesce(a, b))
+
+    clean = F.struct(clean_person(zone).alias("a"), clean_person(viz).alias("b"), service(zone).alias("sa"), service(viz).alias("sb"))
+    return bound(clean, lambda n: bound(n.withField("ia", odd(n["a"])).withField("ib", odd(n["b"])).withField("ca", letters(n["a"])).withField("cb", letters(n["b"])), decided))
 
 
 def passport_contract(rows: DataFrame) -> DataFrame:
