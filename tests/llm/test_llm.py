@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from veridoc.llm import bpe, decontaminate, fingerprint, html_main, ngram_join, pii, quality, suffix_dedup, tokenfile, url_filter
 from veridoc.llm.components import connected
@@ -313,6 +314,21 @@ def test_fingerprint(docs, empty):
     assert fingerprint.edit_report(empty).count() == 0
 
 
+def likenesses(spark, pairs):
+    rows = spark.createDataFrame(list(enumerate(pairs)), "i int, p struct<a:string,b:string>")
+    found = rows.select("i", fingerprint.sketch(F.col("p.a")).alias("a"), fingerprint.sketch(F.col("p.b")).alias("b"))
+    return [r.n for r in found.select("i", fingerprint.likeness(F.col("a"), F.col("b")).alias("n")).orderBy("i").collect()]
+
+
+def test_fingerprint_keeps_every_anchor(spark):
+    make = lambda name, n: [f"{name}{i}" for i in range(n)]
+    passage, a, b = make("p", 100), make("a", 4900), make("b", 4900)
+    changed = [w if i != 2500 else "other" for i, w in enumerate(a)]
+    pairs = [(a[:2000] + passage + a[2000:], b[:900] + passage + b[900:]), (a, changed), (a, a)]
+    shared, edited, same = likenesses(spark, [tuple(map(" ".join, p)) for p in pairs])
+    assert 0.005 < shared < 0.02 and 0.99 < edited < 1.0 and same == 1.0
+
+
 def test_repeated_rows(spark, path):
     rows = spark.createDataFrame([(1, BASE), (1, BASE), (None, BASE), (2, "other text entirely")], "doc_id bigint, text string")
     assert sorted((r.doc_id or 0, r.component_id or 0) for r in ngram_join.similar_sets(rows).collect()) == [(0, 0), (1, 1), (1, 1), (2, 2)]

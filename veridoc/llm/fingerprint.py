@@ -4,7 +4,7 @@ A k-mer of consecutive words is an anchor when the least hash among its inner s-
 first or last place.  Whether a k-mer is chosen depends on its own words only, so an edit moves
 no anchor outside of it, and equal stretches of two texts carry equal anchors at shifted places.
 Short texts (under ``short_words`` words) also give anchors over their characters.  The
-fingerprint is the sorted set of the ``size`` least anchor hashes, 8 hex digits each.  JVM expressions only.
+fingerprint is the sorted set of all anchor hashes of the whole text, 8 hex digits each.  JVM expressions only.
 
 Defined cases: a null or empty text has an empty fingerprint; a text of fewer than k words has
 one anchor over all its words; two empty fingerprints are alike (1.0), an empty one and another
@@ -49,8 +49,8 @@ def anchors(text: Column, k: int = 4, s: int = 2) -> Column:
     return F.coalesce(let(word_hashes(text), lambda h: chosen(h, k, s)), none)
 
 
-def sketch(text: Column, k: int = 4, s: int = 2, size: int = 48, short_words: int = 48, short_k: int = 8, short_s: int = 4) -> Column:
-    """Sorted array of the ``size`` least distinct anchor hashes, folded to 32 bits."""
+def sketch(text: Column, k: int = 4, s: int = 2, short_words: int = 48, short_k: int = 8, short_s: int = 4) -> Column:
+    """Sorted array of all distinct anchor hashes, folded to 32 bits."""
     fold = lambda a: F.transform(a, lambda x: F.shiftrightunsigned(x["hash"], 32))
     none = F.array().cast(LONGS)
 
@@ -59,14 +59,12 @@ def sketch(text: Column, k: int = 4, s: int = 2, size: int = 48, short_words: in
         chars = F.when(F.size(h) < short_words, let(units, lambda u: fold(chosen(u, short_k, short_s)))).otherwise(none)
         return F.concat(fold(chosen(h, k, s)), chars)
 
-    both = F.coalesce(let(word_hashes(text), of), none)
-    return F.slice(F.sort_array(F.array_distinct(both)), 1, size)
+    return F.sort_array(F.array_distinct(F.coalesce(let(word_hashes(text), of), none)))
 
 
-def likeness(a: Column, b: Column, size: int = 48) -> Column:
-    """Jaccard similarity of the anchor sets, exact if both are whole, else estimated from the least ``size`` of the union."""
-    return let(F.slice(F.sort_array(F.array_union(a, b)), 1, size), lambda u: F.when(F.size(u) == 0, F.lit(1.0)).otherwise(
-        F.size(F.array_intersect(F.array_intersect(u, a), b)) / F.size(u)))
+def likeness(a: Column, b: Column) -> Column:
+    """Jaccard similarity of the whole anchor sets."""
+    return let(F.size(F.array_intersect(a, b)), lambda n: let(F.size(a) + F.size(b) - n, lambda u: F.when(u == 0, F.lit(1.0)).otherwise(n / u)))
 
 
 def hexed(marks: Column) -> Column:
