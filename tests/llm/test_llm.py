@@ -329,6 +329,13 @@ def test_fingerprint_keeps_every_anchor(spark):
     assert 0.005 < shared < 0.02 and 0.99 < edited < 1.0 and same == 1.0
 
 
+def test_fingerprint_short_and_long(spark):
+    text = [f"letters{i * i}" for i in range(60)]
+    sizes = [(47, 48), (46, 47), (48, 49), (20, 20)]
+    got = likenesses(spark, [(" ".join(text[:m]), " ".join(text[:n])) for m, n in sizes] + [(" ".join(text[:20]), " ".join(text[:19] + ["letterz361"]))])
+    assert min(got[:3]) > 0.9 and got[3] == 1.0 and 0.8 < got[4] < 1.0
+
+
 def test_repeated_rows(spark, path):
     rows = spark.createDataFrame([(1, BASE), (1, BASE), (None, BASE), (2, "other text entirely")], "doc_id bigint, text string")
     assert sorted((r.doc_id or 0, r.component_id or 0) for r in ngram_join.similar_sets(rows).collect()) == [(0, 0), (1, 1), (1, 1), (2, 2)]

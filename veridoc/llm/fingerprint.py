@@ -3,8 +3,10 @@
 A k-mer of consecutive words is an anchor when the least hash among its inner s-mers lies at its
 first or last place.  Whether a k-mer is chosen depends on its own words only, so an edit moves
 no anchor outside of it, and equal stretches of two texts carry equal anchors at shifted places.
-Short texts (under ``short_words`` words) also give anchors over their characters.  The
-fingerprint is the sorted set of all anchor hashes of the whole text, 8 hex digits each.  JVM expressions only.
+Short texts (under ``short_words`` words) also give anchors over their characters, kept apart:
+two short texts are compared over both kinds, all other pairs over words alone.  The fingerprint
+is the sorted set of all anchor hashes of the whole text, 8 hex digits each, those of characters
+after a dot.  JVM expressions only.
 
 Defined cases: a null or empty text has an empty fingerprint; a text of fewer than k words has
 one anchor over all its words; two empty fingerprints are alike (1.0), an empty one and another
@@ -50,25 +52,32 @@ def anchors(text: Column, k: int = 4, s: int = 2) -> Column:
 
 
 def sketch(text: Column, k: int = 4, s: int = 2, short_words: int = 48, short_k: int = 8, short_s: int = 4) -> Column:
-    """Sorted array of all distinct anchor hashes, folded to 32 bits."""
-    fold = lambda a: F.transform(a, lambda x: F.shiftrightunsigned(x["hash"], 32))
-    none = F.array().cast(LONGS)
+    """struct<words,chars>: sorted arrays of all distinct anchor hashes, folded to 32 bits; ``chars`` is null for a text of ``short_words`` or more."""
+    fold = lambda a: F.sort_array(F.array_distinct(F.transform(a, lambda x: F.shiftrightunsigned(x["hash"], 32))))
 
     def of(h: Column) -> Column:
         units = F.transform(F.array_remove(F.split(text, ""), ""), lambda c: F.xxhash64(c))
-        chars = F.when(F.size(h) < short_words, let(units, lambda u: fold(chosen(u, short_k, short_s)))).otherwise(none)
-        return F.concat(fold(chosen(h, k, s)), chars)
+        chars = F.when(F.size(h) < short_words, let(units, lambda u: fold(chosen(u, short_k, short_s))))
+        return F.struct(fold(chosen(h, k, s)).alias("words"), chars.alias("chars"))
 
-    return F.sort_array(F.array_distinct(F.coalesce(let(word_hashes(text), of), none)))
+    return let(F.coalesce(word_hashes(text), F.array().cast(LONGS)), of)
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Jaccard similarity of the whole anchor sets."""
-    return let(F.size(F.array_intersect(a, b)), lambda n: let(F.size(a) + F.size(b) - n, lambda u: F.when(u == 0, F.lit(1.0)).otherwise(n / u)))
+    """Jaccard similarity of the whole anchor sets: of words, and of characters too where both texts have such."""
+    none = F.array().cast(LONGS)
+    both = a["chars"].isNotNull() & b["chars"].isNotNull()
+    chars = lambda x: F.when(both, x["chars"]).otherwise(none)
+    shared = F.size(F.array_intersect(a["words"], b["words"])) + F.size(F.array_intersect(chars(a), chars(b)))
+    total = F.size(a["words"]) + F.size(b["words"]) + F.size(chars(a)) + F.size(chars(b))
+    return let(shared, lambda n: let(total - n, lambda u: F.when(u == 0, F.lit(1.0)).otherwise(n / u)))
 
 
 def hexed(marks: Column) -> Column:
-    return F.array_join(F.transform(marks, lambda x: F.lpad(F.hex(x), 8, "0")), "")
+    """The word anchors' digits; for short texts, after a dot, those of the characters."""
+    digits = lambda x: F.array_join(F.transform(x, lambda v: F.lpad(F.hex(v), 8, "0")), "")
+    chars = digits(marks["chars"])
+    return F.concat(digits(marks["words"]), F.when(F.coalesce(chars, F.lit("")) == "", "").otherwise(F.concat(F.lit("."), chars)))
 
 
 def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
