@@ -301,6 +301,21 @@ def test_pii_many_matches(spark):
     assert [(s["start"], s["end"]) for s in got] == [m.span() for m in re.finditer(r"\S+", text)]
 
 
+def test_pii_context_is_the_whole_text_around(spark):
+    far = "." * 41
+    texts = {
+        "SSN: 123-45-6789, 987-65-4321, 555-44-3333": [0, 1, 2], "123-45-6789 (SSN)": [0], "é字 123-45-6789 987-65-4321 ssn é": [0, 1], "123-45-6789": [],
+        f"ssn{far}123-45-6789{far}ssn": [], "ssn " + "1" * 36 + "-123-45-6789": [], f"123-45-6789{far}tax 987-65-4321": [1],
+        "tax " + " ".join(["123-45-6789"] * 6) + f" {far}": [0, 1, 2, 3], "123-45-6789 " * 6 + "tax": [2, 3, 4, 5],
+    }
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = {r.doc_id: [(s["start"], s["end"]) for s in r.found if s["kind"] == 5] for r in pii.find_pii(rows).collect()}
+    for i, (t, want) in enumerate(texts.items()):
+        at = [m.span() for m in re.finditer(pii.SSN, t)]
+        assert got[i] == [at[k] for k in want], t
+    assert pii.redact(rows.where("doc_id = 0")).first().text == "SSN: <SSN>, <SSN>, <SSN>"
+
+
 def test_fingerprint(docs, empty):
     got = {r.doc_id: r for r in fingerprint.edit_report(docs).collect()}
     order = sorted(((i, t or "") for i, t in DOCS), reverse=True)

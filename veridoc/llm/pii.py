@@ -6,7 +6,7 @@ summed in two levels so that a text with many matches costs little more than its
 
 Base kinds (email, ip, card, phone) follow fixed patterns and always stay.  The method adds
 ``iban`` (ISO 13616, confirmed by mod 97) and ``ssn`` (three-two-four digits, in need of a
-telling word within 40 characters before it).
+telling word within the 40 characters before it or the 40 after it, whatever else stands there).
 
 Defined cases: a null or empty text has no spans; repeated rows give equal rows; an empty table
 gives no rows; texts of any length are read whole; extra columns are ignored.
@@ -30,6 +30,8 @@ IBAN = r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b"
 SSN = r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b"
 KINDS = ("email", "ip", "card", "phone", "iban", "ssn")
 CONTEXT = {"iban": r"(?i)iban|account|bank|konto|compte|cuenta", "ssn": r"(?i)ssn|social|security|tax|id"}
+WINDOW, LEAST = 40, 11  # characters of context on each side; of the shortest match that needs some
+REACH = -(-WINDOW // LEAST)
 BLOCK = 128
 SPAN = "array<struct<start:int,kind:int,end:int,score:double>>"
 
@@ -74,16 +76,17 @@ def prefix_sums(values: Column) -> Column:
     ))
 
 
-def spans(text: Column, pattern: str, kind: int, accept, likely: Column, score=None) -> Column:
-    """Accepted matches of ``pattern`` as (start, kind, end, score), in code points."""
+def spans(text: Column, pattern: str, kind: int, accept, likely: Column, score=None, context: str | None = None) -> Column:
+    """Accepted matches of ``pattern`` as (start, kind, end, score), in code points; ``told``: whether a ``context`` word is near."""
     def build(parts: Column) -> Column:
         pieces, found = parts["pieces"], parts["found"]
         # Lengths of piece and match together, up to the last match.
         both = F.zip_with(F.slice(pieces, 1, F.size(found)), found, lambda p, m: F.char_length(p) + F.char_length(m))
         before = prefix_sums(both)
-        rows = F.transform(F.arrays_zip(F.slice(pieces, 1, F.size(found)).alias("p"), found.alias("m"), before.alias("b")), lambda z: F.struct(
-            (z["b"] + F.char_length(z["p"])).alias("start"), z["m"].alias("m"), z["p"].alias("p")))
-        good = F.filter(rows, lambda r: accept(r["m"], r["p"]))
+        told = (lambda i: near(context, pieces, found, i)) if context else (lambda i: F.lit(True))
+        rows = F.transform(F.arrays_zip(F.slice(pieces, 1, F.size(found)).alias("p"), found.alias("m"), before.alias("b")), lambda z, i: F.struct(
+            (z["b"] + F.char_length(z["p"])).alias("start"), z["m"].alias("m"), told(i).alias("told")))
+        good = F.filter(rows, lambda r: accept(r["m"], r["told"]))
         value = score or (lambda r: F.lit(1.0))
         return F.transform(good, lambda r: F.struct(r["start"].alias("start"), F.lit(kind).alias("kind"), (r["start"] + F.char_length(r["m"])).alias("end"), value(r).alias("score")))
 
@@ -93,8 +96,17 @@ def spans(text: Column, pattern: str, kind: int, accept, likely: Column, score=N
     return F.coalesce(F.when(likely, made), none)
 
 
-def near(kind: str, before: Column) -> Column:
-    return F.substring(before, -40, 40).rlike(CONTEXT[kind])
+def near(kind: str, pieces: Column, found: Column, i: Column) -> Column:
+    """Whether a telling word lies in the WINDOW characters before match ``i`` or in those after it.
+
+    The text around a match is put together from the matches and pieces next to it: those of a kind
+    with context words have LEAST characters or more, so REACH of them fill the window.
+    """
+    run = lambda first, last: F.transform(F.sequence(first, last), lambda j: F.concat(F.get(pieces, j), F.get(found, j)))
+    low, high, none = F.greatest(i - REACH, F.lit(0)), F.least(i + REACH, F.size(found) - 1), F.array().cast("array<string>")
+    before = F.concat(F.array_join(F.when(low < i, run(low, i - 1)).otherwise(none), ""), F.get(pieces, i))
+    after = F.concat(F.array_join(F.when(high > i, run(i + 1, high)).otherwise(none), ""), F.get(pieces, high + 1))
+    return F.substring(before, -WINDOW, WINDOW).rlike(CONTEXT[kind]) | F.substring(after, 1, WINDOW).rlike(CONTEXT[kind])
 
 
 def all_spans(text: Column) -> Column:
@@ -103,12 +115,12 @@ def all_spans(text: Column) -> Column:
     small = lambda p: (F.char_length(F.regexp_replace(p, "^0+", "")) <= 3) & (F.lpad(F.regexp_replace(p, "^0+", ""), 3, "0") <= "255")
     n = lambda m: F.char_length(digits(m))
     return F.concat(
-        spans(text, EMAIL_FAST, 0, lambda m, p: F.lit(True), text.contains("@")),
-        spans(text, IP, 1, lambda m, p: F.forall(F.split(m, r"\."), small), has_digit & text.contains(".")),
-        spans(text, CARD, 2, lambda m, p: n(m).between(14, 19) & luhn(m), has_digit),
-        spans(text, PHONE, 3, lambda m, p: n(m).between(10, 15), has_digit & text.contains("+")),
-        spans(text, IBAN, 4, lambda m, p: F.char_length(F.regexp_replace(m, " ", "")).between(15, 34) & mod97(m), has_digit, lambda r: F.when(near("iban", r["p"]), 1.0).otherwise(0.8)),
-        spans(text, SSN, 5, lambda m, p: near("ssn", p), has_digit & text.contains("-"), lambda r: F.lit(0.7)),
+        spans(text, EMAIL_FAST, 0, lambda m, told: F.lit(True), text.contains("@")),
+        spans(text, IP, 1, lambda m, told: F.forall(F.split(m, r"\."), small), has_digit & text.contains(".")),
+        spans(text, CARD, 2, lambda m, told: n(m).between(14, 19) & luhn(m), has_digit),
+        spans(text, PHONE, 3, lambda m, told: n(m).between(10, 15), has_digit & text.contains("+")),
+        spans(text, IBAN, 4, lambda m, told: F.char_length(F.regexp_replace(m, " ", "")).between(15, 34) & mod97(m), has_digit, lambda r: F.when(r["told"], 1.0).otherwise(0.8), "iban"),
+        spans(text, SSN, 5, lambda m, told: told, has_digit & text.contains("-"), lambda r: F.lit(0.7), "ssn"),
     )
 
 
