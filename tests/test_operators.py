@@ -114,3 +114,17 @@ def test_spatial_pairing(spark):
     page = spark.createDataFrame([(1, 0, "Date of birth", 0.9, 10.0, 10.0, 180.0, 35.0), (1, 1, "01.02.1990", 0.9, 220.0, 10.0, 350.0, 35.0), (1, 2, "ABC", 0.9, 190.0, 10.0, 210.0, 35.0)], schema)
     got = viz.nearest_value(viz.label_match(page), page).collect()
     assert [(r.field, r.value) for r in got] == [("birth_date", "01.02.1990")]
+
+
+def test_vehicle_segments(spark):
+    cn, en = "中华人民共和国机动车行驶证", "Vehicle License of the People's Republic of China"
+    pages = {
+        "chinese": ["x", cn, "a", en, "b", cn + " 2", "c"], "english": ["x", en, en, *"abcdefgh", en, "z"], "one": ["x", "y", en, "z"],
+        "plates": ["京A12345", "a", "b", "c", "沪B 23456", "d"], "adjacent": ["京A12345", "沪B23456", "a"], "none": ["x", "VEHICLE LICENSE", "y"], "chinese_one": ["x", cn, "粤C12345", "a", "粤D12345"],
+    }
+    want = {
+        "chinese": [None, 1, 1, 1, 1, 2, 2], "english": [None, *[1] * 10, 2, 2], "one": [1] * 4, "plates": [1, 1, 2, 2, 2, 2], "adjacent": [1] * 3, "none": [1] * 3, "chinese_one": [1, 1, 1, 2, 2],
+    }
+    rows = [(d, i, t) for d, lines in pages.items() for i, t in enumerate(lines)]
+    got = {(r.doc_id, r.line_no): r.segment for r in vehicle.segments(spark.createDataFrame(rows, "doc_id string, line_no int, text string")).collect()}
+    assert {d: [got.get((d, i)) for i in range(len(lines))] for d, lines in pages.items()} == want

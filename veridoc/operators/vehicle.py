@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 VIN = r"(?<![A-Z0-9])([A-HJ-NPR-Z0-9]{17})(?![A-Z0-9])"
 PLATE = r"^([一-鿿][A-Z][A-Z0-9]{4,6}[挂学警港澳]?)$"
 NUMBERED = r"^([126])[.)-]?([A-ZА-ЯЁ0-9][A-ZА-ЯЁ0-9.'/-]{3,})$"
+# Titles of a Chinese vehicle license.
+CHINESE_HEADER, ENGLISH_HEADER = "中华人民共和国机动车行驶证", "VEHICLELICENSEOFTHEPEOPLESREPUBLICOFCHINA"
 # Markers of a vehicle document, in its text and in its letters alone.
 MARKERS = ("VIN", "ТРАНСПОРТ", "РЕГИСТРАЦ", "КУЗОВ", "ШАССИ", "VEHICLE LICENSE", "PLATE NO", "REGISTER DATE", "车辆", "号牌")
 COMPACT_MARKERS = ("AVTOMOTOTRANSPORTVOSITASI", "DAVLATRAQAMBELGISI", "ROYXATDANOTKAZILGANLIGI", "VEHICLELICENCE", "VEICLELICENCE", "RUSUMIMODELI", "BERILGANSANASI")
@@ -103,15 +105,24 @@ def right_of_label(items: DataFrame, labels: tuple[str, ...]) -> DataFrame:
     return j.groupBy("doc_id").agg(F.min(F.struct("li", d.alias("d"), "item_idx", F.upper(F.trim("text")).alias("value")))["value"].alias("value"))
 
 
-def segments(lines: DataFrame, header: str = r"VEHICLE LICENSE|VEHICLE LICENCE", gap: int = 8) -> DataFrame:
-    """Adds ``segment``: a header more than ``gap`` lines after the last accepted one opens a segment.
+def segments(lines: DataFrame, gap: int = 8) -> DataFrame:
+    """Adds ``segment``, from 1: at two or more Chinese headers, else at two or more English ones, else halfway
+    between two or more plates, else the whole page.
 
-    Acceptance depends on the accepted header before, so it is a fold over a document's header lines.
+    An English header counts if it stands more than ``gap`` lines after the last accepted one, so it is a fold.
+    Where headers split the page, lines before the first of them are dropped.
     """
-    heads = lines.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.when(F.upper("text").rlike(header), F.col("line_no")))).alias("h"))
-    accepted = F.aggregate("h", F.array().cast("array<int>"), lambda acc, x: F.when((F.size(acc) == 0) | (x - F.element_at(acc, -1) > gap), F.array_append(acc, x)).otherwise(acc))
-    accepted = F.when(F.size(heads["h"]) == 0, F.array(F.lit(0))).otherwise(accepted)
-    return lines.join(heads.select("doc_id", accepted.alias("a")), "doc_id").withColumn("segment", F.size(F.filter("a", lambda x: x <= F.col("line_no"))).cast("long")).drop("a")
+    rows = lines.withColumn("_i", F.row_number().over(Window.partitionBy("doc_id").orderBy("line_no")) - 1)
+    english = F.regexp_replace(F.upper("text"), "[^A-Z]", "").contains(ENGLISH_HEADER)
+    at = lambda cond: F.sort_array(F.collect_list(F.when(cond, F.col("_i"))))
+    marks = rows.groupBy("doc_id").agg(at(F.col("text").contains(CHINESE_HEADER)).alias("c"), at(english).alias("e"), at(chinese_plate(F.col("text")) != "").alias("p"))
+    accepted = F.aggregate("e", F.array().cast("array<int>"), lambda acc, x: F.when((F.size(acc) == 0) | (x - F.element_at(acc, -1) > gap), F.array_append(acc, x)).otherwise(acc))
+    middles = F.zip_with(F.slice("p", 1, F.size("p") - 1), F.slice("p", 2, F.size("p")), lambda x, y: F.floor((x + y) / 2).cast("int"))
+    whole = F.array(F.lit(0))
+    starts = F.when(F.size("c") >= 2, F.col("c")).when(F.size("e") >= 2, F.col("e")).when(F.size("p") >= 2, F.array_distinct(F.concat(whole, middles))).otherwise(whole)
+    starts = marks.withColumn("e", accepted).select(F.col("doc_id").alias("_d"), starts.alias("_s"))
+    cut = rows.join(starts, F.col("doc_id").eqNullSafe(F.col("_d"))).withColumn("segment", F.size(F.filter("_s", lambda x: x <= F.col("_i"))).cast("long"))
+    return cut.where("segment > 0").drop("_i", "_d", "_s")
 
 
 def merge_records(records: DataFrame, fields: list[str]) -> DataFrame:
