@@ -351,6 +351,31 @@ def test_fingerprint_short_and_long(spark):
     assert min(got[:3]) > 0.9 and got[3] == 1.0 and 0.8 < got[4] < 1.0
 
 
+def test_fingerprint_matches_in_order(spark):
+    a, b, c = ([f"{name}{i}" for i in range(300)] for name in "abc")
+    noise = [f"w{i * i % 17}" for i in range(400)]
+    pairs = [(a + b + c, c + b + a), (a + b, b + a), (a, a * 10), (a + b + c, a + c), (noise, noise), (noise, noise[:100] + noise[200:] + noise[100:200])]
+    swapped, two, many, less, same, moved = likenesses(spark, [tuple(map(" ".join, p)) for p in pairs])
+    assert 0.15 < swapped < 0.25 and 0.28 < two < 0.38 and 0.07 < many < 0.13 and 0.6 < less < 0.7 and same == 1.0 and moved < 0.9
+
+    gen = np.random.default_rng(5)
+    for m, n, words in ((40, 40, 6), (60, 50, 30), (1, 5, 2)):
+        x, y = (gen.integers(0, words, k).tolist() for k in (m, n))
+        places = defaultdict(list)
+        for j, v in enumerate(y):
+            places[v].append(j)
+        seen, to = Counter(), []
+        for v in x:
+            seen[v] += 1
+            if seen[v] <= len(places[v]):
+                to.append(places[v][seen[v] - 1])
+        best = []
+        for k, t in enumerate(to):
+            best.append(1 + max((best[i] for i in range(k) if to[i] < t), default=0))
+        row = spark.createDataFrame([(x, y)], "x array<bigint>, y array<bigint>")
+        assert row.select(fingerprint.in_order(F.col("x"), F.col("y")).alias("n")).first().n == max(best, default=0)
+
+
 def test_repeated_rows(spark, path):
     rows = spark.createDataFrame([(1, BASE), (1, BASE), (None, BASE), (2, "other text entirely")], "doc_id bigint, text string")
     assert sorted((r.doc_id or 0, r.component_id or 0) for r in ngram_join.similar_sets(rows).collect()) == [(0, 0), (1, 1), (1, 1), (2, 2)]

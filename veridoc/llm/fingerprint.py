@@ -5,8 +5,9 @@ first or last place.  Whether a k-mer is chosen depends on its own words only, s
 no anchor outside of it, and equal stretches of two texts carry equal anchors at shifted places.
 Short texts (under ``short_words`` words) also give anchors over their characters, kept apart:
 two short texts are compared over both kinds, all other pairs over words alone.  The fingerprint
-is the sorted set of all anchor hashes of the whole text, 8 hex digits each, those of characters
-after a dot.  JVM expressions only.
+lists all anchor hashes of the whole text by place, 8 hex digits each, those of characters after
+a dot; likeness counts matches that keep their order, each as often as it stands in both texts.
+JVM expressions only.
 
 Defined cases: a null or empty text has an empty fingerprint; a text of fewer than k words has
 one anchor over all its words; two empty fingerprints are alike (1.0), an empty one and another
@@ -52,8 +53,8 @@ def anchors(text: Column, k: int = 4, s: int = 2) -> Column:
 
 
 def sketch(text: Column, k: int = 4, s: int = 2, short_words: int = 48, short_k: int = 8, short_s: int = 4) -> Column:
-    """struct<words,chars>: sorted arrays of all distinct anchor hashes, folded to 32 bits; ``chars`` is null for a text of ``short_words`` or more."""
-    fold = lambda a: F.sort_array(F.array_distinct(F.transform(a, lambda x: F.shiftrightunsigned(x["hash"], 32))))
+    """struct<words,chars>: all anchor hashes in the order of the text, folded to 32 bits; ``chars`` is null for a text of ``short_words`` or more."""
+    fold = lambda a: F.transform(a, lambda x: F.shiftrightunsigned(x["hash"], 32))
 
     def of(h: Column) -> Column:
         units = F.transform(F.array_remove(F.split(text, ""), ""), lambda c: F.xxhash64(c))
@@ -63,12 +64,60 @@ def sketch(text: Column, k: int = 4, s: int = 2, short_words: int = 48, short_k:
     return let(F.coalesce(word_hashes(text), F.array().cast(LONGS)), of)
 
 
+HIGH, LOW = 2**31, 2**31 - 1  # two numbers in one: a hash or a place above 31 bits that hold a place
+
+
+def runs(values: Column, opens) -> Column:
+    """array<struct<at,n>>: where each run of ``values`` starts, from 0, and its length; ``opens(value, the one before)``."""
+    at = F.filter(F.sequence(F.lit(0), F.size(values) - 1), lambda i: (i == 0) | opens(F.get(values, i), F.get(values, i - 1)))
+    return let(at, lambda v: F.transform(v, lambda x, d: F.struct(x.alias("at"), (F.coalesce(F.get(v, d + 1), F.size(values)) - x).alias("n"))))
+
+
+def occurrences(marks: Column, side: int) -> Column:
+    """array<struct<hash,nth,side,place>>: each anchor with how many equal ones stand before it."""
+    packed = F.sort_array(F.transform(marks, lambda x, i: x * HIGH + i))
+    of = lambda v, r: F.transform(F.slice(v, r["at"] + 1, r["n"]), lambda x, j: F.struct(
+        F.shiftright(x, 31).alias("hash"), j.alias("nth"), F.lit(side).alias("side"), x.bitwiseAND(F.lit(LOW)).alias("place")))
+    return let(packed, lambda v: F.flatten(F.transform(runs(v, lambda x, y: F.shiftright(x, 31) != F.shiftright(y, 31)), lambda r: of(v, r))))
+
+
+def in_order(a: Column, b: Column) -> Column:
+    """How many anchors of two texts match in one order: the nth of a hash meets the nth of the other text, and the longest
+    chain of matches with rising places in both counts.
+
+    Matches that follow each other in both texts are one run; the fold over runs keeps only
+    chain ends that no other end beats, so texts that share long stretches take one step for each.
+    """
+    both = F.sort_array(F.concat(occurrences(a, 0), occurrences(b, 1)))
+    same = lambda x, y: (x["hash"] == y["hash"]) & (x["nth"] == y["nth"])
+    pairs = let(both, lambda v: F.transform(
+        F.filter(F.sequence(F.lit(0), F.size(v) - 2), lambda i: same(F.get(v, i), F.get(v, i + 1))),
+        lambda i: F.get(v, i + 1)["place"] * HIGH + F.get(v, i)["place"]))
+    ranked = F.sort_array(F.transform(F.sort_array(pairs), lambda x, r: x.bitwiseAND(F.lit(LOW)) * HIGH + r))
+    ranks = F.transform(ranked, lambda x: x.bitwiseAND(F.lit(LOW)))
+
+    def longest(v: Column) -> Column:
+        ends = F.array().cast("array<struct<last:bigint,n:bigint>>")
+
+        def step(acc: Column, r: Column) -> Column:
+            first = F.get(v, r["at"])
+            n = F.coalesce(F.array_max(F.transform(F.filter(acc, lambda e: e["last"] < first), lambda e: e["n"])), F.lit(0)) + r["n"]
+            last = first + r["n"] - 1
+            return let(F.struct(last.cast("long").alias("last"), n.cast("long").alias("n")), lambda new: F.array_append(
+                F.filter(acc, lambda e: (e["last"] < new["last"]) | (e["n"] > new["n"])), new))
+
+        return F.aggregate(runs(v, lambda x, y: x != y + 1), ends, step, lambda acc: F.coalesce(F.array_max(F.transform(acc, lambda e: e["n"])), F.lit(0)))
+
+    chain = let(ranks, lambda v: F.when(F.size(v) > 0, longest(v)).otherwise(F.lit(0).cast("long")))
+    return F.when(~F.arrays_overlap(a, b), F.lit(0).cast("long")).when(a == b, F.size(a).cast("long")).otherwise(chain)
+
+
 def likeness(a: Column, b: Column) -> Column:
-    """Jaccard similarity of the whole anchor sets: of words, and of characters too where both texts have such."""
+    """Matches in order over all anchors of both: of words, and of characters too where both texts have such."""
     none = F.array().cast(LONGS)
     both = a["chars"].isNotNull() & b["chars"].isNotNull()
     chars = lambda x: F.when(both, x["chars"]).otherwise(none)
-    shared = F.size(F.array_intersect(a["words"], b["words"])) + F.size(F.array_intersect(chars(a), chars(b)))
+    shared = in_order(a["words"], b["words"]) + F.when(both, in_order(a["chars"], b["chars"])).otherwise(F.lit(0))
     total = F.size(a["words"]) + F.size(b["words"]) + F.size(chars(a)) + F.size(chars(b))
     return let(shared, lambda n: let(total - n, lambda u: F.when(u == 0, F.lit(1.0)).otherwise(n / u)))
 
