@@ -128,3 +128,17 @@ def test_vehicle_segments(spark):
     rows = [(d, i, t) for d, lines in pages.items() for i, t in enumerate(lines)]
     got = {(r.doc_id, r.line_no): r.segment for r in vehicle.segments(spark.createDataFrame(rows, "doc_id string, line_no int, text string")).collect()}
     assert {d: [got.get((d, i)) for i in range(len(lines))] for d, lines in pages.items()} == want
+
+
+def test_classify_by_the_marks_of_the_whole_page(spark):
+    pages = {
+        "PASSPORT": [["Pass port", "姓名", "CHINESE VISA"]], "VISA": [["中华人民共和国签证"], ["Chinese", "Visa"]], "TAIWAN_TRAVEL_PERMIT": [["往来台湾通行证"], ["x 往來台灣通行證"]],
+        "ID_CARD": [["TURKIYE CUMHURIYETI"], ["Republic of", "Turkey"]], None: [["VISA"], ["TAIWAN"], ["IDENTITY CARD"], ["PASSPORT"], [""], [None]],
+    }
+    want, rows = {}, []
+    for kind, found in pages.items():
+        for texts in found:
+            want[len(want)] = kind
+            rows += [(len(want) - 1, i, t) for i, t in enumerate(texts)]
+    got = dict(viz.classify(spark.createDataFrame(rows, "doc_id int, item_idx int, text string")).collect())
+    assert got == {d: k for d, k in want.items() if k}

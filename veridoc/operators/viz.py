@@ -218,12 +218,15 @@ def personal_number(items: DataFrame, country: str) -> DataFrame:
 
 
 def classify(items: DataFrame) -> DataFrame:
-    """doc_id, kind: the visual document, by priority."""
-    up = F.upper("text")
-    has = lambda *words: F.max(up.rlike("|".join(words)))
-    flags = items.groupBy("doc_id").agg(has("PASSPORT").alias("p"), has("姓名").alias("n"), has("VISA").alias("v"), has("TAIWAN", "台湾居民").alias("t"), has("IDENTITY CARD", "KIMLIK KARTI", "KİMLİK KARTI").alias("c"))
-    kind = F.when(F.col("p") & F.col("n"), "PASSPORT").when(F.col("v"), "VISA").when(F.col("t"), "TAIWAN_TRAVEL_PERMIT").when(F.col("c"), "ID_CARD")
-    return flags.select("doc_id", kind.alias("kind")).where("kind is not null")
+    """doc_id, kind: the visual document, by priority; the marks may span items, which are joined by ``item_idx``."""
+    page = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("item_idx", F.trim("text").alias("t")))), lambda x: x["t"]), " ")
+    pages = items.where("text is not null").groupBy("doc_id").agg(page.alias("j")).withColumn("c", F.regexp_replace(F.upper("j"), "[^A-Z0-9]", ""))
+    j, c = F.col("j"), F.col("c")
+    kind = (
+        F.when(c.contains("PASSPORT") & j.contains("姓名"), "PASSPORT").when(j.contains("中华人民共和国签证") | c.contains("CHINESEVISA"), "VISA")
+        .when(j.contains("往来台湾通行证") | j.contains("往來台灣通行證"), "TAIWAN_TRAVEL_PERMIT").when(c.contains("TURKIYE") | c.contains("REPUBLICOFTURKEY"), "ID_CARD")
+    )
+    return pages.select("doc_id", kind.alias("kind")).where("kind is not null")
 
 
 def mapping_audit(items: DataFrame, labels: DataFrame, fields: DataFrame) -> DataFrame:

@@ -280,8 +280,8 @@ def personal_number(spark, sf_dir):
 @query("select o_orderkey doc_id, case o_orderkey % 5 when 0 then 'PASSPORT' when 1 then 'VISA' when 2 then 'TAIWAN_TRAVEL_PERMIT' when 3 then 'ID_CARD' end kind from orders where o_orderkey % 5 <> 4")
 def document_classify(spark, sf_dir):
     k = F.col("o_orderkey") % 5
-    words = F.when(k == 0, F.array(F.lit("Passport visa"), F.lit("姓名"))).when(k == 1, F.array(F.lit("Chinese Visa"))).when(k == 2, F.array(F.lit("TAIWAN residents"))).when(k == 3, F.array(F.lit("Kimlik Karti"))).otherwise(F.array(F.lit("other")))
-    return viz.classify(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.explode(words).alias("text")))
+    words = F.when(k == 0, F.array(F.lit("Passport visa"), F.lit("姓名"))).when(k == 1, F.array(F.lit("Chinese Visa"))).when(k == 2, F.array(F.lit("往来台湾通行证"))).when(k == 3, F.array(F.lit("Republic of"), F.lit("Turkey"))).otherwise(F.array(F.lit("other visa"), F.lit("Identity Card")))
+    return viz.classify(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.posexplode(words).alias("item_idx", "text")))
 
 
 @query(f"""with {LABELS} select f.doc_id, cast(f.item_idx as bigint) item_idx, case f.item_idx when 0 then 'document_number' when 1 then 'document_number' when 2 then 'birth_date' when 3 then 'birth_date' when 4 then 'sex' when 6 then 'nationality' else '' end mapped,
