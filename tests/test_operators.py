@@ -142,3 +142,8 @@ def test_classify_by_the_marks_of_the_whole_page(spark):
             rows += [(len(want) - 1, i, t) for i, t in enumerate(texts)]
     got = dict(viz.classify(spark.createDataFrame(rows, "doc_id int, item_idx int, text string")).collect())
     assert got == {d: k for d, k in want.items() if k}
+
+
+def test_fuzzy_captions_before_long_values(spark):
+    rows = spark.createDataFrame([(1, 0, "Passqort number: " + "7" * 80), (1, 1, "7" * 80), (1, 2, None)], "doc_id int, item_idx int, text string")
+    assert [(r.item_idx, r.field, r.alias) for r in viz.label_match_fuzzy(rows).collect()] == [(0, "document_number", "passport number")]

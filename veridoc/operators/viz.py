@@ -104,7 +104,7 @@ def label_match_fuzzy(items: DataFrame, least: float = 0.84) -> DataFrame:
 
         return pd.DataFrame([one(t or "") for t in texts], columns=["field", "alias", "ratio"])
 
-    rest = items.join(label_match(items).select("doc_id", "item_idx"), ["doc_id", "item_idx"], "left_anti").where(F.length("text") <= 60)
+    rest = items.join(label_match(items).select("doc_id", "item_idx"), ["doc_id", "item_idx"], "left_anti")
     caption = F.regexp_replace(F.regexp_extract(norm(F.col("text")), r"^([^:;|/]*)", 1), r"^[ /.\-—]+|[ /.\-—]+$", "")
     rest = rest.withColumn("_c", caption)
     known = rest.select("_c").distinct().withColumn("b", best("_c")).where("b.field is not null")  # captions recur; each is matched once
