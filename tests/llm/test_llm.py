@@ -398,3 +398,29 @@ def test_pipeline(spark, tmp_path, path):
     assert good[5][1].split()[0] not in got[5].text.split()[:3]
     v, recent = bpe.vocabulary(path)
     assert got[7].text == good[7][1] and list(got[7].token_ids) == list(bpe.array("I", bpe.encode_bytes(good[7][1], v, recent))) and got[7].decoded == v.decode(got[7].token_ids)
+
+
+@pytest.mark.parametrize("text, kinds", [
+    ("1" * 1_000_000, []), ("1-" * 400_000 + "1", []), ("a@b" + ".a" * 400_000, ["email"]), ("1.1.1." * 150_000, ["ip"]), ("7" * 500_000 + ".5", []), ("+1" * 300_000, []), ("+" + "1 (" * 300_000, []),
+    ("GB82 " * 200_000, []), ("x " * 300_000 + "me@here.org", ["email"]),
+])
+def test_pii_long_runs(spark, text, kinds):
+    rows = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
+    assert {pii.KINDS[s["kind"]] for s in pii.find_pii(rows).first().found} == set(kinds)
+    clean = pii.redact(rows).first().text
+    assert (clean == text) == (not kinds) and (kinds != ["email"] or clean.endswith("<EMAIL>"))
+
+
+def test_redact_keeps_all_else(spark):
+    rng = np.random.default_rng(3)
+    words = ["é字", "plain", "a@b.de", "4111 1111 1111 1111", "10.2.3.4", "+49 30 12345678", "😀", "x@y.z.w"]
+    texts = [" ".join(words[i] for i in rng.integers(0, len(words), n)) for n in (0, 1, 5, 300, 3000)]
+    rows = spark.createDataFrame([(i, t, 7, "f", "n") for i, t in enumerate(texts)], "doc_id int, text string, n_chars int, _found string, _new string")
+    found = {r.doc_id: r.found for r in pii.find_pii(rows).collect()}
+    for r in pii.redact(rows).collect():
+        at, out, t = 0, "", texts[r.doc_id]
+        for s in sorted(found[r.doc_id], key=lambda s: (s["start"], s["kind"], s["end"])):
+            if s["start"] >= at:
+                out += t[at : s["start"]] + f"<{pii.KINDS[s['kind']].upper()}>"
+            at = max(at, s["end"])
+        assert r.text == out + t[at:] and (r._found, r._new) == ("f", "n") and r.n_chars == (len(r.text) if found[r.doc_id] else 7)

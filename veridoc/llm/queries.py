@@ -61,6 +61,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", *[count(i).alias(f"n_{k}") for i, k in enumerate(pii.KINDS[:4])],
         F.sha2(pii.joined(F.filter("found", lambda s: s["kind"] < 4)), 256).alias("base_sha256"), pii.joined(F.col("found")).alias("spans"),
+        F.size("found").cast("long").alias("n_spans"),
     )
 
 
