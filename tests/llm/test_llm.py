@@ -90,26 +90,56 @@ def test_components(spark):
     assert all(got[i] == 0 for i in range(1, 51)) and got[101] == 100
 
 
-@pytest.mark.parametrize("shard", [1 << 20, 2000])
-def test_suffix_dedup(docs, empty, monkeypatch, shard):
-    monkeypatch.setattr(suffix_dedup, "SHARD", shard)
-    count = Counter()
-    for _, t in DOCS:
-        b = (t or "").encode()
-        count.update(b[p : p + 400] for p in range(len(b) - 399))
-    want = set()
-    for i, t in DOCS:
-        b = (t or "").encode()
+def covered(texts, length):
+    """For each text, whether each byte lies under a string of ``length`` bytes that also starts elsewhere."""
+    count = Counter(b[p : p + length] for b in texts for p in range(len(b) - length + 1))
+    for b in texts:
         m = bytearray(len(b))
-        for p in range(len(b) - 399):
-            if count[b[p : p + 400]] > 1:
-                m[p : p + 400] = b"\1" * 400
+        for p in range(len(b) - length + 1):
+            if count[b[p : p + length]] > 1:
+                m[p : p + length] = b"\1" * length
+        yield m
+
+
+def dedup_rows(docs):
+    texts = [(t or "").encode() for _, t in docs]
+    want = set()
+    for (i, _), b, m, soft in zip(docs, texts, covered(texts, 400), covered(texts, 256)):
         kept = bytes(x for x, y in zip(b, m) if not y)
-        want.add((i, len(b), sum(m), sum(1 for j in range(len(m)) if m[j] and not (j and m[j - 1])), hashlib.sha256(kept).hexdigest()))
-    assert {tuple(r) for r in suffix_dedup.dedup_report(docs).collect()} == want
+        want.add((i, len(b), sum(m), sum(1 for j in range(len(m)) if m[j] and not (j and m[j - 1])), hashlib.sha256(kept).hexdigest(), sum(soft)))
+    return want
+
+
+@pytest.mark.parametrize("shard, hot", [(1 << 20, 1 << 21), (2000, 1 << 21), (2000, 1)])
+def test_suffix_dedup(docs, empty, shard, hot):
+    assert {tuple(r) for r in suffix_dedup.dedup_report(docs, shard=shard, hot=hot).collect()} == dedup_rows(DOCS)
     assert suffix_dedup.dedup_report(empty).count() == 0
 
 
+@pytest.mark.parametrize("shard, hot", [(1 << 20, 1 << 21), (3000, 1 << 21), (3000, 20)])
+def test_suffix_dedup_common_passage(spark, shard, hot):
+    """A passage in most texts, of 300 to 500 bytes, and cut-off copies: many contexts of one key, over many shards."""
+    rng = np.random.default_rng(2)
+    passage = " ".join(f"p{i * i % 977}x" for i in range(90))
+    texts = []
+    for i in range(60):
+        a, b = (" ".join(f"w{x}" for x in rng.integers(0, 500, int(rng.integers(0, 60)))) for _ in range(2))
+        texts.append(a + passage[: int(rng.integers(300, len(passage)))] + b if i % 4 else a + b + texts[-1][:260] if texts else a)
+    rows = list(enumerate(texts))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    assert {tuple(r) for r in suffix_dedup.dedup_report(df, shard=shard, hot=hot).collect()} == dedup_rows(rows)
+
+
+def test_suffix_dedup_pieces(spark):
+    """Texts longer than a piece: repeated strings across the border of two pieces."""
+    word = " ".join(f"q{i * i % 4999}" for i in range(1_000_000))
+    half = suffix_dedup.PIECE
+    text = word[: half + 5000]
+    rows = spark.createDataFrame([(1, text), (2, "x" + text[half - 300 : half + 300] + "y"), (3, "z" + text[half : half + 450])], "doc_id bigint, text string")
+    got = {r.doc_id: (r.n_removed, r.n_repeated) for r in suffix_dedup.dedup_report(rows.where("doc_id > 1").unionAll(rows.where("doc_id = 1"))).collect()}
+    assert got[2] == (600, 600) and got[3] == (450, 450)
+
+
 def test_suffix_array_and_common_prefixes():
     text = np.frombuffer(b"banana bandana banana", np.uint8)
     sa, words = suffix_dedup.suffix_array(text)
