@@ -3,27 +3,26 @@
 A k-mer of consecutive words is an anchor when the least hash among its inner s-mers lies at its
 first or last place.  Whether a k-mer is chosen depends on its own words only, so an edit moves
 no anchor outside of it, and equal stretches of two texts carry equal anchors at shifted places.
-Short texts (under ``short_words`` words) also give anchors over their characters, kept apart:
-two short texts are compared over both kinds, all other pairs over words alone.  The fingerprint
-lists all anchor hashes of the whole text by place, 8 hex digits each, those of characters after
-a dot; likeness counts matches that keep their order, each as often as it stands in both texts.
-JVM expressions only.
+One rule holds for texts of every length.  The fingerprint lists all anchor hashes of the whole
+text by place, 8 hex digits each; likeness counts matches that keep their order, each as often
+as it stands in both texts.  JVM expressions only.
 
 Defined cases: a null or empty text has an empty fingerprint; a text of fewer than k words has
 one anchor over all its words; two empty fingerprints are alike (1.0), an empty one and another
 are not (0.0); repeated rows give equal rows; an empty table gives no rows; extra columns are
-ignored.
+ignored.  Words stand between white space, so a text without any is one word.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veridoc.llm.common import let, partitions
 
 GAP = r"[\x20\x09-\x0D]+"
 LONGS = "array<bigint>"
+RANGE = 128 << 20
 
 
 def chosen(hashes: Column, k: int, s: int) -> Column:
@@ -52,16 +51,9 @@ def anchors(text: Column, k: int = 4, s: int = 2) -> Column:
     return F.coalesce(let(word_hashes(text), lambda h: chosen(h, k, s)), none)
 
 
-def sketch(text: Column, k: int = 4, s: int = 2, short_words: int = 48, short_k: int = 8, short_s: int = 4) -> Column:
-    """struct<words,chars>: all anchor hashes in the order of the text, folded to 32 bits; ``chars`` is null for a text of ``short_words`` or more."""
-    fold = lambda a: F.transform(a, lambda x: F.shiftrightunsigned(x["hash"], 32))
-
-    def of(h: Column) -> Column:
-        units = F.transform(F.array_remove(F.split(text, ""), ""), lambda c: F.xxhash64(c))
-        chars = F.when(F.size(h) < short_words, let(units, lambda u: fold(chosen(u, short_k, short_s))))
-        return F.struct(fold(chosen(h, k, s)).alias("words"), chars.alias("chars"))
-
-    return let(F.coalesce(word_hashes(text), F.array().cast(LONGS)), of)
+def sketch(text: Column, k: int = 4, s: int = 2) -> Column:
+    """array<bigint>: all anchor hashes in the order of the text, folded to 32 bits."""
+    return F.transform(anchors(text, k, s), lambda x: F.shiftrightunsigned(x["hash"], 32))
 
 
 HIGH, LOW = 2**31, 2**31 - 1  # two numbers in one: a hash or a place above 31 bits that hold a place
@@ -85,6 +77,21 @@ def in_order(a: Column, b: Column) -> Column:
     """How many anchors of two texts match in one order: the nth of a hash meets the nth of the other text, and the longest
     chain of matches with rising places in both counts.
 
+    What both texts start with matches place by place, and nothing after it matches anything in it;
+    so it is counted at once, and chains are looked for in the rest alone.
+    """
+    zero = F.lit(0).cast("long")
+    shorter = F.least(F.size(a), F.size(b))
+    apart = F.array_position(F.zip_with(F.slice(a, 1, shorter), F.slice(b, 1, shorter), lambda x, y: x == y), False)
+    same = F.when(apart == 0, shorter.cast("long")).otherwise(apart - 1).cast("int")
+    rest = let(same, lambda n: F.struct(n.alias("n"), F.slice(a, n + 1, F.size(a)).alias("a"), F.slice(b, n + 1, F.size(b)).alias("b")))
+    chain = let(rest, lambda r: r["n"].cast("long") + F.when(F.arrays_overlap(r["a"], r["b"]), chained(r["a"], r["b"])).otherwise(zero))
+    return F.when(shorter == 0, zero).when(a == b, F.size(a).cast("long")).otherwise(chain)
+
+
+def chained(a: Column, b: Column) -> Column:
+    """The longest chain of matches between two texts.
+
     Matches that follow each other in both texts are one run; the fold over runs keeps only
     chain ends that no other end beats, so texts that share long stretches take one step for each.
     """
@@ -108,25 +115,18 @@ def in_order(a: Column, b: Column) -> Column:
 
         return F.aggregate(runs(v, lambda x, y: x != y + 1), ends, step, lambda acc: F.coalesce(F.array_max(F.transform(acc, lambda e: e["n"])), F.lit(0)))
 
-    chain = let(ranks, lambda v: F.when(F.size(v) > 0, longest(v)).otherwise(F.lit(0).cast("long")))
-    return F.when(~F.arrays_overlap(a, b), F.lit(0).cast("long")).when(a == b, F.size(a).cast("long")).otherwise(chain)
+    return let(ranks, lambda v: F.when(F.size(v) > 0, longest(v)).otherwise(F.lit(0).cast("long")))
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Matches in order over all anchors of both: of words, and of characters too where both texts have such."""
-    none = F.array().cast(LONGS)
-    both = a["chars"].isNotNull() & b["chars"].isNotNull()
-    chars = lambda x: F.when(both, x["chars"]).otherwise(none)
-    shared = in_order(a["words"], b["words"]) + F.when(both, in_order(a["chars"], b["chars"])).otherwise(F.lit(0))
-    total = F.size(a["words"]) + F.size(b["words"]) + F.size(chars(a)) + F.size(chars(b))
-    return let(shared, lambda n: let(total - n, lambda u: F.when(u == 0, F.lit(1.0)).otherwise(n / u)))
+    """Matches in order over all anchors of both texts."""
+    total = F.size(a) + F.size(b)
+    return let(in_order(a, b), lambda n: F.when(total == 0, F.lit(1.0)).otherwise(n / (total - n)))
 
 
 def hexed(marks: Column) -> Column:
-    """The word anchors' digits; for short texts, after a dot, those of the characters."""
-    digits = lambda x: F.array_join(F.transform(x, lambda v: F.lpad(F.hex(v), 8, "0")), "")
-    chars = digits(marks["chars"])
-    return F.concat(digits(marks["words"]), F.when(F.coalesce(chars, F.lit("")) == "", "").otherwise(F.concat(F.lit("."), chars)))
+    """The anchors' digits."""
+    return F.array_join(F.transform(marks, lambda v: F.lpad(F.hex(v), 8, "0")), "")
 
 
 def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -134,17 +134,18 @@ def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.select(F.col(id_col).alias("doc_id"), hexed(sketch(F.col(text_col))).alias("fingerprint"), anchors(F.col(text_col)).alias("anchors"))
 
 
-def with_next(docs: DataFrame, order: str, carry: list[str]) -> DataFrame:
-    """Adds next_<c> for each carried column: that of the row after, by ``order`` descending; after the last comes the first.
+def with_next(docs: DataFrame, order: str, text: str, made: dict[str, Column]) -> DataFrame:
+    """Adds the columns ``made`` from each row, and next_<c> of these and of ``text``: those of the row after, by ``order`` descending; after the last comes the first.
 
-    Rows are dealt into ranges of ``order`` (about as many as there are shuffle partitions,
-    bounds from an approximate quantile), in one shuffle; each range also gets a copy of the first row of the
-    range after it, so that no range needs another.  Rows of equal ``order`` stand by
-    the carried columns, descending; a null stands last.
+    Rows are dealt into ranges of ``order`` (as many as there are shuffle partitions, more if these would get
+    over RANGE bytes of text; bounds from an approximate quantile), in one shuffle; each range also gets a copy of the
+    first row of the range after it, so that no range needs another.  The columns are made after the shuffle, once
+    a row.  Rows of equal ``order`` stand by their text, descending; a null stands last.
     """
     spark = docs.sparkSession
     key = F.coalesce(F.col(order).cast("bigint"), F.lit(-(2**63)))
-    n = max(2, partitions(spark))
+    held = docs.agg(F.sum(F.octet_length(text).cast("bigint"))).first()[0] or 0
+    n = max(2, partitions(spark), -(-held // RANGE))
     cuts = docs.select(key.alias("k")).agg(F.percentile_approx("k", [i / n for i in range(1, n)], 10 * n)).first()[0] or []
     cuts = sorted(set(cuts))
     step = max(1, int(len(cuts) ** 0.5))
@@ -171,23 +172,22 @@ def with_next(docs: DataFrame, order: str, carry: list[str]) -> DataFrame:
     places = F.when(F.col("_k") == F.get(tops, here), F.array(F.struct(here.alias("b"), F.lit(0).alias("halo")), F.struct(F.get(to, here).alias("b"), F.lit(1).alias("halo"))))
     rows = docs.withColumn("_k", key).withColumn("_b", bucket(F.col("_k")))
     rows = rows.withColumn("_p", F.explode(F.coalesce(places, F.array(F.struct(here.alias("b"), F.lit(0).alias("halo"))))))
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("_p.b").orderBy(F.col("_p.halo"), F.col("_k").desc(), *[F.col(c).desc_nulls_last() for c in carry])
-    rows = rows.select("*", *[F.lead(c).over(w).alias(f"next_{c}") for c in carry])
+    rows = rows.repartition(n, F.col("_p.b")).select("*", *[c.alias(name) for name, c in made.items()])
+    w = Window.partitionBy("_p.b").orderBy(F.col("_p.halo"), F.col("_k").desc(), F.col(text).desc_nulls_last())
+    rows = rows.select("*", *[F.lead(c).over(w).alias(f"next_{c}") for c in (text, *made)])
     return rows.where(F.col("_p.halo") == 0).drop("_k", "_b", "_p")
 
 
 def edit_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Each document beside a copy whose second half is the start of the next document's text."""
     base = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = with_next(base, "doc_id", ["text"])
+    rows = with_next(base, "doc_id", "text", {"own": sketch(F.col("text"))})
     n = F.char_length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next_text"), F.lit(1), half))
-    rows = rows.select("doc_id", n.cast("long").alias("n_chars"), edited.alias("edited"), sketch(F.col("text")).alias("own"), sketch(F.col("next_text")).alias("nxt"))
+    rows = rows.select("doc_id", n.cast("long").alias("n_chars"), edited.alias("edited"), "own", "next_own")
     rows = rows.select("*", sketch(F.col("edited")).alias("ed"))
     return rows.select(
         "doc_id", "n_chars", F.sha2(F.col("edited"), 256).alias("edited_sha256"), hexed(F.col("own")).alias("fingerprint"), hexed(F.col("ed")).alias("edited_fingerprint"),
-        likeness(F.col("own"), F.col("ed")).alias("near_edited"), likeness(F.col("own"), F.col("nxt")).alias("near_next"),
+        likeness(F.col("own"), F.col("ed")).alias("near_edited"), likeness(F.col("own"), F.col("next_own")).alias("near_next"),
     )
