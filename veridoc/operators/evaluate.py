@@ -99,10 +99,10 @@ def compare(rows: DataFrame) -> DataFrame:
 
 def micro_accuracy(compared: DataFrame) -> DataFrame:
     """Exact share by section and field, by section, and overall, in one pass."""
-    compared.createOrReplaceTempView("_veridoc_compared")
-    exact = "sum(case when outcome = 'exact' then 1 else 0 end)"
-    return compared.sparkSession.sql(f"""select coalesce(section, 'ALL') section, coalesce(field, 'ALL') field, count(*) n, {exact} exact, round({exact} * 100.0d / count(*), 2) accuracy
-        from _veridoc_compared group by grouping sets ((section, field), (section), ())""")
+    exact = F.sum((F.col("outcome") == "exact").cast("long"))
+    sets = [[F.col("section"), F.col("field")], [F.col("section")], []]
+    found = compared.groupingSets(sets, "section", "field").agg(F.count("*").alias("n"), exact.alias("exact"))
+    return found.select(F.coalesce("section", F.lit("ALL")).alias("section"), F.coalesce("field", F.lit("ALL")).alias("field"), "n", "exact", F.round(F.col("exact") * 100.0 / F.col("n"), 2).alias("accuracy"))
 
 
 def engine_delta(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -131,44 +131,180 @@ def resume(files: DataFrame, done: DataFrame, key: str = "file") -> DataFrame:
     return files.join(done.where("ok").select(key).distinct(), key, "left_anti")
 
 
+def matching(weight: list[list[float]]) -> list[int]:
+    """The column of each row in a matching of the largest sum (square matrix), by shortest augmenting paths in O(n^3)."""
+    n = len(weight)
+    row_price, col_price, owner = [0.0] * (n + 1), [0.0] * (n + 1), [n] * (n + 1)  # owner: the row of each column; column n starts a path
+    for r in range(n):
+        owner[n], at = r, n
+        least, back, done = [float("inf")] * n, [n] * n, [False] * (n + 1)
+        while owner[at] != n:
+            done[at], i, step, nxt = True, owner[at], float("inf"), n
+            for j in range(n):
+                if not done[j]:
+                    cost = -weight[i][j] - row_price[i] - col_price[j]
+                    if cost < least[j] - 1e-12:
+                        least[j], back[j] = cost, at
+                    if least[j] < step - 1e-12:
+                        step, nxt = least[j], j
+            for j in range(n + 1):
+                if done[j]:
+                    row_price[owner[j]] += step
+                    col_price[j] -= step
+                elif j < n:
+                    least[j] -= step
+            at = nxt
+        while at != n:
+            owner[at], at = owner[back[at]], back[at]
+    out = [0] * n
+    for j in range(n):
+        out[owner[j]] = j
+    return out
+
+
 def assign(truth: DataFrame, found: DataFrame, fields: list[str]) -> DataFrame:
-    """Pairs of expected and found records of each file with the largest sum of similarities (exact, few records a file).
+    """Pairs of expected and found records of each file with the largest sum of similarities.
 
-    Both sides: file, idx and the fields.  Gives file, expected_idx, found_idx, score; missing partners are -1.
+    Both sides: file, idx and the fields.  Gives file, expected_idx, found_idx, score; missing partners are -1.  Similarities are
+    computed by one join on the file; only the matrix of one file's numbers reaches Python.
     """
     import pandas as pd
 
-    def ratio(a, b) -> float:
-        a, b = a or "", b or ""
-        row = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            last, row[0] = row[0], i
-            for j, y in enumerate(b, 1):
-                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-        return 1 - row[-1] / max(len(a), len(b), 1)
-
-    def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        left, right = left.sort_values("idx"), right.sort_values("idx")
-        file = (left if len(left) else right)["file"].iloc[0]
-        n = max(len(left), len(right))
-        lrows, rrows = left.to_dict("records"), right.to_dict("records")
-        weight = [[sum(ratio(lrows[i][f], rrows[j][f]) for f in fields if lrows[i][f] is not None) if i < len(lrows) and j < len(rrows) else 0.0 for j in range(n)] for i in range(n)]
-        # Best total for the first i records and each set of partners taken.
-        total = {0: (0.0, ())}
-        for i in range(n):
-            nxt: dict = {}
-            for taken, (s, picks) in total.items():
-                for j in range(n):
-                    if not taken >> j & 1:
-                        t, v = taken | 1 << j, (s + weight[i][j], (*picks, j))
-                        if t not in nxt or v[0] > nxt[t][0] + 1e-12 or abs(v[0] - nxt[t][0]) <= 1e-12 and v[1] < nxt[t][1]:
-                            nxt[t] = v
-            total = nxt
-        picks = next(iter(total.values()))[1] if n else ()
-        out = [(file, int(lrows[i]["idx"]) if i < len(lrows) else -1, int(rrows[j]["idx"]) if j < len(rrows) else -1, round(weight[i][j], 6)) for i, j in enumerate(picks)]
+    left = truth.select("file", F.col("idx").cast("bigint").alias("i"), F.struct(*fields).alias("a"))
+    right = found.select("file", F.col("idx").cast("bigint").alias("j"), F.struct(*fields).alias("b"))
+    blank = lambda side, f: F.coalesce(F.col(side)[f], F.lit(""))
+    score = sum((F.when(F.col("a")[f].isNull(), 0.0).otherwise(similarity(blank("a", f), blank("b", f))) for f in fields), F.lit(0.0))
+    pairs = left.join(right, "file").select("file", "i", "j", score.alias("w"))
+    alone = left.select("file", "i", F.lit(-1).cast("bigint").alias("j"), F.lit(0.0).alias("w")).unionByName(right.select("file", F.lit(-1).cast("bigint").alias("i"), "j", F.lit(0.0).alias("w")))
+
+    def best(rows: pd.DataFrame) -> pd.DataFrame:
+        file = rows["file"].iloc[0]
+        one, two = (sorted(rows.loc[rows[c] >= 0, c].unique().tolist()) for c in ("i", "j"))
+        n = max(len(one), len(two))
+        weight = [[0.0] * n for _ in range(n)]
+        at, to = {v: k for k, v in enumerate(one)}, {v: k for k, v in enumerate(two)}
+        for i, j, w in zip(rows["i"].tolist(), rows["j"].tolist(), rows["w"].tolist()):
+            if i >= 0 and j >= 0:
+                weight[at[i]][to[j]] = w
+        picks = matching(weight)
+        out = [(file, one[i] if i < len(one) else -1, two[j] if j < len(two) else -1, round(weight[i][j], 6)) for i, j in enumerate(picks)]
         return pd.DataFrame(out, columns=["file", "expected_idx", "found_idx", "score"])
 
-    return truth.groupBy("file").cogroup(found.groupBy("file")).applyInPandas(best, "file string, expected_idx bigint, found_idx bigint, score double")
+    return pairs.unionByName(alone).groupBy("file").applyInPandas(best, "file string, expected_idx bigint, found_idx bigint, score double")
+
+
+REQUIRED = ("document_number", "birth_date", "expiry_date", "composite")
+
+
+def held(checks: Column, names=REQUIRED) -> Column:
+    """How many of the named checks hold; none without a zone."""
+    return sum((F.coalesce(checks[n], F.lit(False)).cast("int") for n in names), F.lit(0))
+
+
+def image_rows(records: DataFrame, items: DataFrame, runs: DataFrame) -> DataFrame:
+    """One evaluation row for each image.  records: of ``recognize``; items: of the page; runs: doc_id, file, country, processing_ms."""
+    seen = items.groupBy("doc_id").agg(F.count("*").alias("detected_objects"), F.round(F.avg("score") * 100, 2).alias("ocr_mean_confidence_pct"))
+    rows = runs.join(records, "doc_id").join(seen, "doc_id", "left")
+    n = held(F.col("zone.checks"))
+    conf = F.transform(F.filter(F.map_values("fields"), lambda f: F.coalesce(f["value"], F.lit("")) != ""), lambda f: f["confidence"])
+    mean = F.when(F.size(conf) > 0, F.round(F.aggregate(conf, F.lit(0.0), lambda a, x: a + x) * 100 / F.size(conf), 2)).otherwise(0.0)
+    every = F.coalesce(F.size(F.map_filter("zone.checks", lambda k, v: v)) == 5, F.lit(False))
+    return rows.select(
+        "file", "country", "status", (F.size("zone.lines") > 0).alias("mrz_found"), n.alias("mrz_required_checks_passed"), F.lit(len(REQUIRED)).alias("mrz_required_checks_total"), F.round(n * 100.0 / len(REQUIRED), 2).alias("mrz_checksum_score_pct"),
+        (n == len(REQUIRED)).alias("mrz_all_required_valid"), every.alias("mrz_all_five_checks_valid"), F.size("zone.repairs").alias("mrz_repairs"), F.coalesce("detected_objects", F.lit(0)).alias("detected_objects"), F.size(conf).alias("structured_fields"),
+        F.coalesce("ocr_mean_confidence_pct", F.lit(0.0)).alias("ocr_mean_confidence_pct"), mean.alias("field_mean_confidence_pct"), "quality_status", "processing_ms", F.col("reasons").alias("reason_codes"))
+
+
+PASSPORT_PRESENCE = ("surname", "given_names", "birth_date", "sex", "nationality", "document_number", "expiry_date", "optional_data")
+VEHICLE_PRESENCE = ("registration_number", "make", "model", "type", "registration_date")
+
+
+def page_projection(records: DataFrame, items: DataFrame, vehicles: DataFrame, vehicle_pages: DataFrame, runs: DataFrame) -> DataFrame:
+    """What may leave the machine about a page: an identity without names, numbers and booleans; no text, value or file name.
+
+    vehicles: of ``vehicle_records``; vehicle_pages: doc_id, is_vehicle; runs: doc_id, document_id (a safe id), page, processing_ms.
+    """
+    from veridoc.sources.ingest import passport_page
+
+    text = items.groupBy("doc_id").agg(F.array_join(F.collect_list("text"), " ").alias("text"), F.count("*").alias("ocr_objects"))
+    cars = vehicles.groupBy("doc_id").agg(F.count("*").alias("vehicle_documents"), *[F.max(F.col(f) != "").alias(f"_v_{f}") for f in VEHICLE_PRESENCE])
+    rows = runs.join(records, "doc_id").join(text, "doc_id", "left").join(cars, "doc_id", "left").join(vehicle_pages.select("doc_id", "is_vehicle"), "doc_id", "left")
+    has = lambda f: F.coalesce(F.col("fields")[f]["value"], F.lit("")) != ""
+    zone = F.size("zone.lines") > 0
+    n = F.coalesce(F.size(F.map_filter("zone.checks", lambda k, v: v)), F.lit(0))
+    presence = F.struct(*[has(f).alias(f) for f in PASSPORT_PRESENCE], (F.coalesce("state", F.lit("")) != "").alias("issuing_state"))
+    cars_presence = F.struct(*[F.coalesce(F.col(f"_v_{f}"), F.lit(False)).alias(f) for f in VEHICLE_PRESENCE])
+    count = F.coalesce("vehicle_documents", F.lit(0))
+    return rows.select(
+        "document_id", "page", ((count > 0) | F.coalesce("is_vehicle", F.lit(False))).alias("vehicle_detected"), passport_page(F.coalesce("text", F.lit("")), zone).alias("passport_detected"), count.alias("vehicle_documents"),
+        cars_presence.alias("vehicle_field_presence"), presence.alias("passport_field_presence"), zone.alias("mrz_found"), F.col("zone.format").alias("mrz_format"), F.greatest(n, F.lit(0)).alias("mrz_checks_passed"), (n == 5).alias("mrz_all_checks_passed"),
+        F.coalesce("ocr_objects", F.lit(0)).alias("ocr_objects"), "processing_ms", "status")
+
+
+def count_documents(pages: DataFrame) -> DataFrame:
+    """file, documents: pages with a zone or a name, and vehicles.  pages: file, mrz_found, has_name, vehicle_documents."""
+    return pages.groupBy("file").agg((F.sum((F.col("mrz_found") | F.col("has_name")).cast("long")) + F.sum("vehicle_documents")).alias("documents"))
+
+
+# Names in the comparison schema, and where each engine keeps them (the first that is not blank counts).
+LOCAL_PASSPORT = {
+    "last_name": "holder.surname", "first_name": "holder.given_names", "patronymic": "holder.patronymic", "gender": "holder.sex", "nationality": "holder.nationality", "document_number": "document.passport_number", "issuing_state": "document.issuing_country_code",
+    "date_of_birth": "holder.birth_date", "date_of_expiry": "document.expiry_date", "date_of_issue": "document.issue_date", "optional_data": "mrz.optional_data", "authority": "document.issuing_authority", "place_of_birth": "holder.birth_place",
+}
+LOCAL_VEHICLE = {"vin": "vin", "plate": "registration_number", "brand": "make", "model": "model", "vehicle_type": "type", "body_number": "body_number", "chassis": "chassis_number", "register_date": "registration_date"}
+EXTERNAL_PASSPORT = {
+    "last_name": ["lastName"], "first_name": ["firstName"], "patronymic": ["patronymic"], "gender": ["gender"], "nationality": ["nationality"], "document_number": ["documentNumber", "documentNumberOnly"], "issuing_state": ["issuingState"],
+    "date_of_birth": ["dateOfBirthRu", "dateOfBirth"], "date_of_expiry": ["dateOfExpiryRu", "dateOfExpiry"], "date_of_issue": ["dateOfIssueRu", "dateOfIssue"], "optional_data": ["optionalData"], "authority": ["visualZone.fields.authority"], "place_of_birth": ["visualZone.fields.place_of_birth"],
+}
+EXTERNAL_VEHICLE = {"vin": ["vin"], "plate": ["plate"], "brand": ["markRaw", "markName"], "model": ["model"], "vehicle_type": ["vehicleType", "typeName"], "owner": ["owner"], "engine_no": ["engineNumber"], "body_number": ["bodyNumber"], "chassis": ["chassis"], "register_date": ["registerDate"], "issue_date": ["issueDate"]}
+
+
+def local_passport(contract: DataFrame, zones: DataFrame) -> DataFrame:
+    """Contracts in the comparison schema.  zones: id, lines."""
+    lines = F.coalesce("lines", F.array().cast("array<string>"))
+    return contract.join(zones, "id", "left").select("id", lines.alias("mrz_lines"), *[F.col(path).alias(n) for n, path in LOCAL_PASSPORT.items()])
+
+
+def local_vehicle(records: DataFrame) -> DataFrame:
+    none = [F.lit(None).cast("string").alias(n) for n in ("owner", "engine_no", "issue_date")]
+    return records.select("doc_id", "segment", *[F.col(c).alias(n) for n, c in LOCAL_VEHICLE.items()], *none)
+
+
+def external(answers: DataFrame, names: dict[str, list[str]], keep: list[str]) -> DataFrame:
+    """Another engine's answers (a column ``json``) in the comparison schema: the first alternative that is not blank."""
+    at = lambda path: F.nullif(F.get_json_object("json", f"$.{path}"), F.lit(""))
+    cols = [F.coalesce(*[at(p) for p in paths]).alias(n) for n, paths in names.items()]
+    if names is EXTERNAL_PASSPORT:
+        cols.append(F.coalesce(F.from_json(F.get_json_object("json", "$.mrzLines"), "array<string>"), F.array().cast("array<string>")).alias("mrz_lines"))
+    return answers.select(*keep, *cols)
+
+
+def file_results(files: DataFrame, pages: DataFrame, passports: DataFrame, vehicles: DataFrame) -> DataFrame:
+    """One result for each file: its passports (without empty ones) and vehicles with their pages, its number of pages and their summed time.
+
+    pages: file, page, processing_ms; passports and vehicles: file, page and their columns of the comparison schema.
+    """
+    def listed(rows: DataFrame, name: str) -> DataFrame:
+        own = [c for c in rows.columns if c != "file"]
+        return rows.groupBy("file").agg(F.sort_array(F.collect_list(F.struct("page", F.to_json(F.struct(*own)).alias("j")))).alias(name)).select("file", F.transform(name, lambda r: r["j"]).alias(name))
+
+    values = [c for c in passports.columns if c not in ("file", "page", "mrz_lines")]
+    real = F.size("mrz_lines") > 0
+    for c in values:
+        real = real | (F.coalesce(F.col(c), F.lit("")) != "")
+    none = F.array().cast("array<string>")
+    times = pages.groupBy("file").agg(F.count("*").alias("pages"), F.sum("processing_ms").alias("service_ms"))
+    out = files.select("file").join(times, "file", "left").join(listed(passports.where(real), "passports"), "file", "left").join(listed(vehicles, "vehicles"), "file", "left")
+    return out.select("file", F.coalesce("pages", F.lit(0)).alias("pages"), F.coalesce("service_ms", F.lit(0)).alias("service_ms"), F.coalesce("passports", none).alias("passports"), F.coalesce("vehicles", none).alias("vehicles"))
+
+
+def compare_zones(rows: DataFrame) -> DataFrame:
+    """rows: id, expected, found (lists of zone rows).  Adds exact and the mean similarity of the expected rows."""
+    clean = lambda c: F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda x: F.regexp_replace(F.upper(x), "[^A-Z0-9<]", ""))
+    each = rows.select("*", clean(F.col("expected")).alias("_a"), clean(F.col("found")).alias("_b"))
+    like = F.transform("_a", lambda a, i: similarity(a, F.coalesce(F.get("_b", i), F.lit(""))))
+    mean = F.when(F.size("_a") > 0, F.aggregate(like, F.lit(0.0), lambda t, x: t + x) / F.size("_a")).otherwise(1.0)
+    return each.select(*rows.columns, (F.col("_a") == F.col("_b")).alias("exact"), F.round(mean, 4).alias("similarity"))
 
 
 def quality_reasons(rows: DataFrame) -> DataFrame:

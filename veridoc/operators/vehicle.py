@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veridoc.functions.mrz import bound
+
+# The forms of a vehicle's number, of a Chinese plate, and of a numbered row of a certificate.
 VIN = r"(?<![A-Z0-9])([A-HJ-NPR-Z0-9]{17})(?![A-Z0-9])"
 PLATE = r"^([一-鿿][A-Z][A-Z0-9]{4,6}[挂学警港澳]?)$"
 NUMBERED = r"^([126])[.)-]?([A-ZА-ЯЁ0-9][A-ZА-ЯЁ0-9.'/-]{3,})$"
@@ -24,6 +27,30 @@ TYPE_ALIASES = [
 MAKE_ALIASES = [("SHACMAN", "561", "SHAANXI"), ("解放", "173", "FAW"), ("东风", "149", "DONGFENG"), ("福田", "188", "FOTON"), ("中国重汽", "261", "HOWO"), ("豪沃", "261", "HOWO"), ("陕汽", "561", "SHAANXI"), ("江淮", "294", "JAC"), ("宇通", "693", "YUTONG"), ("金龙", "331", "KING LONG"), ("比亚迪", "093", "BYD"), ("吉利", "200", "GEELY"), ("豪瀚", "261", "HOWO"), ("长城", "217", "GREAT WALL"), ("奇瑞", "121", "CHERY"), ("现代", "272", "HYUNDAI"), ("丰田", "628", "TOYOTA"), ("大众", "665", "VOLKSWAGEN")]
 
 
+# The classifier of vehicle types.
+TYPES = [
+    ("100", "Водное судно"), ("201", "Паровоз"), ("202", "Электровоз"), ("203", "Электропоезд"), ("204", "Тепловоз"), ("205", "Дизель-поезд"), ("206", "Путевая машина"), ("207", "Вагон пассажирский"), ("208", "Вагон багажный"),
+    ("209", "Вагон изотермический"), ("210", "Цистерна"), ("211", "Полувагон"), ("212", "Платформа"), ("298", "Прочий вагон"), ("301", "Легковой автомобиль общего назначения"), ("302", "Специальный легковой автомобиль"),
+    ("303", "Грузовой автомобиль общего назначения"), ("304", "Специальный грузовой автомобиль"), ("305", "Грузопассажирский автомобиль"), ("306", "Автомобиль-тягач"), ("307", "Седельный тягач"), ("308", "Пассажирский прицеп до 0,75 т"),
+    ("309", "Пассажирский прицеп 0,75–3,5 т"), ("310", "Пассажирский прицеп 3,5–10 т"), ("311", "Пассажирский прицеп более 10 т"), ("312", "Грузовой прицеп общего назначения"), ("313", "Специальный прицеп"), ("314", "Караван"),
+    ("315", "Пассажирский полуприцеп до 0,75 т"), ("316", "Пассажирский полуприцеп 0,75–3,5 т"), ("317", "Пассажирский полуприцеп 3,5–10 т"), ("318", "Пассажирский полуприцеп более 10 т"), ("319", "Грузовой полуприцеп общего назначения"),
+    ("320", "Специальный полуприцеп"), ("321", "Автобус общего назначения"), ("322", "Специальный автобус"), ("323", "Сочлененный автобус"), ("324", "Микроавтобус"), ("400", "Воздушное судно"), ("901", "Контейнер"), ("999", "Прочее транспортное средство"),
+]
+# Captions of the fields in running lines, and beside their values on the page.
+LINE_LABELS = {
+    "vin": ("VEHICLE IDENTIFICATION NUMBER", "ИДЕНТИФИКАЦИОННЫЙ НОМЕР (VIN)", "ИДЕНТИФИКАЦИОННЫЙ НОМЕР", "车辆识别代号", "车辆识别代码", "VIN"), "model": ("МОДЕЛЬ", "MODEL", "品牌型号"),
+    "body_number": ("НОМЕР КУЗОВА", "BODY NO"), "chassis_number": ("НОМЕР ШАССИ", "CHASSIS NO"), "registration_number": ("ГОСУДАРСТВЕННЫЙ НОМЕР", "РЕГИСТРАЦИОННЫЙ НОМЕР", "REGISTRATION NO"),
+    "registration_date": ("ДАТА РЕГИСТРАЦИИ", "DATE OF REGISTRATION", "REGISTRATION DATE"),
+}
+PAGE_LABELS = {
+    "vin": ("VEHICLE IDENTIFICATION NUMBER", "ИДЕНТИФИКАЦИОННЫЙ НОМЕР", "车辆识别代号", "车辆识别代码", "VIN"), "registration_number": ("PLATE NO", "REGISTRATION NO", "号牌号码", "号牌"), "model": ("MODEL",),
+    "registration_date": ("REGISTER DATE", "REGISTERDATE", "REGISTERDALE", "REGISTERDAIE", "REGISTRATION DATE", "注册日期"),
+}
+PLATE_LABEL, PLATE_REACH = "号牌号码", 5
+DAY = r"20\d{2}[-./]\d{1,2}[-./]\d{1,2}|\d{1,2}[-./]\d{1,2}[-./]20\d{2}"  # fixed value: a registration date
+FIELDS = ["vin", "make_code", "make", "type_code", "type", "registration_number", "registration_date", "body_number", "chassis_number", "model"]
+
+
 def vin(text: Column) -> Column:
     return F.regexp_extract(F.upper(text), VIN, 1)
 
@@ -40,7 +67,7 @@ def first_alias(text: Column, aliases: list[tuple]) -> Column:
     return out
 
 
-def brand(spark: SparkSession, texts: DataFrame, brands: DataFrame) -> DataFrame:
+def brand(texts: DataFrame, brands: DataFrame) -> DataFrame:
     """The longest brand (code, name) with word edges in each text; ``brands`` is a dimension of under a thousand rows."""
     edge = F.concat(F.lit("(?<![A-ZА-Я0-9])"), F.expr(r"regexp_replace(name, '([^A-Za-z0-9А-Яа-я ])', '\\\\$1')"), F.lit("(?![A-ZА-Я0-9])"))
     dim = F.broadcast(brands.withColumn("pattern", edge))
@@ -125,6 +152,133 @@ def segments(lines: DataFrame, gap: int = 8) -> DataFrame:
     return cut.where("segment > 0").drop("_i", "_d", "_s")
 
 
+def type_code(text: Column) -> Column:
+    """The code of the first written type, else of the longest classifier name inside the text, else ''."""
+    by_name = first_alias(text, [(name.upper(), code) for code, name in sorted(TYPES, key=lambda t: -len(t[1]))])
+    return bound(first_alias(text, TYPE_ALIASES), lambda c: F.when(c == "", by_name).otherwise(c))
+
+
+def type_name(code: Column) -> Column:
+    return F.coalesce(F.create_map(*[F.lit(x) for row in TYPES for x in row])[code], F.lit(""))
+
+
+def after_label(lines: Column, labels: tuple[str, ...]) -> Column:
+    """What follows the first line's caption, in that line or else as the next line; '' for none."""
+    def read(raw: Column, i: Column) -> Column:
+        up = F.upper(F.trim(raw))
+        found = []
+        for label in labels:
+            p = rf"(?<![A-ZА-ЯЁ0-9])\Q{label}\E(?![A-ZА-ЯЁ0-9])"
+            rest = F.trim(F.regexp_replace(F.regexp_extract(up, p + r"([\s\S]*)$", 1), "^[ :№#-]+", ""))
+            found.append(F.when(up.rlike(p), F.when(rest != "", rest).otherwise(F.upper(F.trim(F.get(lines, i + 1))))))
+        return F.coalesce(*found)
+
+    return F.coalesce(F.get(F.filter(F.transform(lines, read), lambda v: v.isNotNull()), F.lit(0)), F.lit(""))
+
+
+RECORD = "struct<registration_number:string,model:string,registration_date:string>"
+
+
+def numbered_record(lines: Column) -> Column:
+    """The fullest record of numbered rows: a valid row 1 opens one, rows 2 and 6 belong to the open one, the first of
+    each; without any, the first valid rows 2 and 6."""
+    def read(raw: Column) -> Column:
+        c = F.regexp_replace(F.upper(raw), r"\s+", "")
+        return F.struct(F.regexp_extract(c, NUMBERED, 1).alias("k"), F.regexp_replace(F.regexp_extract(c, NUMBERED, 2), r"^[. '/\-]+|[. '/\-]+$", "").alias("v"))
+
+    rows = F.filter(F.transform(lines, read), lambda r: r["k"] != "")
+    opens = lambda r: (r["k"] == "1") & valid_registration(r["v"])
+    is_model = lambda r: (r["k"] == "2") & valid_model(r["v"])
+    is_date = lambda r: (r["k"] == "6") & r["v"].rlike(r"^\d{2}[./-]\d{2}[./-]\d{4}$")
+    none = F.lit(None).cast("string")
+    new = lambda a, b, c: F.struct(a.alias("registration_number"), b.alias("model"), c.alias("registration_date"))
+
+    def step(acc: Column, r: Column) -> Column:
+        last = F.element_at(acc, -1)
+        filled = new(last["registration_number"], F.coalesce(last["model"], F.when(is_model(r), r["v"])), F.coalesce(last["registration_date"], F.when(is_date(r), r["v"])))
+        return F.when(opens(r), F.array_append(acc, new(r["v"], none, none))).when(F.size(acc) > 0, F.array_append(F.slice(acc, 1, F.size(acc) - 1), filled)).otherwise(acc)
+
+    def best(records: Column) -> Column:
+        rank = lambda r, i: F.struct((r["model"].isNotNull().cast("int") + r["registration_date"].isNotNull().cast("int")).alias("n"), F.coalesce(r["model"].contains("SHACMAN"), F.lit(False)).alias("s"), (-i).alias("i"), r.alias("r"))
+        return F.array_max(F.transform(records, rank))["r"]
+
+    first = lambda rs, test: F.get(F.filter(rs, test), F.lit(0))["v"]
+    return bound(rows, lambda rs: bound(F.aggregate(rs, F.array().cast(f"array<{RECORD}>"), step), lambda recs: F.when(F.size(recs) > 0, best(recs)).otherwise(new(none, first(rs, is_model), first(rs, is_date)))))
+
+
+def vehicle_fields(lines: Column, beside: dict[str, Column] | None = None, brand: Column | None = None) -> Column:
+    """The fields of one certificate from its lines, '' where unknown.
+
+    beside: values found beside captions on the page, for a page that was not split; brand: (code, name) from a
+    table of brands, which goes before the makes written in Chinese or glued to the model.
+    """
+    beside = beside or {}
+
+    def build(z: Column) -> Column:
+        rows, text, rec = z["lines"], z["text"], z["rec"]
+        filled = lambda c: F.nullif(c, F.lit(""))
+        label_at = F.array_position(F.transform(rows, lambda x: x.contains(PLATE_LABEL)), True).cast("int")
+        plates = F.filter(F.transform(F.slice(rows, label_at + 1, PLATE_REACH), chinese_plate), lambda p: p != "")
+        by_label = F.when(label_at > 0, F.get(plates, F.lit(0)))
+        own = {name: filled(after_label(rows, labels)) for name, labels in LINE_LABELS.items()}
+        at_side = lambda name: filled(beside[name]) if name in beside else F.lit(None).cast("string")
+        number = F.coalesce(own["registration_number"], by_label, rec["registration_number"], at_side("registration_number"), F.lit(""))
+        model = F.coalesce(own["model"], rec["model"], at_side("model"), F.lit(""))
+        date = F.coalesce(own["registration_date"], rec["registration_date"], at_side("registration_date"), F.lit(""))
+        words = F.regexp_extract_all(F.upper(model), F.lit("([A-Z0-9.-]{2,})"), F.lit(1))
+        fit = F.filter(words, lambda w: w.rlike("^[A-Z]+$") | ((F.length(w) >= 5) & w.rlike("[A-Z]") & w.rlike("[0-9]")))
+        longest = F.array_max(F.transform(fit, lambda w, i: F.struct(F.length(w).alias("n"), (-i).alias("i"), w.alias("w"))))["w"]
+        day = F.coalesce(filled(F.regexp_extract(date, DAY, 0)), filled(F.regexp_extract(text, DAY, 0)))
+        glued = F.regexp_replace(text, "[^A-ZА-ЯЁ0-9]", "").contains("SHACMAN")
+        make = F.when(glued, F.lit("561")).otherwise(first_alias(text, MAKE_ALIASES[1:]))
+        names = F.create_map(*[F.lit(x) for code, name in {m[1]: m[2] for m in MAKE_ALIASES}.items() for x in (code, name)])
+        code = F.coalesce(brand["code"], filled(make)) if brand is not None else filled(make)
+        name = F.coalesce(brand["name"], names[make]) if brand is not None else names[make]
+        blank = lambda c: F.coalesce(c, F.lit(""))
+        kind = type_code(text)
+        return F.struct(
+            vin(F.coalesce(filled(vin(text)), own["vin"], at_side("vin"), F.lit(""))).alias("vin"), blank(code).alias("make_code"), blank(name).alias("make"), kind.alias("type_code"), type_name(kind).alias("type"), number.alias("registration_number"),
+            F.coalesce(F.translate(day, "./", "--"), date).alias("registration_date"), blank(own["body_number"]).alias("body_number"), blank(own["chassis_number"]).alias("chassis_number"), blank(longest).alias("model"),
+        )
+
+    return bound(F.struct(lines.alias("lines"), F.upper(F.array_join(lines, "\n")).alias("text"), numbered_record(lines).alias("rec")), build)
+
+
+def vehicle_score(text: Column) -> Column:
+    """How many markers of a vehicle document are in the (upper-case) text or its letters alone."""
+    def count(z: Column) -> Column:
+        return sum((z["t"].contains(m).cast("long") for m in MARKERS), F.lit(0).cast("long")) + sum((z["c"].contains(m).cast("long") for m in COMPACT_MARKERS), F.lit(0).cast("long"))
+
+    return bound(F.struct(text.alias("t"), F.regexp_replace(text, "[^A-ZА-ЯЁ0-9]", "").alias("c")), count)
+
+
+def vehicle_records(lines: DataFrame, items: DataFrame | None = None, brands: DataFrame | None = None) -> DataFrame:
+    """Every distinct certificate of each document: doc_id, segment and FIELDS.
+
+    lines: doc_id, line_no, text; items: the page's items with their boxes, used only where the page is one segment; brands:
+    code, name.  Segments without a number, a plate or the marks of a vehicle document go.
+    """
+    seg = segments(lines).groupBy("doc_id", "segment").agg(F.sort_array(F.collect_list(F.struct("line_no", "text"))).alias("ls"))
+    rows = seg.select("doc_id", "segment", F.transform("ls", lambda x: x["text"]).alias("lines"))
+    beside, brand_col = {}, None
+    if items is not None:
+        single = rows.groupBy("doc_id").agg(F.count("*").alias("n")).where("n = 1").select("doc_id")
+        own = items.join(single, "doc_id")
+        for name, marks in PAGE_LABELS.items():
+            rows = rows.join(right_of_label(own, marks).withColumnRenamed("value", f"_{name}"), "doc_id", "left")
+            beside[name] = F.coalesce(F.col(f"_{name}"), F.lit(""))
+    if brands is not None:
+        key = F.concat_ws(":", "doc_id", "segment")
+        texts = rows.select(key.alias("doc_id"), F.array_join("lines", "\n").alias("text"))
+        found = brand(texts, brands).select(F.col("doc_id").alias("_key"), F.struct("code", "name").alias("_brand"))
+        rows = rows.join(found, key == F.col("_key"), "left")
+        brand_col = F.col("_brand")
+    text = F.upper(F.array_join("lines", " "))
+    rows = rows.select("doc_id", "segment", ((vehicle_score(text) >= 2) | text.rlike(VIN)).alias("marked"), vehicle_fields(F.col("lines"), beside, brand_col).alias("v"))
+    kept = rows.where((F.col("v.registration_number") != "") | (F.col("v.vin") != "") | F.col("marked")).select("doc_id", "segment", "v.*")
+    return merge_records(kept, [f for f in FIELDS if f not in ("registration_number", "vin")])
+
+
 def merge_records(records: DataFrame, fields: list[str]) -> DataFrame:
     """Records with one identity (plate and number, not both blank) become one; later ones fill blanks."""
     blank = (F.col("registration_number") == "") & (F.col("vin") == "")
@@ -135,7 +289,6 @@ def merge_records(records: DataFrame, fields: list[str]) -> DataFrame:
 
 def is_vehicle(lines: DataFrame) -> DataFrame:
     """doc_id, score, is_vehicle."""
-    text = lines.groupBy("doc_id").agg(F.upper(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "text"))), lambda x: x["text"]), " ")).alias("t"))
-    compact = F.regexp_replace("t", "[^A-ZА-ЯЁ0-9]", "")
-    score = sum((F.col("t").contains(m).cast("long") for m in MARKERS), F.lit(0)) + sum((compact.contains(m).cast("long") for m in COMPACT_MARKERS), F.lit(0))
-    return text.select("doc_id", score.cast("long").alias("score"), ((score >= 2) | F.col("t").rlike(VIN)).alias("is_vehicle"))
+    text = F.upper(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "text"))), lambda x: x["text"]), " "))
+    rows = lines.groupBy("doc_id").agg(text.alias("t")).withColumn("score", vehicle_score(F.col("t")))
+    return rows.select("doc_id", "score", ((F.col("score") >= 2) | F.col("t").rlike(VIN)).alias("is_vehicle"))

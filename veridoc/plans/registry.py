@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veridoc.functions import mrz
-from veridoc.operators import evaluate, items, reconcile, vehicle, viz
+from veridoc.operators import evaluate, items, recognize, reconcile, vehicle, viz
 from veridoc.sources import derived
 from veridoc.sources.derived import TODAY, table
 
@@ -99,9 +99,9 @@ DATE = lambda s, birth: (
     f"strftime(try_cast((" + (f"case when cast(substr({s},1,2) as int) <= 26 then '20' else '19' end" if birth else f"case when abs(1900 + cast(substr({s},1,2) as int) - 2026) <= abs(2000 + cast(substr({s},1,2) as int) - 2026) then '19' when abs(2000 + cast(substr({s},1,2) as int) - 2026) <= abs(2100 + cast(substr({s},1,2) as int) - 2026) then '20' else '21' end")
     + f" || substr({s},1,2) || '-' || substr({s},3,2) || '-' || substr({s},5,2)) as date), '%Y-%m-%d')"
 )
-PARSE = f"""p as (select id, score, line1, line2, regexp_replace(substr(line1, 3, 3), '<', '', 'g') issuing_state, trim(regexp_replace(string_split(substr(line1, 6, 39), '<<')[1], '[<]+', ' ', 'g')) surname,
+PARSE = f"""p as (select id, score, line1, line2, substr(line1, 3, 3) issuing_state, trim(regexp_replace(string_split(substr(line1, 6, 39), '<<')[1], '[<]+', ' ', 'g')) surname,
  trim(regexp_replace(substr(substr(line1, 6, 39), instr(substr(line1, 6, 39), '<<') + 2), '[<]+', ' ', 'g')) given_names, regexp_replace(substr(line2, 1, 9), '<', '', 'g') document_number, {DATE('substr(line2, 14, 6)', True)} birth_date,
- case when substr(line2, 21, 1) = '<' then 'X' else substr(line2, 21, 1) end sex, {DATE('substr(line2, 22, 6)', False)} expiry_date, trim(replace(substr(line2, 29, 14), '<', ' ')) optional_data, {', '.join(f"{ok(k, 'line2')} ok_{k}" for k in CHECK_PARTS)} from z)"""
+ case when substr(line2, 21, 1) = '<' then 'X' else substr(line2, 21, 1) end sex, {DATE('substr(line2, 22, 6)', False)} expiry_date, rtrim(substr(line2, 29, 14), '<') optional_data, {', '.join(f"{ok(k, 'line2')} ok_{k}" for k in CHECK_PARTS)} from z)"""
 
 
 @query(f"with {ZONE}, {PARSE} select id, issuing_state, surname, given_names, document_number, birth_date, sex, expiry_date, optional_data, cast(ok_document_number as int) + ok_birth_date::int + ok_expiry_date::int + ok_optional_data::int + ok_composite::int checks_passed from p")
@@ -125,9 +125,18 @@ def mrz_normalize_lines(spark, sf_dir):
     return derived.damaged_rows(spark, sf_dir).select("id", mrz.normalize_lines(F.col("lines")).alias("l")).select("id", F.get("l", F.lit(0)).alias("line1"), F.get("l", F.lit(1)).alias("line2"))
 
 
-@query()
+_MIX = "'OIBSG01856', '01856OIBSG'"
+#: Every flip of the first eight mixed-up places of a row with a failing required check, by brute force.
+REPAIRED = f"""q as (select id, l2 line2, score, [i for i in range(1, 45) if contains('OIBSG01856', substr(l2, i, 1))][1:8] ps, {' and '.join(ok(k, 'l2') for k in CHECK_PARTS if k != 'optional_data')} fine from d0),
+ m as (select id, line2, ps, unnest(range(1, cast(pow(2, len(ps)) as bigint))) m from q where not fine and len(ps) > 0),
+ t as (select id, m, array_to_string([case when list_contains(ps, i) and (m >> (len(ps) - list_position(ps, i))) & 1 = 1 then translate(substr(line2, i, 1), {_MIX}) else substr(line2, i, 1) end for i in range(1, 45)], '') c from m),
+ s as (select id, m, c, {n_ok('c')} * 10 - bit_count(m) sc from t), w as (select id, m, c, sc from s qualify row_number() over (partition by id order by sc desc, m) = 1),
+ r as (select q.id, q.line2, q.score, case when sc >= 39 then c else line2 end repaired, case when sc >= 39 then cast(bit_count(m) as int) else 0 end changes from q left join w on w.id = q.id)"""
+
+
+@query(f"with {DAMAGED}, {REPAIRED} select id, line2, repaired, changes, cast(len([i for i in range(1, 45) if substr(line2, i, 1) <> substr(repaired, i, 1)]) as int) logged from r")
 def mrz_repair(spark, sf_dir):
-    return mrz.repair_rows(derived.damaged_rows(spark, sf_dir).select("id", "line2"))
+    return mrz.repair_rows(derived.damaged_rows(spark, sf_dir).select("id", "line2")).withColumn("logged", F.size("repairs")).drop("repairs")
 
 
 @query(f"with {ZONE} select id, 'CUSTOMER' surname, trim(regexp_replace(split_part(line1, '<<', 2), '[<]+', ' ', 'g')) given_names from z")
@@ -136,17 +145,16 @@ def mrz_raw_identity(spark, sf_dir):
     return found.select("id", "r.surname", F.regexp_replace("r.given_names", " +$", "").alias("given_names"))
 
 
-@query(f"with {ZONE} select id, replace(substr(line1, 3, 3), '<', '') issuing_state, replace(substr(line2, 1, 9), '<', '') document_number, substr(line2, 21, 1) sex from z")
+@query(f"with {DAMAGED}, {PARSE} select d0.id, 'TD3' document_type, issuing_state, replace(substr(l2, 1, 9), '<', '') document_number, replace(substr(l2, 11, 3), '<', '') nationality, birth_date, sex, expiry_date from d0 join p on p.id = d0.id")
 def mrz_raw_document(spark, sf_dir):
-    rows = derived.mrz_rows(spark, sf_dir).where(F.col("line1").startswith("P") & F.col("line2").rlike(mrz.DATA_ROW))
-    return rows.select("id", F.replace(F.substring("line1", 3, 3), F.lit("<"), F.lit("")).alias("issuing_state"), F.replace(F.substring("line2", 1, 9), F.lit("<"), F.lit("")).alias("document_number"), F.substring("line2", 21, 1).alias("sex"))
+    return derived.damaged_rows(spark, sf_dir).select("id", mrz.raw_document(F.col("lines"), TODAY).alias("r")).select("id", "r.*")
 
 
 CONF = "least(0.99, 0.7 + 0.055 * (ok_document_number::int + ok_birth_date::int + ok_expiry_date::int + ok_optional_data::int + ok_composite::int))"
 
 
 @query(f"with {DAMAGED}, z9 as (select id, score, l2 line2, line1 from d0 join (select id i, line1 from z) on i = id), {PARSE.replace('from z)', 'from z9)')} " + " union all ".join(
-    f"select id, '{n}' field, {n if n != 'nationality' else 'regexp_replace(substr(line2, 11, 3), $$<$$, $$$$)'} \"value\", {('ok_' + n) if n in CHECK_PARTS else 'cast(null as boolean)'} checksum_valid, round({f'case when not ok_{n} then least(0.58, {CONF}) else {CONF} end' if n in CHECK_PARTS else CONF}, 3) confidence from p"
+    f"select id, '{n}' field, {n if n != 'nationality' else 'substr(line2, 11, 3)'} \"value\", {('ok_' + n) if n in CHECK_PARTS else 'cast(null as boolean)'} checksum_valid, round({f'case when not ok_{n} then least(0.58, {CONF}) else {CONF} end' if n in CHECK_PARTS else CONF}, 3) confidence from p"
     for n in ("document_number", "surname", "given_names", "nationality", "birth_date", "sex", "expiry_date", "optional_data")))
 def mrz_fields_unpivot(spark, sf_dir):
     lines = derived.mrz_rows(spark, sf_dir).select("id", "line1")
@@ -154,20 +162,32 @@ def mrz_fields_unpivot(spark, sf_dir):
 
 
 def _candidates(spark, sf_dir) -> DataFrame:
-    rows = derived.damaged_rows(spark, sf_dir).select("id", mrz.normalize_lines(F.col("lines")).alias("l"))
-    pair = derived.one_each(rows.select("id", F.get("l", F.lit(0)).alias("line1"), F.get("l", F.lit(1)).alias("line2")), "id")
-    return _parsed(mrz.repair_rows(pair).withColumn("line2", F.col("repaired")))
+    """Two candidates of each zone: as it was read, and with its first data character lost to a letter no check allows."""
+    rows = derived.damaged_rows(spark, sf_dir).select("id", mrz.normalize_lines(F.col("lines")).alias("l"), "score")
+    pair = rows.select("id", F.get("l", F.lit(0)).alias("line1"), F.get("l", F.lit(1)).alias("line2"), "score", F.lit(0).alias("idx"))
+    worse = pair.withColumn("line2", F.concat(F.lit("Z"), F.substring("line2", 2, 43))).withColumn("score", F.col("score") - 0.2).withColumn("idx", F.lit(1))
+    return pair.unionByName(worse)
 
 
-@query()
+_BEST = f"{DAMAGED}, {REPAIRED}"
+
+
+@query(f"with {_BEST} select id, repaired line2, changes, cast({n_ok('repaired')} as int) checks_passed from r")
 def mrz_best_parse(spark, sf_dir):
-    """Original and repaired row of each zone; the one with more checks wins, the original on a tie."""
-    return _candidates(spark, sf_dir).select("id", "line2", "changes", mrz.passed(F.col("p.checks")).alias("checks_passed"))
+    """The best reading over both candidates, each as it is and repaired."""
+    found = mrz.best_parse(_candidates(spark, sf_dir), TODAY)
+    return found.select("id", "line2", F.size("repairs").alias("changes"), mrz.passed(F.col("p.checks")).alias("checks_passed"))
 
 
-@query()
+_STATE = "(['CHN','UZB','RUS','TUR','KAZ','TJK','UTO'])[c_nationkey % 7 + 1]"
+_REQUIRED = " and ".join(ok(k, "repaired") for k in CHECK_PARTS if k != "optional_data")
+
+
+@query(f"""with {_BEST}, x as (select r.*, {_STATE} state, {_REQUIRED} fine, id % 13 = 0 bad from r join customer on c_custkey = id) select id, case when fine and state <> 'UTO' then 'accepted' when not fine and bad then 'retry_capture' else 'review' end status,
+ array_to_string([z for z in [case when bad then 'IMAGE_BLUR' end, case when changes > 0 then 'MRZ_OCR_CHECKSUM_CORRECTED' end, case when state = 'UTO' then 'UNSUPPORTED_ISSUING_STATE' end, {', '.join(f"case when not {ok(k, 'repaired')} then 'MRZ_{k.upper()}_CHECKSUM_FAILED' end" for k in CHECK_PARTS)}] if z is not null], '|') reasons from x""")
 def decision_status(spark, sf_dir):
-    rows = _candidates(spark, sf_dir).select("id", "p", "changes", F.lit(True).alias("lines_found"), F.when(F.col("id") % 13 == 0, "retry").otherwise("ok").alias("quality_status"))
+    bad = F.col("id") % 13 == 0
+    rows = mrz.best_parse(_candidates(spark, sf_dir), TODAY).select("id", "p", F.size("repairs").alias("changes"), F.lit(True).alias("lines_found"), F.when(bad, "retry").otherwise("ok").alias("quality_status"), F.when(bad, F.array(F.lit("IMAGE_BLUR"))).alias("quality_reasons"))
     return reconcile.decide(rows).select("id", "status", F.array_join("reasons", "|").alias("reasons"))
 
 
@@ -237,14 +257,20 @@ def label_match_fuzzy(spark, sf_dir):
  round(least(score, score * greatest(0.72, 1 - case field when 'document_number' then 40.0 else 20.0 end / 1200)), 3) confidence from (select lab.doc_id, lab.field, f.text, f.score from lab join f on lab.doc_id = f.doc_id and f.item_idx = lab.item_idx + 1 where lab.field in ('document_number', 'birth_date'))""")
 def spatial_nearest(spark, sf_dir):
     forms = derived.forms(spark, sf_dir)
-    found = viz.nearest_value(viz.label_match(forms), forms)
-    return found.where(F.col("field").isin("document_number", "birth_date"))
+    return viz.nearest_value(viz.label_match(forms), forms).drop("label_idx")
 
 
-@query(f"with {LABELS} select lab.doc_id, 'sex' field, f.text \"value\", round(least(f.score, 0.82), 3) confidence from lab join f on f.doc_id = lab.doc_id and f.item_idx = 5 where lab.field = 'sex'")
+@query(f"with {LABELS}, o as (select *, row_number() over (partition by doc_id order by y1, x1, item_idx) p from f) select lab.doc_id, lab.field, v.text \"value\", round(least(v.score, 0.82), 3) confidence from lab join o v on v.doc_id = lab.doc_id and v.item_idx = case lab.field when 'document_number' then 1 when 'birth_date' then 3 when 'sex' then 5 else 7 end join o l on l.doc_id = lab.doc_id and l.item_idx = lab.item_idx where v.p - l.p between 1 and 6")
 def reading_order(spark, sf_dir):
     forms = derived.forms(spark, sf_dir)
-    return viz.reading_order(viz.label_match(forms), forms).where("field = 'sex'")
+    return viz.reading_order(viz.label_match(forms), forms)
+
+
+@query(f"""with {LABELS}, x as (select lab.doc_id, lab.field, f.text, f.score, lab.item_idx from lab join f on f.doc_id = lab.doc_id and f.item_idx = case lab.field when 'document_number' then 1 when 'birth_date' then 3 when 'sex' then 5 else 6 end)
+ select doc_id, field, case when field = 'nationality' then 'uzb' else text end "value", case when field = 'sex' then 'viz|reading_order' else 'viz' end source,
+ round(case field when 'document_number' then score * (1 - 40.0 / 1200) when 'birth_date' then score * (1 - 20.0 / 1200) when 'sex' then least(score, 0.82) else score end, 3) confidence from x""")
+def viz_extract(spark, sf_dir):
+    return viz.extract(derived.forms(spark, sf_dir)).select("doc_id", "field", "value", F.array_join("source", "|").alias("source"), "confidence")
 
 
 @query(f"""with {FORMS}, d as (select 'birth_date' field union all select 'sex' union all select 'document_number' union all select 'surname_viz' union all select 'personal_number') select f.doc_id, item_idx, field,
@@ -289,8 +315,8 @@ def document_classify(spark, sf_dir):
 def mapping_audit(spark, sf_dir):
     forms = derived.forms(spark, sf_dir)
     labels = viz.label_match(forms)
-    values = viz.nearest_value(labels, forms).where(F.col("field").isin("document_number", "birth_date"))
-    return viz.mapping_audit(forms, labels, values)
+    found = viz.mapping_audit(forms, labels, viz.nearest_value(labels, forms))
+    return found.select("doc_id", "item_idx", F.array_join("mapped_keys", "|").alias("mapped"), "role", "confidence")
 
 
 # --- reconciliation and records -----------------------------------------------------------------
@@ -358,6 +384,51 @@ def personal_number_label(spark, sf_dir):
     return n.select(F.col("n_nationkey").alias("id"), reconcile.personal_label(state).alias("label"))
 
 
+@query(f"""with {_BEST}, x as (select r.id, repaired line2, {_STATE} state from r join customer on c_custkey = id) select id doc_id, case when state = 'UTO' then 'review' else 'accepted' end status, state, id % 5 = 0 corrected, substr(line2, 1, 9) document_number,
+ case when substr(line2, 21, 1) = '<' then 'X' else substr(line2, 21, 1) end <> case when id % 2 = 0 then 'M' else 'F' end sex_differs, 'TD3' "format" from x""")
+def recognize_documents(spark, sf_dir):
+    """The whole way from items of a page to its record."""
+    found = recognize.recognize(recognize.Passes(derived.passport_pages(spark, sf_dir)), TODAY)
+    return found.select("doc_id", "status", "state", F.array_contains("reasons", "MRZ_OCR_CHECKSUM_CORRECTED").alias("corrected"), F.col("fields")["document_number"]["value"].alias("document_number"),
+                        F.array_contains("reasons", "MRZ_VIZ_SEX_DIFF").alias("sex_differs"), F.col("zone.format").alias("format"))
+
+
+def _evidence(spark, sf_dir) -> DataFrame:
+    """id, type, state, fields, objects made from the valid zones."""
+    p = _parsed(derived.mrz_rows(spark, sf_dir))
+    names = ("document_number", "surname", "given_names", "birth_date", "sex", "nationality", "expiry_date", "optional_data")
+    one = lambda v, by: F.struct(v.alias("value"), v.alias("raw"), F.array(F.lit(by)).alias("source"), F.lit(0.9).alias("confidence"), F.lit(None).cast("boolean").alias("checksum_valid")).cast(reconcile.EVIDENCE)
+    more = {"surname_viz": F.concat("p.surname", F.lit(" SIGNATURE")), "patronymic": F.when(F.col("id") % 3 == 0, "OLEGOVNA"), "personal_number": F.when(F.col("id") % 2 == 0, F.col("id").cast("string")), "tax_number": F.when(F.col("id") % 5 == 0, "T1")}
+    pairs = F.array(*[F.struct(F.lit(n).alias("k"), one(F.col(f"p.{n}"), "mrz").alias("v")) for n in names], *[F.struct(F.lit(n).alias("k"), one(v, "viz").alias("v")) for n, v in more.items()])
+    objects = F.array(F.struct(F.lit(1).alias("index"), F.lit("x").alias("text"), F.array(F.lit("surname")).alias("mapped_keys")), F.struct(F.lit(2).alias("index"), F.lit("y").alias("text"), F.array().cast("array<string>").alias("mapped_keys")))
+    return p.select("id", F.lit("TD3").alias("type"), F.when(F.col("id") % 4 != 0, F.col("p.issuing_state")).alias("state"), F.map_from_entries(pairs).alias("fields"), objects.alias("objects"))
+
+
+_FULL = f"""{ZONE}, {PARSE}, f as (select id, document_number, surname, given_names, birth_date, sex, expiry_date, optional_data, substr(line2, 11, 3) nat, case when id % 4 <> 0 then issuing_state end state,
+ case when id % 3 = 0 then 'OLEGOVNA' end patr, case when id % 2 = 0 then cast(id as varchar) end pers, case when id % 5 = 0 then 'T1' end tax from p),
+ g as (select *, coalesce(state, case when nat <> 'UTO' then nat end) code, concat_ws(' ', surname, given_names, patr) fio from f),
+ h as (select *, case code when 'CHN' then 'Китай' when 'UZB' then 'Узбекистан' when 'RUS' then 'Россия' when 'TUR' then 'Турция' when 'KAZ' then 'Казахстан' when 'TJK' then 'Таджикистан' end country from g)"""
+
+
+@query(f"with {_FULL} select id, code, country, fio, document_number number, 8 + 1 + cast(patr is not null as int) + cast(pers is not null as int) + cast(tax is not null as int) - cast(optional_data = '' as int) evidence, cast(1 as int) unmapped, optional_data optional from h")
+def full_contract(spark, sf_dir):
+    c = reconcile.full_contract(_evidence(spark, sf_dir))
+    return c.select("id", F.col("document.issuing_country_code").alias("code"), F.col("document.issuing_country").alias("country"), F.col("holder.full_name").alias("fio"), F.col("document.passport_number").alias("number"),
+                    F.size("field_evidence").alias("evidence"), F.size("unmapped_objects").alias("unmapped"), F.col("mrz.optional_data").alias("optional"))
+
+
+@query(f"with {_FULL} select id, fio, birth_date, country, 'TD3' document_type, document_number, coalesce(tax, pers) inn from h")
+def compact_record(spark, sf_dir):
+    return reconcile.compact_record(reconcile.full_contract(_evidence(spark, sf_dir)))
+
+
+@query(f"""with {_FULL}, r as (select id, unnest([{{'place': 0, 'label': 'Фамилия', 'value': surname}}, {{'place': 1, 'label': 'Имя', 'value': given_names}}, {{'place': 2, 'label': 'Дата рождения', 'value': birth_date}}, {{'place': 3, 'label': 'Пол', 'value': case sex when 'M' then 'Мужской' when 'F' then 'Женский' else sex end}},
+ {{'place': 4, 'label': 'Гражданство', 'value': nat}}, {{'place': 5, 'label': 'Страна выдачи', 'value': coalesce(code, '')}}, {{'place': 6, 'label': 'Номер паспорта', 'value': document_number}}, {{'place': 7, 'label': 'Срок действия', 'value': expiry_date}}, {{'place': 8, 'label': 'Персональный номер', 'value': coalesce(pers, optional_data)}}]) r from h)
+ select id, cast(r.place as int) place, r.label label, coalesce(r.value, '') "value" from r""")
+def passport_rows(spark, sf_dir):
+    return reconcile.passport_rows(reconcile.full_contract(_evidence(spark, sf_dir)))
+
+
 # --- vehicle certificates -----------------------------------------------------------------------
 
 
@@ -418,6 +489,19 @@ def vehicle_type_lookup(spark, sf_dir):
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), vehicle.first_alias(text, vehicle.TYPE_ALIASES).alias("type_code"), vehicle.first_alias(text, vehicle.MAKE_ALIASES).alias("make_code"))
 
 
+@query(f"""with {LINES}, one as (select p_partkey doc_id, {_PLATE} plate, {_VEH[2]} model, {_VEH[3]} dy, {_VEH[4]} num from part)
+ select doc_id, cast(1 as bigint) segment, case when doc_id % 3 = 0 then substr(num, 6) else '' end vin, substr(plate, 3) registration_number, replace(substr(dy, 3), '.', '-') registration_date, replace(substr(model, 3), ' ', '') model, '' make, '' type_code, '' body_number from one""")
+def vehicle_records(spark, sf_dir):
+    return vehicle.vehicle_records(derived.vehicle_lines(spark, sf_dir)).select("doc_id", "segment", "vin", "registration_number", "registration_date", "model", "make", "type_code", "body_number")
+
+
+@query(f"""with {LINES}, one as (select p_partkey doc_id, {_PLATE} plate, {_VEH[2]} model, {_VEH[3]} dy, {_VEH[4]} num from part), r as (select doc_id, unnest([{{'place': 0, 'label': 'VIN', 'value': case when doc_id % 3 = 0 then substr(num, 6) else '' end}}, {{'place': 1, 'label': 'Марка', 'value': ''}}, {{'place': 2, 'label': 'Тип', 'value': ''}},
+ {{'place': 3, 'label': 'Госномер', 'value': substr(plate, 3)}}, {{'place': 4, 'label': 'Дата регистрации', 'value': replace(substr(dy, 3), '.', '-')}}, {{'place': 5, 'label': 'Модель', 'value': replace(substr(model, 3), ' ', '')}}]) r from one)
+ select doc_id, cast(1 as bigint) segment, cast(r.place as int) place, r.label label, r.value "value" from r""")
+def vehicle_rows(spark, sf_dir):
+    return reconcile.vehicle_rows(vehicle.vehicle_records(derived.vehicle_lines(spark, sf_dir)))
+
+
 # --- evaluation ---------------------------------------------------------------------------------
 
 
@@ -533,3 +617,74 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)
+
+
+@query("""with c as (select c_custkey id, c_name a, c_mktsegment b from customer), t as (select id, [upper(a), upper(b)] e, case id % 3 when 0 then [upper(a), upper(b)] when 1 then [upper(b)] else [] end f from c),
+ k as (select id, [regexp_replace(x, '[^A-Z0-9<]', '', 'g') for x in e] e, [regexp_replace(x, '[^A-Z0-9<]', '', 'g') for x in f] f from t),
+ s as (select id, e = f exact, [1 - levenshtein(e[i], coalesce(f[i], '')) / cast(greatest(length(e[i]), length(coalesce(f[i], ''))) as double) for i in range(1, 3)] s from k) select id, exact, round(list_sum(s) / 2, 4) similarity from s""")
+def zone_compare(spark, sf_dir):
+    k = F.col("c_custkey")
+    none = F.array().cast("array<string>")
+    rows = table(spark, sf_dir, "customer").select(k.alias("id"), F.array("c_name", "c_mktsegment").alias("expected"), F.when(k % 3 == 0, F.array("c_name", "c_mktsegment")).when(k % 3 == 1, F.array("c_mktsegment")).otherwise(none).alias("found"))
+    return evaluate.compare_zones(rows).select("id", "exact", "similarity")
+
+
+@query("select c_custkey id, case when c_custkey % 2 = 0 then c_name end last_name, case when c_custkey % 3 = 0 then c_name else cast(c_custkey as varchar) end document_number, c_mktsegment authority, cast(2 as int) zone_rows from customer")
+def external_passport(spark, sf_dir):
+    k = F.col("c_custkey")
+    none = F.lit(None).cast("string")
+    answer = F.struct(F.when(k % 2 == 0, F.col("c_name")).otherwise(none).alias("lastName"), F.when(k % 3 == 0, F.col("c_name")).otherwise("").alias("documentNumber"), k.cast("string").alias("documentNumberOnly"),
+                      F.array("c_name", "c_mktsegment").alias("mrzLines"), F.struct(F.struct(F.col("c_mktsegment").alias("authority")).alias("fields")).alias("visualZone"))
+    found = evaluate.external(table(spark, sf_dir, "customer").select(k.alias("id"), F.to_json(answer).alias("json")), evaluate.EXTERNAL_PASSPORT, ["id"])
+    return found.select("id", "last_name", "document_number", "authority", F.size("mrz_lines").alias("zone_rows"))
+
+
+@query("select p_partkey id, case when p_partkey % 2 = 0 then p_brand else p_type end brand, p_name model, cast(null as varchar) vin from part")
+def external_vehicle(spark, sf_dir):
+    k = F.col("p_partkey")
+    answer = F.struct(F.when(k % 2 == 0, F.col("p_brand")).alias("markRaw"), F.col("p_type").alias("markName"), F.col("p_name").alias("model"), F.lit("").alias("vin"))
+    return evaluate.external(table(spark, sf_dir, "part").select(k.alias("id"), F.to_json(answer).alias("json")), evaluate.EXTERNAL_VEHICLE, ["id"]).select("id", "brand", "model", "vin")
+
+
+@query(f"with {_FULL} select id, surname last_name, given_names first_name, patr patronymic, sex gender, code issuing_state, birth_date date_of_birth, cast(0 as int) zone_rows from h")
+def local_passport(spark, sf_dir):
+    rows = _evidence(spark, sf_dir)
+    found = evaluate.local_passport(reconcile.full_contract(rows), rows.select("id", F.array().cast("array<string>").alias("lines")).where("false"))
+    return found.select("id", "last_name", "first_name", "patronymic", "gender", "issuing_state", "date_of_birth", F.size("mrz_lines").alias("zone_rows"))
+
+
+@query("""with v as (select l_orderkey file, cast(l_linenumber as int) page, l_returnflag vin from lineitem), o as (select o_orderkey file, case when o_orderkey % 3 = 0 then o_orderstatus else '' end nm from orders)
+ select o.file, coalesce(n, 0) pages, cast(coalesce(ms, 0) as bigint) service_ms, cast(o.nm <> '' as int) passports, cast(coalesce(n, 0) as int) vehicles from o left join (select file, count(*) n, sum(page * 10) ms from v group by 1) c on c.file = o.file""")
+def file_results(spark, sf_dir):
+    o, li = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
+    pages = li.select(F.col("l_orderkey").alias("file"), F.col("l_linenumber").cast("int").alias("page"), (F.col("l_linenumber") * 10).cast("bigint").alias("processing_ms"))
+    cars = li.select(F.col("l_orderkey").alias("file"), F.col("l_linenumber").cast("int").alias("page"), F.col("l_returnflag").alias("vin"))
+    own = o.select(F.col("o_orderkey").alias("file"), F.lit(1).alias("page"), F.when(F.col("o_orderkey") % 3 == 0, F.col("o_orderstatus")).otherwise("").alias("last_name"), F.array().cast("array<string>").alias("mrz_lines"))
+    found = evaluate.file_results(own.select("file"), pages, own, cars)
+    return found.select("file", "pages", "service_ms", F.size("passports").alias("passports"), F.size("vehicles").alias("vehicles"))
+
+
+@query("select event_type file, cast(sum(case when user_id % 2 = 0 or value > 50 then 1 else 0 end) + sum(user_id % 3) as bigint) documents from events group by 1")
+def document_count(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    return evaluate.count_documents(e.select(F.col("event_type").alias("file"), (F.col("user_id") % 2 == 0).alias("mrz_found"), (F.col("value") > 50).alias("has_name"), (F.col("user_id") % 3).cast("bigint").alias("vehicle_documents")))
+
+
+@query(f"""with {ZONE}, x as (select z.*, {_STATE} state from z join customer on c_custkey = id) select cast(id as varchar) file, case when state = 'UTO' then 'review' else 'accepted' end status, true mrz_found, 100.0 mrz_checksum_score_pct, true mrz_all_five_checks_valid,
+ cast(id % 5 = 0 as int) mrz_repairs, cast(10 as bigint) detected_objects, round((8 * round((id % 20) / 100.0 + 0.75, 2) + 1.8) * 10, 2) ocr_mean_confidence_pct from x""")
+def image_rows(spark, sf_dir):
+    """Evaluation rows of whole pages."""
+    items_ = derived.passport_pages(spark, sf_dir)
+    found = recognize.recognize(recognize.Passes(items_), TODAY)
+    runs = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), F.col("c_custkey").cast("string").alias("file"), F.lit("UZB").alias("country"), F.lit(7).alias("processing_ms"))
+    return evaluate.image_rows(found, items_, runs).select("file", "status", "mrz_found", "mrz_checksum_score_pct", "mrz_all_five_checks_valid", "mrz_repairs", "detected_objects", "ocr_mean_confidence_pct")
+
+
+@query(f"""with {ZONE}, x as (select z.*, {_STATE} state from z join customer on c_custkey = id) select 'd' || id document_id, false vehicle_detected, true passport_detected, true mrz_found, true surname, true issuing_state, rtrim(substr(line2, 29, 14), '<') <> '' optional_data, cast(10 as bigint) ocr_objects from x""")
+def page_projection(spark, sf_dir):
+    """What may leave the machine about whole pages."""
+    items_ = derived.passport_pages(spark, sf_dir)
+    lines = items_.select("doc_id", F.col("item_idx").alias("line_no"), "text")
+    runs = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), F.concat(F.lit("d"), "c_custkey").alias("document_id"), F.lit(1).alias("page"), F.lit(7).alias("processing_ms"))
+    found = evaluate.page_projection(recognize.recognize(recognize.Passes(items_), TODAY), items_, vehicle.vehicle_records(lines), vehicle.is_vehicle(lines), runs)
+    return found.select("document_id", "vehicle_detected", "passport_detected", "mrz_found", "passport_field_presence.surname", "passport_field_presence.issuing_state", "passport_field_presence.optional_data", "ocr_objects")

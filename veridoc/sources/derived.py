@@ -19,10 +19,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def one_each(rows: DataFrame, key: str) -> DataFrame:
-    """One row for each key.  The aggregate also keeps the long expressions below from being copied into filters above."""
-    rest = [c for c in rows.columns if c != key]
-    return rows.groupBy(key).agg(F.max(F.struct(*rest)).alias("r")).select(key, "r.*")
+def dealt(rows: DataFrame, key: str) -> DataFrame:
+    """The rows over all cores: the tables come in one row group each.  The shuffle also keeps the long expressions
+    below from being copied into those above."""
+    return rows.repartition(rows.sparkSession.sparkContext.defaultParallelism, key)
 
 
 def mrz_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,7 +38,7 @@ def mrz_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     cd = mrz.check_digit
     base = base.withColumn("head", F.concat("doc", cd(F.col("doc")))).withColumn("b", F.concat("birth", cd(F.col("birth")))).withColumn("e", F.concat("expiry", cd(F.col("expiry")), "opt", cd(F.col("opt"))))
     line2 = F.concat("head", "state", "b", "sex", "e", cd(F.concat("head", "b", "e")))
-    return one_each(base.select("id", F.rpad(F.concat(F.lit("P<"), "state", F.lit("CUSTOMER<<N"), "name", F.lit("<ANNA")), 44, "<").alias("line1"), line2.alias("line2"), F.round("score", 3).alias("score")), "id")
+    return dealt(base.select("id", F.rpad(F.concat(F.lit("P<"), "state", F.lit("CUSTOMER<<N"), "name", F.lit("<ANNA")), 44, "<").alias("line1"), line2.alias("line2"), F.round("score", 3).alias("score")), "id")
 
 
 def damaged_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,7 +72,7 @@ def forms(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.lit("Sex"), 10, 150, 60, 175), (F.when(k % 2 == 0, "M").otherwise("F"), 700, 400, 720, 425), (F.lit("Nationality: UZB"), 10, 200, 300, 225), (F.col("c_mktsegment"), 10, 300, 200, 325),
     ]
     items = F.array(*[F.struct(F.lit(i).alias("item_idx"), t.alias("text"), *[F.lit(float(v)).alias(n) for n, v in zip(("x1", "y1", "x2", "y2"), box)]) for i, (t, *box) in enumerate(rows)])
-    return table(spark, sf_dir, "customer").select(k.alias("doc_id"), F.explode(items).alias("i"), F.round((k % 20) / 100 + 0.75, 2).alias("score")).select("doc_id", "i.*", "score")
+    return dealt(table(spark, sf_dir, "customer"), "c_custkey").select(k.alias("doc_id"), F.explode(items).alias("i"), F.round((k % 20) / 100 + 0.75, 2).alias("score")).select("doc_id", "i.*", "score")
 
 
 def vehicle_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,3 +85,10 @@ def vehicle_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     vin = F.concat(F.lit("VIN: "), F.translate(F.rpad(F.concat(F.lit("XW"), (k * 7919).cast("string")), 17, "Z"), "", ""))
     lines = F.array(F.lit("VEHICLE LICENSE"), plate, model, date, F.when(k % 3 == 0, vin).otherwise(F.lit("PLATE NO")), F.when(k % 4 == 0, plate).otherwise(F.lit("GRUZ")))
     return table(spark, sf_dir, "part").select(k.alias("doc_id"), F.posexplode(lines).alias("line_no", "text"))
+
+
+def passport_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The forms with the rows of a damaged zone below."""
+    zone = damaged_rows(spark, sf_dir).select(F.col("id").alias("doc_id"), F.posexplode("lines").alias("i", "text"))
+    low = zone.select("doc_id", (F.col("i") + 8).alias("item_idx"), "text", *[F.lit(v).alias(n) if n[0] == "x" else (F.col("i") * 60.0 + v).alias(n) for n, v in (("x1", 10.0), ("y1", 900.0), ("x2", 900.0), ("y2", 930.0))], F.lit(0.9).alias("score"))
+    return forms(spark, sf_dir).unionByName(low)
