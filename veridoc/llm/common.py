@@ -37,6 +37,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+BROADCAST = 64 << 20  # bytes of a table that is sent to every task
+
+
+def small_side(df: DataFrame, size: Column) -> DataFrame:
+    """A stored table, marked for broadcast if the sum of ``size`` (bytes of a row) is at most BROADCAST; else it is joined shuffled."""
+    held = df.agg(F.sum(size.cast("bigint"))).first()[0] or 0
+    return F.broadcast(df) if held <= BROADCAST else df
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Bounds the rows of an Arrow batch, so that Python workers hold a few MB of texts at a time."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:

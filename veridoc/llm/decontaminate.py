@@ -1,14 +1,15 @@
 """Benchmark decontamination: a broadcast hash set of normalised test n-grams.
 
-Every benchmark item gives its windows of ``n`` consecutive words (an item of fewer words is
-one window).  Window hashes are broadcast once their number is known to be small; all word
-windows of the training texts probe that set inside one code-generated stage, hits are
-verified word by word, and the words they cover are counted or cut out.  Beyond
-``broadcast_windows`` windows the same join runs shuffled.  JVM expressions only.
+Every benchmark item gives its windows of ``n`` consecutive words (an item of fewer words is one window).  Where the windows
+take at most ``limit`` bytes, their hashes make a set of bits that is sent to all tasks; the word windows of the training texts, of all
+lengths in one pass, probe it inside the row, and only the few that pass leave it.  These meet the broadcast windows and
+are verified word by word.  Beyond ``limit`` each window of the texts leaves its row as (document, place, hash), without the
+words, for a shuffled join, and words are fetched for hits only.  JVM expressions only.
 
 Defined cases: a null or wordless text has no words and no hits; a null or wordless item
 matches nothing; repeated rows each give their own (equal) row; an empty documents table gives
-no rows, an empty benchmark leaves every document clean; extra columns are ignored.
+no rows, an empty benchmark leaves every document clean; extra columns are ignored, and stay
+as they are in ``cut_spans``, whatever their names.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veridoc.llm.common import ascii_lower, let
+from veridoc.llm.common import ascii_lower, let, small_side, stored
 
 #: What separates words once A-Z are lower-cased, and what does before.
 GAPS_LOWERED = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -51,26 +52,45 @@ def item_windows(items: DataFrame, n: int, item_col: str, text_col: str) -> Data
     return one.distinct().select("item_id", F.size("window").alias("len"), hashed.alias("wh"), "window")
 
 
+LIMIT = 64 << 20  # bytes of windows that are sent to every task
+BITS_EACH = 32  # bits of the set for each window: one in 32 foreign windows passes
+
+
+def bit_set(hashes: list[int]) -> tuple[Column, int]:
+    """The set as a constant array of words of 64 bits, and the mask of a bit's place."""
+    size = 1 << max(12, (len(hashes) * BITS_EACH - 1).bit_length())
+    words = [0] * (size >> 6)
+    for h in hashes:
+        at = h & (size - 1)
+        words[at >> 6] |= 1 << (at & 63)
+    signed = (w - (1 << 64) if w >> 63 else w for w in words)
+    return F.split(F.lit(",".join(map(str, signed))), ",").cast("array<bigint>"), size - 1
+
+
 def find_hits(
     docs: DataFrame, items: DataFrame, n: int = 10, id_col: str = "doc_id", text_col: str = "text",
-    item_col: str = "item_id", item_text: str = "text", broadcast_windows: int = 2_000_000,
+    item_col: str = "item_id", item_text: str = "text", limit: int = LIMIT,
 ) -> DataFrame:
     """doc_id, th (hash of the text), pos (0-based word), len, items: verified occurrences of windows."""
     per_item = item_windows(items, n, item_col, item_text)
-    windows = per_item.groupBy("len", "wh", "window").agg(F.sort_array(F.collect_set("item_id")).alias("items"))
-    lengths = [(r["len"], r["n"]) for r in windows.groupBy("len").agg(F.count("*").alias("n")).collect()]  # n rows at most
-    windows = windows.withColumnRenamed("len", "wlen")
-    if sum(c for _, c in lengths) <= broadcast_windows:
-        windows = F.broadcast(windows)
+    windows = stored(per_item.groupBy("len", "wh", "window").agg(F.sort_array(F.collect_set("item_id")).alias("items")).withColumnRenamed("len", "wlen"), "windows")
+    held = F.octet_length(F.array_join("window", " ")) + 24 * F.col("wlen") + 16 * F.size("items") + 64
+    known = windows.groupBy("wlen").agg(F.sum(held.cast("bigint")).alias("bytes")).collect()  # n rows at most
+    sizes = sorted(r["wlen"] for r in known) or [n]
     text = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("th"), normal_words(F.col(text_col)).alias("ws"))
-    found = None
-    for size in sorted({k for k, _ in lengths}) or [n]:
-        rows = text.where(F.size("ws") >= size).select("doc_id", "th", "ws", F.posexplode(window_hashes(F.col("ws"), size)).alias("pos", "h"))
-        hit = rows.join(windows, (F.col("h") == F.col("wh")) & (F.col("wlen") == size))
-        hit = hit.where(F.slice("ws", F.col("pos") + 1, size) == F.col("window"))
-        hit = hit.select("doc_id", "th", "pos", F.lit(size).alias("len"), "items")
-        found = hit if found is None else found.unionByName(hit)
-    return found
+    verified = F.slice("ws", F.col("pos") + 1, F.col("wlen")) == F.col("window")
+    out = ["doc_id", "th", "pos", F.col("wlen").alias("len"), "items"]
+    spots = lambda keep: F.flatten(F.array(*[
+        F.filter(F.transform(window_hashes(F.col("ws"), size), lambda h, i: F.struct(i.alias("pos"), h.alias("h"), F.lit(size).alias("len"))), keep) for size in sizes]))
+    if sum(r["bytes"] for r in known) <= limit:
+        bits, mask = bit_set([r["wh"] for r in windows.select("wh").distinct().collect()])  # 8 of the ``limit`` bytes of each window, at most
+        at = lambda s: s["h"].bitwiseAND(F.lit(mask).cast("bigint"))
+        held_bit = lambda s: F.call_function("getbit", F.get(bits, F.shiftright(at(s), 6).cast("int")), F.pmod(at(s), F.lit(64)).cast("int")) == 1
+        rows = text.withColumn("spots", spots(held_bit)).where(F.size("spots") > 0).select("doc_id", "th", "ws", F.explode("spots").alias("s")).select("doc_id", "th", "ws", "s.*")
+        return rows.join(F.broadcast(windows), (F.col("h") == F.col("wh")) & (F.col("len") == F.col("wlen"))).where(verified).select(*out)
+    rows = text.select("doc_id", "th", F.explode(spots(lambda s: F.lit(True))).alias("s")).select("doc_id", "th", "s.*")
+    hit = rows.join(windows, (F.col("h") == F.col("wh")) & (F.col("len") == F.col("wlen"))).select(F.col("doc_id").alias("id2"), F.col("th").alias("th2"), "pos", "wlen", "window", "items").distinct()
+    return hit.join(text, (F.col("th") == F.col("th2")) & F.col("doc_id").eqNullSafe(F.col("id2"))).where(verified).select(*out)
 
 
 def hit_words(spots: Column) -> Column:
@@ -78,12 +98,18 @@ def hit_words(spots: Column) -> Column:
     return F.array_sort(F.array_distinct(F.flatten(F.transform(spots, lambda s: F.sequence(s["pos"], s["pos"] + s["len"] - 1)))))
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, n: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+def hits_by_document(found: DataFrame) -> DataFrame:
+    """hit_id, hit_th, hit_words, items: a row for each text with hits, stored, and sent to every task where it is small."""
+    by_doc = found.groupBy("doc_id", "th").agg(F.collect_set(F.struct("pos", "len")).alias("spots"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
+    rows = stored(by_doc.select(F.col("doc_id").alias("hit_id"), F.col("th").alias("hit_th"), hit_words(F.col("spots")).alias("hit_words"), "items"), "hits")
+    return small_side(rows, 4 * F.size("hit_words") + 16 * F.size("items") + 64)
+
+
+def decontaminate(
+    docs: DataFrame, items: DataFrame, n: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", limit: int = LIMIT,
+) -> DataFrame:
     """One row for each document: doc_id, n_words, n_hit, hit_words, items, contaminated."""
-    by_doc = find_hits(docs, items, n, id_col, text_col, item_col, item_text).groupBy("doc_id", "th").agg(
-        F.collect_set(F.struct("pos", "len")).alias("spots"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items")
-    )
-    by_doc = by_doc.select(F.col("doc_id").alias("hit_id"), F.col("th").alias("hit_th"), hit_words(F.col("spots")).alias("hit_words"), "items")
+    by_doc = hits_by_document(find_hits(docs, items, n, id_col, text_col, item_col, item_text, limit))
     base = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("th"), F.size(normal_words(F.col(text_col))).cast("long").alias("n_words"))
     none = F.array().cast("array<int>")
     return base.join(by_doc, F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("th") == F.col("hit_th")), "left").select(
@@ -96,23 +122,23 @@ def decontaminate(docs: DataFrame, items: DataFrame, n: int = 10, id_col: str =
     )
 
 
-def cut_spans(docs: DataFrame, items: DataFrame, n: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def cut_spans(docs: DataFrame, items: DataFrame, n: int = 10, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT) -> DataFrame:
     """The documents with every benchmark word cut out, in their own columns.
 
     The gaps between the words stay, so what is left reads as before.  A document of which no
     word is left after a cut goes; every document without a hit stays as it is, byte for byte.
     """
-    by_doc = find_hits(docs, items, n, id_col, text_col).groupBy("doc_id", "th").agg(F.collect_set(F.struct("pos", "len")).alias("spots"))
-    by_doc = by_doc.select(F.col("doc_id").alias("_hit_id"), F.col("th").alias("_hit_th"), hit_words(F.col("spots")).alias("_hit"))
-    joined = docs.withColumn("_th", F.xxhash64(text_col)).join(by_doc, F.col(id_col).eqNullSafe(F.col("_hit_id")) & (F.col("_th") == F.col("_hit_th")), "left")
-    words = F.array_remove(F.split(F.col(text_col), GAPS), "")
-    gaps = F.split(F.col(text_col), WORD, -1)  # one more than words; the first and the last may be empty
-    keep = F.map_from_arrays("_hit", F.transform("_hit", lambda _: F.lit(True)))
+    by_doc = hits_by_document(find_hits(docs, items, n, id_col, text_col, limit=limit)).select("hit_id", "hit_th", "hit_words")
+    own = docs.select(F.struct("*").alias("r"), F.col(id_col).alias("id"), F.col(text_col).alias("t"), F.xxhash64(text_col).alias("th"))
+    joined = own.join(by_doc, F.col("id").eqNullSafe(F.col("hit_id")) & (F.col("th") == F.col("hit_th")), "left")
+    words = F.array_remove(F.split("t", GAPS), "")
+    gaps = F.split("t", WORD, -1)  # one more than words; the first and the last may be empty
+    keep = F.map_from_arrays("hit_words", F.transform("hit_words", lambda _: F.lit(True)))
     kept = let(keep, lambda m: F.transform(words, lambda w, i: F.when(F.map_contains_key(m, i), "").otherwise(w)))
     rebuilt = F.array_join(F.zip_with(gaps, kept, lambda g, w: F.concat(g, F.coalesce(w, F.lit("")))), "")
-    cut = joined.withColumn(text_col, F.when(F.col("_hit").isNull(), F.col(text_col)).otherwise(rebuilt))
-    left = F.col("_hit").isNull() | F.col(text_col).rlike(WORD)
-    out = cut.where(left)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_hit").isNull(), F.col("n_chars")).otherwise(F.char_length(text_col).cast(docs.schema["n_chars"].dataType)))
-    return out.select(*docs.columns)
+    cut = joined.select("r", F.when(F.col("hit_words").isNotNull(), rebuilt).alias("new")).where(F.col("new").isNull() | F.col("new").rlike(WORD))
+    at = lambda c: F.col("r").getField(c)
+    out = {text_col: F.coalesce("new", at(text_col))}
+    if "n_chars" in docs.columns and text_col != "n_chars":
+        out["n_chars"] = F.coalesce(F.char_length("new").cast(docs.schema["n_chars"].dataType), at("n_chars"))
+    return cut.select(*[out.get(c, at(c)).alias(c) for c in docs.columns])

@@ -20,7 +20,7 @@ every pair of sets with 100 * intersection >= 75 * union, by these steps.
     home, by its name), and those of its partners as queries.  Inside a group, union-find spares the comparisons between sets that are linked
     already; of two linked parts, the smaller one's sets are compared.  Groups of more than
     ``CHUNK`` sets are dealt into chunks.
-6.  Components of the links give the classes.
+6.  Components of the links between sets give the classes; a class is named by its least document.
 
 Hashes have 64 bits: two unequal shingles meet with a chance of about 5e-20 for each compared pair.
 
@@ -385,10 +385,10 @@ def near_enough(batches):
 
 
 def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id of every document."""
+    """doc_id, n_shingles, component_id, text_hash and class_id (one value for each class; null for an empty set or no id) of every document."""
     spark = docs.sparkSession
     small_batches(spark)
-    texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
+    texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"))
     order = spark.sparkContext.broadcast(Order(frequent_shingles(texts)))
 
     def describe(batches):
@@ -398,9 +398,9 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 n.append(own.size)
                 ids.append(signed(set_id(own)) if own.size else None)
                 groups.append(signed(order.value.look(own)[1]) if own.size else None)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.int64()), pa.array(groups, pa.int64())], ["doc_id", "n", "s", "g"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(n, pa.int64()), pa.array(ids, pa.int64()), pa.array(groups, pa.int64())], ["doc_id", "text_hash", "n", "s", "g"])
 
-    described = stored(texts.mapInArrow(describe, "doc_id bigint, n bigint, s bigint, g bigint"), "sets")
+    described = stored(texts.mapInArrow(describe, "doc_id bigint, text_hash bigint, n bigint, s bigint, g bigint"), "sets")
     classes = stored(described.where("s is not null and doc_id is not null").groupBy("s").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("g").alias("g")), "classes")
     groups = stored(classes.groupBy("g").agg(F.count("*").alias("sets"), F.min("n").alias("least"), F.max("n").alias("most")), "groups")
 
@@ -444,12 +444,13 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     places = F.concat(F.when(F.col("kind") == 0, F.array(here)).otherwise(F.array().cast("array<struct<chunk:int,kind:int>>")), F.transform(later, lambda j: F.struct(j.alias("chunk"), F.lit(1).alias("kind"))))
     far = whole.join(routes, "g").withColumn("p", F.explode(places)).select("home", F.col("p.chunk").alias("chunk"), F.col("p.kind").alias("kind"), "s", "raw")
     found = own.unionByName(far).repartition(partitions(spark), "home", "chunk").sortWithinPartitions("home", "chunk", "kind", "s").mapInArrow(open_groups, "u bigint, v bigint")
-    ids = classes.select("s", "rep")
-    links = found.join(ids.withColumnRenamed("s", "u").withColumnRenamed("rep", "ru"), "u").join(ids.withColumnRenamed("s", "v").withColumnRenamed("rep", "rv"), "v").select(F.col("ru").alias("u"), F.col("rv").alias("v"))
-    roots = connected(links)
-    named = classes.select("s", "rep").join(roots, F.col("rep") == F.col("node"), "left").select(F.col("s").alias("s_"), F.coalesce("root", "rep").alias("root"))
+    roots = connected(found)
+    named = classes.select("s", "rep").join(roots, F.col("s") == F.col("node"), "left").select("s", "rep", F.coalesce("root", "s").alias("class_id"))
+    least = named.groupBy("class_id").agg(F.min("rep").alias("root"))
+    named = named.join(least, "class_id").select(F.col("s").alias("s_"), "class_id", "root")
+    has_id = F.col("doc_id").isNotNull()
     return described.join(named, F.col("s") == F.col("s_"), "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id")).alias("component_id"))
+        "doc_id", F.col("n").alias("n_shingles"), F.when(has_id, F.coalesce("root", "doc_id")).alias("component_id"), "text_hash", F.when(has_id, F.col("class_id")).alias("class_id"))
 
 
 BITS = 26
