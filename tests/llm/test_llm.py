@@ -516,3 +516,35 @@ def test_redact_keeps_all_else(spark):
                 out += t[at : s["start"]] + f"<{pii.KINDS[s['kind']].upper()}>"
             at = max(at, s["end"])
         assert r.text == out + t[at:] and (r._found, r._new) == ("f", "n") and r.n_chars == (len(r.text) if found[r.doc_id] else 7)
+
+
+def test_pipeline_stages_on_awkward_rows(spark, docs, empty, path):
+    """Nulls, empty and repeated rows, rows of one id with several texts, columns with the stages' own names, empty tables."""
+    import corpus_pipeline
+
+    rows = [(i, t) for i, t in DOCS] + [(6, BASE), (6, "another text of the same id, with words enough"), (None, BASE), (None, None)]
+    names = ["r", "new", "id", "th", "stays", "hit_words", "found", "class_id", "text_hash", "own_id"]
+    wide = spark.createDataFrame([(*r, *names) for r in rows], "doc_id bigint, text string, " + ", ".join(f"{n} string" for n in names)).repartition(3)
+    got = corpus_pipeline.near_duplicates(spark, wide, "")
+    assert got.columns == wide.columns
+    kept = sorted(((r.doc_id, r.text) for r in got.collect()), key=str)
+    sets = [shingles(t) for _, t in rows]
+    alike = lambda a, b: bool(a) and 100 * len(a & b) >= 75 * len(a | b)
+    group = list(range(len(rows)))
+    for _ in rows:
+        for a in range(len(rows)):
+            for b in range(len(rows)):
+                if rows[a][0] is not None and rows[b][0] is not None and alike(sets[a], sets[b]):
+                    group[a] = group[b] = min(group[a], group[b])
+    want = []
+    for g in sorted(set(group)):
+        own = [rows[k] for k in range(len(rows)) if group[k] == g]
+        want.append(own[0][0] if own[0][0] is None else min(i for i, _ in own))
+    assert sorted(map(str, want)) == sorted(str(i) for i, _ in kept) and (6, "another text of the same id, with words enough") in kept
+    assert all(tuple(r)[2:] == tuple(names) for r in got.collect())
+    clean = corpus_pipeline.personal_data(spark, wide, "")
+    assert clean.columns == wide.columns and clean.count() == len(rows)
+    last = corpus_pipeline.token_ids(spark, wide, "")
+    assert last.count() == len(rows) and [r.token_ids for r in last.where("text is null").collect()] == [[], []]
+    for stage in (corpus_pipeline.near_duplicates, corpus_pipeline.personal_data, corpus_pipeline.token_ids):
+        assert stage(spark, empty, "").count() == 0
