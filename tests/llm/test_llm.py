@@ -260,6 +260,40 @@ def test_html_cases(html, text):
     assert html_main.extract([html], *html_main.trained()) == [text]
 
 
+STORY = "<body><article><h1>A title here</h1><p>Some long text that is content, as one can see here.</p>"
+KEPT = "A title here\n\nSome long text that is content, as one can see here."
+
+
+@pytest.mark.parametrize("rest, text", [
+    ('<div class="abc', ""), ("<p", ""), ("<p>x <b", "x"), ("<p title='o'neil'>More words in this part.", "More words in this part."), ("<p title='a > b'>More words in this part.", "More words in this part."),
+    ('<p "a>More words in this part.', "More words in this part."), ("</ bogus><p>More words in this part.", "More words in this part."), ("<p>a < b and c > d, as they say.", "a < b and c > d, as they say."),
+    ("<p>\u0130\u0130\u0130 and so on.</p><script>var a = '</p>'</SCRIPT ><p>More words in this part.", "\u0130\u0130\u0130 and so on.\n\nMore words in this part."),
+    ('<table><tr><td data-label="Price">12 coins, and more words here.</td></tr></table>', "12 coins, and more words here."), ("<!--><p>More words in this part.", "More words in this part."),
+])
+def test_html_odd_markup(rest, text):
+    assert html_main.extract([STORY + rest], *html_main.trained()) == [KEPT + ("\n\n" + text if text else "")]
+
+
+def test_html_deep_and_long_pages():
+    import time
+
+    hard = ["<div>" * 20_000 + "x", "<ul>" + "<div>" * 5000 + "<li>x</li>" * 5000, "<button>" * 50_000, "<a b='" * 100_000 + '"', '<a b="' * 100_000, "<!--" * 100_000, "<x =" * 100_000, STORY + "<p>word " * 100_000]
+    began = time.time()
+    found = html_main.extract(hard, *html_main.trained())
+    assert time.time() - began < 30 and found[-1].startswith(KEPT)
+    assert list(html_main.portions([5, html_main.SLICE_CHARS, 7, 7])) == [(0, 1), (1, 2), (2, 4)] and list(html_main.portions([])) == []
+
+
+def test_main_text(spark):
+    page = STORY + "</article><footer>&copy; somebody</footer>"
+    rows = [(1, "u", page, "a", 0), (1, "u", page, "a", 0), (2, None, None, None, 1), (None, "v", "", "b", 2), (3, "w", page + "<p>" * 5, "c", 3)]
+    table = spark.createDataFrame(rows, "page_id bigint, url string, html string, text string, n_chars int")
+    want = [(None, "v", "", 0), (1, "u", KEPT, len(KEPT)), (1, "u", KEPT, len(KEPT)), (2, None, "", 0), (3, "w", KEPT, len(KEPT))]
+    assert sorted(map(tuple, html_main.main_text(table).collect()), key=lambda r: r[0] or 0) == want
+    none = html_main.main_text(table.where("false"))
+    assert none.count() == 0 and none.columns == ["page_id", "url", "text", "n_chars"]
+
+
 def test_url_filter(spark):
     urls = ["http://A.Example.org/es/1?x", "https://m.example.org/en/12#t", "http://example.org/en/2", "http://example.com/fr/9", "ftp://x.com/de/", "http://notexample.net", None, "no url", "http://org", "http://xorg/", "http://a.org:80/"]
     rows = spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string")

@@ -9,8 +9,9 @@ pages, for which the same messages give the expected counts.  The labelled pages
 a seeded generator of page layouts (LABELLED pages: the documented bound of the sample), since
 the tables carry no such labels.
 
-Defined cases: null or empty html gives an empty text; markup cut off anywhere is read as far as
-it goes; repeated rows give equal rows; an empty table gives no rows; whole pages are read.
+Defined cases: null or empty html gives an empty text; a tag that has begun ends at the next ``>`` outside a closed quoted value,
+or with the page, and is never text; repeated rows give equal rows; an empty table gives no rows; extra columns are ignored;
+whole pages of any length and depth are read, in linear time.
 """
 
 from __future__ import annotations
@@ -27,15 +28,25 @@ from pyspark.sql import DataFrame
 from veridoc.llm.common import small_batches
 
 LABELLED = 300
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+#: Comments and the like, or a tag: closing sign, name, attributes.  A quote counts only after "=" and only if it is closed, so a
+#: tag that has begun ends at the next ">" outside such quotes, or with the page.
+TOKEN = re.compile(
+    r"<!--(?:-?>|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</(?=[^a-zA-Z])[^>]*(?:>|\Z)"
+    r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+)(?:>|\Z)", re.S,
+)
 ATTRIBUTE = re.compile(r"(?:class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+SLICE = 200  # pages whose trees are worked on at once
+SLICE_CHARS = 16 << 20  # of their html; a longer page goes alone
 # Elements by their role.
 BLOCKS = "html body main article section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption blockquote pre figure figcaption header footer nav aside form fieldset address details summary hr center dialog menu legend".split()
 HIDDEN = "script style noscript template title textarea select option button svg iframe object canvas math audio video datalist head".split()
 RAW = "script style title textarea noscript iframe".split()
 VOID = "area base br col embed hr img input link meta source track wbr".split()
 CLOSES_P = set(BLOCKS)
+# An element that ends these before it if they are open inside the nearest of those.
+ENDS = {"li": (("li",), ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "tr": (("tr",), ("table",)), "td": (("td", "th"), ("tr",)), "th": (("td", "th"), ("tr",))}
+SHUT = {t: re.compile(f"</{t}(?=[\\s/>]|\\Z)", re.I | re.A) for t in HIDDEN}
 TAGS = "body main article section div p heading list li table quote pre figure header footer nav aside form address dialog leaf other".split()
 KIND = {"h1": "heading", "h2": "heading", "h3": "heading", "h4": "heading", "h5": "heading", "h6": "heading", "ul": "list", "ol": "list", "dl": "list", "dt": "li", "dd": "li", "table": "table", "thead": "table", "tbody": "table", "tfoot": "table", "tr": "table", "td": "table", "th": "table", "blockquote": "quote", "figcaption": "figure", "fieldset": "form", "legend": "form", "menu": "nav", "html": "body"}
 # Words of class, id and role that tell what an element is for.
@@ -64,13 +75,15 @@ RUNNING = {"p", "heading", "list", "li", "quote", "pre"}
 class Page:
     """The tree: parents, features as index lists, and the text of the leaves."""
 
-    def __init__(self, source: str):
+    def __init__(self, source: str, labelled: bool = False):
+        self.labelled = labelled
         self.parent: list[int] = [-1]
         self.features: list[list[int]] = [[0]]
         self.edge: list[int] = [0]
         self.leaves: list[tuple[int, str]] = []
         self.clutter: list[bool] = [False]
-        self.seconds: list[tuple[str, int]] = [("html", 0)]
+        self.open: list[tuple[str, int]] = [("html", 0)]
+        self.places: dict[str, list[int]] = {}  # of each tag, where in ``open`` it stands
         self.text: list[str] = []
         self.marks: dict[int, int] = {}  # only labelled pages have marks
         self.linked = self.link = 0
@@ -83,14 +96,14 @@ class Page:
             for m in ATTRIBUTE.finditer(attributes):
                 hints |= {HINT_OF[w] for x in WORDS.findall(m[1] or m[2] or m[3] or "") if (w := x.lower()) in HINT_OF}
         f += [1 + len(TAGS) + HINT_NAMES.index(h) for h in hints]
-        if self.clutter[self.seconds[-1][1]]:  # somewhere above is an element that tends not to hold content
+        if self.clutter[self.open[-1][1]]:  # somewhere above is an element that tends not to hold content
             f.append(N_FEATURES - 1)
-        self.clutter.append(self.clutter[self.seconds[-1][1]] or bool(CLUTTER & set(f)))
-        self.parent.append(self.seconds[-1][1])
+        self.clutter.append(self.clutter[self.open[-1][1]] or bool(CLUTTER & set(f)))
+        self.parent.append(self.open[-1][1])
         self.features.append(f)
         kind = TAGS[f[1] - 1]
         self.edge.append(2 if hints or kind not in PLAIN | RUNNING else 0 if kind in RUNNING else 1)
-        if "data-label" in attributes:
+        if self.labelled and "data-label" in attributes:
             self.marks[len(self.parent) - 1] = int(attributes[attributes.index("data-label") + 12])
         return len(self.parent) - 1
 
@@ -109,24 +122,31 @@ class Page:
                     f.append(base + 1)
                 if "©" in run or "cookie" in run.lower():
                     f.append(base + 2)
-                if self.seconds[-1][0] == "p":
+                if self.open[-1][0] == "p":
                     f.append(base + 3)
-                self.parent.append(self.seconds[-1][1])
+                self.parent.append(self.open[-1][1])
                 self.clutter.append(False)
                 self.features.append(f)
                 self.edge.append(0)
                 self.leaves.append((len(self.parent) - 1, run))
         self.text, self.linked = [], 0
 
+    def last(self, tags: tuple[str, ...]) -> int:
+        """Where the innermost open element with one of the tags stands, or 0."""
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=0)
+
+    def cut(self, k: int):
+        """Ends the open elements from place ``k`` on."""
+        while len(self.open) > k:
+            self.places[self.open.pop()[0]].pop()
+
     def close(self, tag: str):
-        for k in range(len(self.seconds) - 1, 0, -1):
-            if self.seconds[k][0] == tag:
-                del self.seconds[k:]
-                return
+        if self.places.get(tag):
+            self.cut(self.places[tag][-1])
 
     def read(self, source: str):
         at, end = 0, len(source)
-        lower = None
+        unshut = set()  # hidden elements without a closing tag from here on
         while at < end:
             m = TOKEN.search(source, at)
             if not m:
@@ -138,15 +158,15 @@ class Page:
             if m[2] is None:
                 continue
             tag, closing = m[2].lower(), m[1]
-            if tag in HIDDEN and not closing and tag not in ("head",) and not m[3].rstrip().endswith("/"):
-                lower = lower if lower is not None else source.lower()
-                stop = lower.find(f"</{tag}", at)
-                if stop < 0:
-                    if tag in RAW:
-                        break
-                    continue
-                shut = source.find(">", stop)
-                at = end if shut < 0 else shut + 1
+            if tag in SHUT and not closing and tag != "head" and not m[3].rstrip().endswith("/"):
+                stop = None if tag in unshut else SHUT[tag].search(source, at)
+                if stop:
+                    shut = source.find(">", stop.end())
+                    at = end if shut < 0 else shut + 1
+                elif tag in RAW:
+                    break
+                else:
+                    unshut.add(tag)
             elif tag == "br":
                 self.text.append(" ")
             elif tag == "a":
@@ -156,18 +176,14 @@ class Page:
                 if closing:
                     self.close(tag)
                     continue
-                if any(t == "p" for t, _ in self.seconds):
-                    self.close("p")
-                if tag in ("li", "dt", "dd", "tr", "td", "th"):
-                    limit = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr",), "th": ("tr",)}[tag]
-                    for k in range(len(self.seconds) - 1, 0, -1):
-                        if self.seconds[k][0] in limit:
-                            break
-                        if self.seconds[k][0] == tag or (tag, self.seconds[k][0]) in (("dt", "dd"), ("dd", "dt"), ("td", "th"), ("th", "td")):
-                            del self.seconds[k:]
-                            break
+                self.close("p")
+                if tag in ENDS:
+                    same, limit = map(self.last, ENDS[tag])
+                    if same > limit:
+                        self.cut(same)
                 if tag != "hr":
-                    self.seconds.append((tag, self.element(tag, m[3])))
+                    self.places.setdefault(tag, []).append(len(self.open))
+                    self.open.append((tag, self.element(tag, m[3])))
         self.flush()
 
     def put(self, text: str):
@@ -183,7 +199,7 @@ class Forest:
         counts = [len(p.parent) for p in pages]
         self.offset = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
         self.n = int(self.offset[-1])
-        self.parent = np.concatenate([np.array(p.parent) + (o if True else 0) for p, o in zip(pages, self.offset)]) if pages else np.zeros(0, np.int64)
+        self.parent = np.concatenate([np.array(p.parent) + o for p, o in zip(pages, self.offset)]) if pages else np.zeros(0, np.int64)
         roots = self.offset[:-1]
         self.parent[roots] = -1
         self.edge = np.concatenate([p.edge for p in pages]).astype(np.int64) if pages else np.zeros(0, np.int64)
@@ -195,7 +211,8 @@ class Forest:
             for i, q in enumerate(p.parent[1:], 1):
                 own[i] = own[q] + 1
             depth[o : o + len(own)] = own
-        self.levels = [np.flatnonzero(depth == d) for d in range(1, int(depth.max(initial=0)) + 1)]
+        order = np.argsort(depth, kind="stable")
+        self.levels = np.split(order, np.searchsorted(depth[order], np.arange(1, int(depth.max(initial=0)) + 1)))[1:]
 
     def marginals(self, weights: np.ndarray, edges: np.ndarray):
         """P(label = content) of each node, and of each edge the joint of (parent, child); also the log partition."""
@@ -356,7 +373,7 @@ def labelled(n: int = LABELLED, seed: int = 7) -> tuple[list[Page], list[list[in
     pages, labels = [], []
     while len(pages) < n:
         source, content = sample_page(rng)
-        page = Page(source)
+        page = Page(source, labelled=True)
         own = [0] * len(page.parent)
         for i in range(1, len(own)):  # parents come first
             own[i] = page.marks.get(i, own[page.parent[i]])
@@ -377,16 +394,28 @@ def extract(sources: list[str | None], weights: np.ndarray, edges: np.ndarray) -
     return ["\n\n".join(text for i, text in page.leaves if p[o + i] >= 0.5) for page, o in zip(pages, forest.offset)]
 
 
+def portions(sizes: list[int]):
+    """Ranges of at most SLICE pages and, unless it is one page, SLICE_CHARS of html."""
+    lo = held = 0
+    for i, size in enumerate(sizes):
+        if i > lo and (i - lo >= SLICE or held + size > SLICE_CHARS):
+            yield lo, i
+            lo, held = i, 0
+        held += size
+    if sizes:
+        yield lo, len(sizes)
+
+
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """page_id, url, text, n_chars of every page."""
+    """page_id, url, text, n_chars of every page; extra columns are ignored."""
     small_batches(pages.sparkSession)
     weights, edges = trained()
 
     def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                b = batch.slice(at, 200)
-                texts = extract(b.column(2).to_pylist(), weights, edges)
+            sources = batch.column(2).to_pylist()
+            for lo, hi in portions([len(s or "") for s in sources]):
+                b, texts = batch.slice(lo, hi - lo), extract(sources[lo:hi], weights, edges)
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     return pages.selectExpr(f"cast(`{id_col}` as bigint) as page_id", f"cast(`{url_col}` as string) as url", f"`{html_col}` as html").mapInArrow(run, "page_id bigint, url string, text string, n_chars bigint")
