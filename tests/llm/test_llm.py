@@ -342,6 +342,25 @@ def test_decontaminate(spark, docs, empty):
     assert all(kept[i] == t for i, t in DOCS if (i, False) in {(w[0], w[4]) for w in want}) and 5 not in kept
 
 
+@pytest.mark.parametrize("n", [1, 2, 5, 10])
+def test_decontaminate_windows_at_every_place(spark, n):
+    """Items of all lengths stand at all places of texts of a few words that recur often."""
+    import random
+
+    rng = random.Random(n)
+    some = lambda k: [rng.choice("abcdefg") for _ in range(k)]
+    bench = [some(k) for k in [*range(1, 14)] * 2]
+    texts = [some(rng.randint(0, 14)) + rng.choice(bench) + some(rng.randint(0, 14)) for _ in range(200)]
+    items = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(bench) if len(w) > n // 2], "item_id bigint, text string")
+    rows = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id bigint, text string")
+    wins = {tuple(w[k : k + min(n, len(w))]) for w in bench if len(w) > n // 2 for k in range(max(1, len(w) - n + 1))}
+    want = {}
+    for i, w in enumerate(texts):
+        want[i] = sorted({p for size in range(1, n + 1) for k in range(len(w) - size + 1) if tuple(w[k : k + size]) in wins for p in range(k, k + size)})
+    for limit in (decontaminate.LIMIT, 0):
+        assert {r.doc_id: r.hit_words for r in decontaminate.decontaminate(rows, items, n=n, limit=limit).collect()} == want
+
+
 def test_pii(docs, empty):
     base = [("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]")]
 

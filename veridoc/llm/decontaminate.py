@@ -1,8 +1,9 @@
 """Benchmark decontamination: a broadcast hash set of normalised test n-grams.
 
 Every benchmark item gives its windows of ``n`` consecutive words (an item of fewer words is one window).  Where the windows
-take at most ``limit`` bytes, their hashes make a set of bits that is sent to all tasks; the word windows of the training texts, of all
-lengths in one pass, probe it inside the row, and only the few that pass leave it.  These meet the broadcast windows and
+take at most ``limit`` bytes, sets of bits of their hashes are sent to all tasks and probed inside the row.  A text is cut into
+blocks of half a window, so that each of its windows holds a whole block; only windows around a block that some benchmark window
+holds are hashed and probed themselves, and the few that pass leave the row, meet the broadcast windows and
 are verified word by word.  Beyond ``limit`` each window of the texts leaves its row as (document, place, hash), without the
 words, for a shuffled join, and words are fetched for hits only.  JVM expressions only.
 
@@ -53,7 +54,7 @@ def item_windows(items: DataFrame, n: int, item_col: str, text_col: str) -> Data
 
 
 LIMIT = 64 << 20  # bytes of windows that are sent to every task
-BITS_EACH = 32  # bits of the set for each window: one in 32 foreign windows passes
+BITS_EACH = 128  # bits of a set for each hash in it: one in 128 foreign ones passes, at most
 
 
 def bit_set(hashes: list[int]) -> tuple[Column, int]:
@@ -67,6 +68,30 @@ def bit_set(hashes: list[int]) -> tuple[Column, int]:
     return F.split(F.lit(",".join(map(str, signed))), ",").cast("array<bigint>"), size - 1
 
 
+def held_bit(bits: Column, mask: int, h: Column) -> Column:
+    at = h.bitwiseAND(F.lit(mask).cast("bigint"))
+    return F.call_function("getbit", F.get(bits, F.shiftright(at, 6).cast("int")), F.pmod(at, F.lit(64)).cast("int")) == 1
+
+
+def half(n: int) -> int:
+    """Blocks of this many words, side by side from the start of a text: every window of ``n`` words holds a whole one."""
+    return (n + 1) // 2
+
+
+def likely_windows(words: Column, n: int, blocks: tuple[Column, int], windows: tuple[Column, int]) -> Column:
+    """(pos, h, len) of each window of ``n`` words that holds a block of the one set and is in the other."""
+    b = half(n)
+
+    def inside(h):
+        starts = F.sequence(F.lit(0), F.greatest(F.floor(F.size(h) / b).cast("int") - 1, F.lit(0)))
+        held = F.array_compact(F.transform(F.transform(starts, lambda m: F.xxhash64(F.slice(h, m * b + 1, b))), lambda x, m: F.when(held_bit(*blocks, x), m * b)))
+        around = F.flatten(F.transform(held, lambda at: F.sequence(F.greatest(at - (b - 1), F.lit(0)), at)))
+        found = F.transform(F.filter(around, lambda p: p + n <= F.size(h)), lambda p: F.struct(p.alias("pos"), F.xxhash64(F.slice(h, p + 1, n)).alias("h"), F.lit(n).alias("len")))
+        return F.filter(found, lambda s: held_bit(*windows, s["h"]))
+
+    return let(F.transform(words, lambda w: F.xxhash64(w)), inside)
+
+
 def find_hits(
     docs: DataFrame, items: DataFrame, n: int = 10, id_col: str = "doc_id", text_col: str = "text",
     item_col: str = "item_id", item_text: str = "text", limit: int = LIMIT,
@@ -80,15 +105,17 @@ def find_hits(
     text = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("th"), normal_words(F.col(text_col)).alias("ws"))
     verified = F.slice("ws", F.col("pos") + 1, F.col("wlen")) == F.col("window")
     out = ["doc_id", "th", "pos", F.col("wlen").alias("len"), "items"]
-    spots = lambda keep: F.flatten(F.array(*[
-        F.filter(F.transform(window_hashes(F.col("ws"), size), lambda h, i: F.struct(i.alias("pos"), h.alias("h"), F.lit(size).alias("len"))), keep) for size in sizes]))
     if sum(r["bytes"] for r in known) <= limit:
-        bits, mask = bit_set([r["wh"] for r in windows.select("wh").distinct().collect()])  # 8 of the ``limit`` bytes of each window, at most
-        at = lambda s: s["h"].bitwiseAND(F.lit(mask).cast("bigint"))
-        held_bit = lambda s: F.call_function("getbit", F.get(bits, F.shiftright(at(s), 6).cast("int")), F.pmod(at(s), F.lit(64)).cast("int")) == 1
-        rows = text.withColumn("spots", spots(held_bit)).where(F.size("spots") > 0).select("doc_id", "th", "ws", F.explode("spots").alias("s")).select("doc_id", "th", "ws", "s.*")
+        hashed = F.transform("window", lambda w: F.xxhash64(w))
+        b = F.floor((F.col("wlen") + 1) / 2).cast("int")
+        parts = windows.select(F.explode(F.transform(F.sequence(F.lit(1), F.col("wlen") - b + 1), lambda i: F.xxhash64(F.slice(hashed, i, b)))).alias("h"))
+        # 8 of the ``limit`` bytes of each window, and as many for each of its blocks, of which windows that overlap share all but one
+        sets = [bit_set([r["h"] for r in rows.distinct().collect()]) for rows in (parts, windows.select(F.col("wh").alias("h")))]
+        spots = F.flatten(F.array(*[likely_windows(F.col("ws"), size, *sets) for size in sizes]))
+        rows = text.withColumn("spots", spots).where(F.size("spots") > 0).select("doc_id", "th", "ws", F.explode("spots").alias("s")).select("doc_id", "th", "ws", "s.*")
         return rows.join(F.broadcast(windows), (F.col("h") == F.col("wh")) & (F.col("len") == F.col("wlen"))).where(verified).select(*out)
-    rows = text.select("doc_id", "th", F.explode(spots(lambda s: F.lit(True))).alias("s")).select("doc_id", "th", "s.*")
+    spots = F.flatten(F.array(*[F.transform(window_hashes(F.col("ws"), size), lambda h, i: F.struct(i.alias("pos"), h.alias("h"), F.lit(size).alias("len"))) for size in sizes]))
+    rows = text.select("doc_id", "th", F.explode(spots).alias("s")).select("doc_id", "th", "s.*")
     hit = rows.join(windows, (F.col("h") == F.col("wh")) & (F.col("len") == F.col("wlen"))).select(F.col("doc_id").alias("id2"), F.col("th").alias("th2"), "pos", "wlen", "window", "items").distinct()
     return hit.join(text, (F.col("th") == F.col("th2")) & F.col("doc_id").eqNullSafe(F.col("id2"))).where(verified).select(*out)
 
