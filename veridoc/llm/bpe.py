@@ -22,7 +22,7 @@ from array import array
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from veridoc.llm.common import small_batches
+from veridoc.llm.common import release, small_batches
 
 #: White space of the vocabulary's patterns: str.split() without U+001C to U+001F.
 ODD_SPACE = re.compile("[\x1c-\x1f]")
@@ -59,7 +59,7 @@ class Vocabulary:
         steps = spec["pre_tokenizer"]["pretokenizers"]
         self.pattern = next(s["pattern"]["Regex"] for s in steps if s["type"] == "Split")
         self.pieces = regex.compile(self.pattern).findall
-        self.recent_pieces = Recent(lambda piece: array("I", self.merge(piece)).tobytes(), 150_000)
+        self.recent_pieces = Recent(lambda piece: array("I", self.merge(piece)).tobytes(), 60_000)
         self.added_split = re.compile("(" + "|".join(map(re.escape, self.added)) + ")").split
 
     def merge(self, piece: str) -> list[int]:
@@ -96,7 +96,10 @@ class Vocabulary:
 
     def word(self, word: str) -> bytes:
         """Ids, as bytes, of a normalised stretch without white space."""
-        return b"".join([self.recent_pieces[piece] for piece in self.pieces(word)])
+        pieces = self.pieces(word)
+        if len(pieces) == 1:  # kept as a word, so not once more as a piece
+            return array("I", self.merge(pieces[0])).tobytes()
+        return b"".join([self.recent_pieces[piece] for piece in pieces])
 
     def decode(self, ids) -> str:
         return " ".join(map(self.strings.__getitem__, ids))
@@ -105,7 +108,7 @@ class Vocabulary:
 class Recent(dict):
     """What ``of`` makes of a word, kept for two generations of at most ``size`` words each."""
 
-    def __init__(self, of, size: int = 300_000):
+    def __init__(self, of, size: int):
         super().__init__()
         self.of, self.size, self.old = of, size, {}
 
@@ -129,10 +132,22 @@ def split(text: str) -> list[str]:
     return [w for w in SPACE.split(text) if w] if ODD_SPACE.search(text) else text.split()
 
 
+PORTION = 1 << 16  # characters of a text whose words are held at once; cut at spaces, which no rule of the normaliser reaches across
+
+
+def portions(text: str):
+    at = 0
+    while at < len(text):
+        to = text.find(" ", at + PORTION)
+        to = len(text) if to < 0 else to
+        yield text[at:to]
+        at = to
+
+
 def encode_bytes(text: str, v: Vocabulary, recent: Recent) -> bytes:
     """Ids as little-endian unsigned 32-bit integers."""
     if "<|" not in text:
-        return b"".join(map(recent.__getitem__, split(normal(text))))
+        return b"".join([b"".join(map(recent.__getitem__, split(normal(part)))) for part in portions(text)])
     ids = lambda part: array("I", [v.added[part]]).tobytes() if part in v.added else b"".join(map(recent.__getitem__, split(normal(part))))
     return b"".join(map(ids, v.added_split(text)))
 
@@ -182,11 +197,14 @@ def encode_texts(texts: list, of_words, whole):
 _VOCABULARIES: dict[str, tuple[Vocabulary, Recent]] = {}
 
 
-def vocabulary(path: str) -> tuple[Vocabulary, Recent]:
+def vocabulary(path: str, words: int = 300_000) -> tuple[Vocabulary, Recent]:
+    """The vocabulary, and what it makes of words; two generations of ``words`` words are kept."""
     if path not in _VOCABULARIES:
         v = Vocabulary(path)
-        _VOCABULARIES[path] = (v, Recent(v.word))
-    return _VOCABULARIES[path]
+        _VOCABULARIES[path] = (v, Recent(v.word, words))
+    v, recent = _VOCABULARIES[path]
+    recent.size = words
+    return v, recent
 
 
 DIGEST = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
@@ -222,7 +240,8 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "t
     names = schema.names
 
     def run(batches):
-        v, recent = vocabulary(path)
+        release()
+        v, recent = vocabulary(path, 50_000)  # beside the texts and ids that this stage carries
         for batch in batches:
             for lo in range(0, batch.num_rows, 250):
                 b = batch.slice(lo, 250)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veridoc.llm.common import small_batches
+from veridoc.llm.common import release, small_batches
 from veridoc.llm.textbytes import buffers, running, slices, span, word_bounds
 
 PASSAGE = 96
@@ -182,6 +182,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 x, bag = passages(data, off[lo : hi + 1])
                 cut = np.flatnonzero(np.append(True, bag[1:] != bag[:-1]))
                 yield pa.RecordBatch.from_arrays([b.column(1).slice(lo, hi - lo), b.column(2).slice(lo, hi - lo), pa.array([p.astype("<f4").tobytes() for p in np.split(x, cut[1:])], pa.binary())], ["doc_id", "y", "x"])
+        release()
 
     found = rows.select("text", "doc_id", "y").mapInArrow(run, "doc_id bigint, y int, x binary").toArrow().sort_by([("doc_id", "ascending"), ("x", "ascending")])
     model = Model()
@@ -201,6 +202,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             for lo, hi in slices(off, SLICE):
                 x, rows = passages(data, off[lo : hi + 1])
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(model.score(x, rows).astype(np.float64))], ["doc_id", "score"])
+        release()
 
     return docs.selectExpr(f"cast(`{id_col}` as bigint) as doc_id", f"`{text_col}` as text").mapInArrow(run, "doc_id bigint, score double")
 
@@ -215,5 +217,6 @@ def keep_good(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text_
             data, off = buffers(b.column(at))
             keep = np.concatenate([model.score(*passages(data, off[lo : hi + 1])) >= threshold for lo, hi in slices(off, SLICE)]) if b.num_rows else np.zeros(0, bool)
             yield b.filter(pa.array(keep))
+        release()
 
     return docs.mapInArrow(run, docs.schema)
