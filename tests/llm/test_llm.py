@@ -190,7 +190,8 @@ def test_bpe_portions(monkeypatch, path, portion):
     monkeypatch.setattr(bpe, "PORTION", portion)
     library, rng = Tokenizer.from_file(path), random.Random(portion)
     library.no_truncation()
-    v, recent = bpe.vocabulary(path, 50)
+    v = bpe.Vocabulary(path)
+    recent = bpe.Recent(v.word, 50)
     for n in (0, 1, 9, 64, 700):
         text = "".join(rng.choice(["word", " ", "  ", "\u03a3\u03c2 ", "e\u0301", " \u0301", "\n", "\u0130x ", "a,b! ", "\u5b57", "\u00a0"]) for _ in range(n))
         assert array("I", bpe.encode_bytes(text, v, recent)).tolist() == library.encode(text, add_special_tokens=False).ids

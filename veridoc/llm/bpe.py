@@ -197,14 +197,12 @@ def encode_texts(texts: list, of_words, whole):
 _VOCABULARIES: dict[str, tuple[Vocabulary, Recent]] = {}
 
 
-def vocabulary(path: str, words: int = 300_000) -> tuple[Vocabulary, Recent]:
-    """The vocabulary, and what it makes of words; two generations of ``words`` words are kept."""
+def vocabulary(path: str) -> tuple[Vocabulary, Recent]:
+    """The vocabulary, and what it makes of words; two generations of 300,000 words are kept."""
     if path not in _VOCABULARIES:
         v = Vocabulary(path)
-        _VOCABULARIES[path] = (v, Recent(v.word, words))
-    v, recent = _VOCABULARIES[path]
-    recent.size = words
-    return v, recent
+        _VOCABULARIES[path] = (v, Recent(v.word, 300_000))
+    return _VOCABULARIES[path]
 
 
 DIGEST = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
@@ -241,7 +239,8 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "t
 
     def run(batches):
         release()
-        v, recent = vocabulary(path, 50_000)  # beside the texts and ids that this stage carries
+        v = Vocabulary(path)  # the task's own: idle workers, of which an executor may have several, then hold none
+        recent = Recent(v.word, 50_000)
         for batch in batches:
             for lo in range(0, batch.num_rows, 250):
                 b = batch.slice(lo, 250)
@@ -250,5 +249,7 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "t
                 ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(raws), np.int32)))
                 decoded = pa.array([v.decode(array("I", r)) for r in raws], pa.string())
                 yield pa.RecordBatch.from_arrays([*b.columns, ids, decoded], names)
+        v = recent = None
+        release()
 
     return docs.mapInArrow(run, schema)
