@@ -246,6 +246,28 @@ def test_coder_round_trip(n):
             tokenfile.unpack(bytes(broken))
 
 
+def test_token_coder_mixes(path):
+    """On the ids of documents: fewer bits an id than the static order-0 entropy, and than deflate on 16-bit ids."""
+    import pyarrow.parquet as pq
+
+    texts = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"])["text"].to_pylist()
+    ids = tokenfile.library(path).encode(texts)[0]
+    frame = tokenfile.pack(np.array([1]), np.array([ids.size]), ids)
+    assert (tokenfile.unpack(frame)[2] == ids).all()
+    share = np.bincount(ids)[np.unique(ids)] / ids.size
+    bits = 8 * len(frame) / ids.size
+    assert bits < -(share * np.log2(share)).sum() and bits < 8 * len(zlib.compress(ids.astype("<u2").tobytes(), 9)) / ids.size
+
+
+@pytest.mark.parametrize("block", [1, 5, 64])
+def test_token_coder_blocks(block):
+    """Blocks of any length, with ids at both ends of their range, and predictions that agree by chance."""
+    rng = np.random.default_rng(block)
+    for high, n in ((1, 7), (2, 300), (5, 1000), (65_536, 1000)):
+        ids = np.append(rng.integers(0, high, n), [0, 65_535] if high > 5 else [0]).astype(np.uint32)
+        assert (tokenfile.unpack(tokenfile.pack(np.array([1]), np.array([ids.size]), ids, block))[2] == ids).all()
+
+
 def test_quality(spark, docs, empty):
     good = [(i, " ".join(f"plain{(i * 7 + k * k) % 50} words." for k in range(40)), 1) for i in range(300)]
     bad = [(i, " ".join(f"NOISE{k % 3}!!" for k in range(40)), 0) for i in range(300, 400)]

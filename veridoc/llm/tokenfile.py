@@ -3,17 +3,21 @@
 File format.  A token file is a Parquet file in the shared folder whose rows are frames, in
 ascending order of documents.  A frame is one binary value:
 
-    header   magic "VTF2", ids (u32), blocks (u32), block length (u32), documents (u32)
+    header   magic "VTF3", ids (u32), blocks (u32), block length (u32), documents (u32), bytes of the start (u32)
     table    document ids (i64 each), their numbers of ids (u32 each)
+    start    deflated: ids (u32), each id's frequency (u32), what follows it most often (u16), how sure that is (u8),
+             first weights (u16)
     blocks   crc32 of the block's ids (u32 each), words of code (u32 each), then the code words (u32)
     crc32    of everything before it (u32)
 
-Each block of ``BLOCK`` ids is coded on its own, with fresh models.  Three models predict the
-next id: order 2 (the id that last followed the two ids before), order 1 (that last followed the
-id before) and order 0 (the id seen last in its slot of a recency table, by its low 8 bits).
-Their hit rates, adapted every ``STEPS`` ids, are mixed into one interval: order 2, order 1, order 0
-spread over its 256 slots, and an escape spread over all ids; a range coder with a 64-bit range and
-carries codes it and gives 32-bit words.  All blocks of a frame are coded in step, one numpy lane for each.
+Each block of ``BLOCK`` ids is coded on its own: its models are reset to the frame's start.  Four
+predictions of the next id are mixed into one distribution over all ids: order 2 and order 1 of the
+block (the id that last followed the two before, or the one before), order 1 of the frame (the id
+that most often follows the one before) and order 0 (the frame's frequencies).  The weights are
+chosen by a small context (which predictions agree, whether order 2 has seen its context, how sure
+the frame's successor is) and move after each id towards the share that each prediction had in the
+probability of what came.  A range coder with a 64-bit range and carries codes the id in one step
+and gives 32-bit words.  All blocks of a frame are coded in step, one numpy lane for each.
 
 Parquet's commit protocol makes the writing safe against lost executors and repeated tasks.
 
@@ -30,168 +34,257 @@ import zlib
 
 import numpy as np
 
-MAGIC = b"VTF2"
+MAGIC = b"VTF3"
 BLOCK = 4096
 LANES = 1024
-O2_BITS, O1_BITS, O0_BITS = 10, 10, 8
-PROB_BITS, RATE, STEPS = 12, 5, 16
+O2_BITS, O1_BITS = 11, 10
+#: Frequencies of order 0 sum to 1 << FREQ; weights are kept in 16 bits and used in MIX bits.
+FREQ, MIX, RATE = 19, 10, 5
 #: A range is shared out in 1 << TOTAL parts; below 1 << WORD a word of code is settled.
-TOTAL, WORD = PROB_BITS + 16, 32
+TOTAL, WORD = FREQ + MIX, 32
+FINE = 16 - MIX
+IDS = 1 << 16
+SETS = 64
+SURE = (1 / 32, 1 / 8, 1 / 2)  # shares of an id's most frequent successor that part the levels of sureness
 U = np.uint64
 
 
-class Models:
-    """Predictions and hit rates of all lanes.  Rates move every ``STEPS`` ids."""
+class Start:
+    """What every block of a frame begins with."""
+
+    def __init__(self, freq: np.ndarray, follows: np.ndarray, sure: np.ndarray, weights: np.ndarray):
+        self.freq, self.follows, self.sure, self.weights = freq.astype(np.int32), follows, sure, weights
+        self.cum = (np.cumsum(freq) - freq).astype(np.int32)
+
+    @classmethod
+    def of(cls, ids: np.ndarray) -> Start:
+        """ids: all ids of the frame in order, below 65536, one at least."""
+        count = np.bincount(ids, minlength=IDS)
+        freq = (count > 0) + count * ((1 << FREQ) - np.count_nonzero(count)) // ids.size
+        freq[count.argmax()] += (1 << FREQ) - freq.sum()
+        pairs = ids[:-1].astype(np.uint32) << np.uint32(16) | ids[1:]
+        pairs.sort()
+        first = np.flatnonzero(np.append(True, pairs[1:] != pairs[:-1])[: pairs.size])
+        times, before = np.diff(np.append(first, pairs.size)), (pairs[first] >> np.uint32(16)).astype(np.int64)
+        most = np.zeros(IDS, np.int64)
+        np.maximum.at(most, before, times)
+        best = np.flatnonzero(times == most[before])[::-1]  # of ties the least id, which is written last
+        follows = np.zeros(IDS, np.uint16)
+        follows[before[best]] = pairs[first[best]].astype(np.uint16)
+        return cls(freq, follows, np.searchsorted(SURE, most / np.maximum(count, 1), "right").astype(np.uint8), np.zeros((3, SETS), np.uint16))
+
+    def packed(self) -> bytes:
+        n = int(np.flatnonzero(self.freq)[-1]) + 1
+        return zlib.compress(struct.pack("<I", n) + b"".join(a[:n].astype(k).tobytes() for a, k in ((self.freq, "<u4"), (self.follows, "<u2"), (self.sure, "u1"))) + self.weights.astype("<u2").tobytes())
+
+    @classmethod
+    def unpacked(cls, raw: bytes) -> Start:
+        raw, at, found = zlib.decompress(raw), 4, []
+        n = struct.unpack_from("<I", raw)[0]
+        for kind, wide in (("<u4", np.int64), ("<u2", np.uint16), ("u1", np.uint8)):
+            full = np.zeros(IDS, wide)
+            full[:n] = np.frombuffer(raw, kind, n, at)
+            at += n * np.dtype(kind).itemsize
+            found.append(full)
+        return cls(*found, np.frombuffer(raw, "<u2", 3 * SETS, at).reshape(3, SETS))
+
+    def context(self, p: np.ndarray, before: np.ndarray) -> np.ndarray:
+        """The weights' context.  p: the predictions of order 2, order 1 and the frame's order 1, each of any shape."""
+        a, b, c = p
+        found = self.sure.take(before)
+        for bit, same in ((2, a == b), (3, b == c), (4, a == c), (5, a == 0)):
+            found |= same.view(np.uint8) << np.uint8(bit)
+        return found
+
+
+class Memory:
+    """The ids that last followed, in all lanes."""
 
     def __init__(self, lanes: int):
-        self.lanes, self.at = lanes, np.arange(lanes)
-        self.o2 = np.zeros(lanes << O2_BITS, np.uint16)
-        self.o1 = np.zeros(lanes << O1_BITS, np.uint16)
-        self.o0 = np.zeros(lanes << O0_BITS, np.uint16)
-        self.base2, self.base1, self.base0 = self.at << O2_BITS, self.at << O1_BITS, self.at << O0_BITS
-        self.rate = np.full((3, lanes), 1 << (PROB_BITS - 2), np.int64)
-        self.share()
-
-    def contexts(self, before: np.ndarray, before2: np.ndarray):
+        at = np.arange(lanes)
+        self.o2, self.o1 = np.zeros(lanes << O2_BITS, np.uint16), np.zeros(lanes << O1_BITS, np.uint16)
+        self.base2, self.base1 = at << O2_BITS, at << O1_BITS
+
+    def places(self, before: np.ndarray, before2: np.ndarray):
         """Places of the order-2 and order-1 predictions after these ids (int64)."""
         h = before * 40503
         return self.base2 + (((h + before2 * 30011) >> 4) & ((1 << O2_BITS) - 1)), self.base1 + ((h >> 3) & ((1 << O1_BITS) - 1))
 
-    def share(self):
-        """The interval of each event (order 2, 1, 0, escape), none of them empty: where it begins, and the width of one id in it."""
-        left, widths = (1 << PROB_BITS) - 4, []
-        for rate in self.rate:
-            widths.append(1 + ((left * rate) >> PROB_BITS))
-            left = left - widths[-1] + 1
-        widths.append(1 + left)
-        w = np.stack(widths)
-        ends = np.cumsum(w, axis=0) << 16
-        self.ends = ends[:3].astype(U)
-        self.begin = np.concatenate([np.zeros((1, self.lanes), np.int64), ends[:3]]).reshape(-1).astype(U)
-        self.unit = (w << np.array([[16], [16], [8], [0]])).reshape(-1).astype(U)
-
-    def learn(self, events: np.ndarray):
-        """Moves each rate that was asked towards what happened.  events: (steps, lanes)."""
-        cap = 1 << PROB_BITS
+
+class Mixer:
+    """Weights of all lanes, and the intervals that the mixed predictions give.  All intervals lie below 1 << TOTAL, so 32 bits do."""
+
+    def __init__(self, start: Start, lanes: int):
+        self.start, self.at, self.lanes = start, np.arange(lanes), lanes
+        self.weights = np.repeat(start.weights.astype(np.int32), lanes, axis=1)
+
+    def mix(self, context: np.ndarray) -> None:
+        self.cell = context.astype(np.int64) * self.lanes + self.at
+        self.kept = self.weights.take(self.cell, axis=1)
+        share = self.kept >> FINE
+        self.rest = (1 << MIX) - (share[0] + share[1] + share[2])  # order 0
+        self.part = share << FREQ
+
+    def plain(self, x: np.ndarray):
+        """What order 0 gives the ids: its mass below each, and at each."""
+        return self.rest * self.start.cum.take(x), self.rest * self.start.freq.take(x)
+
+    def interval(self, p: np.ndarray, x: np.ndarray):
+        """Where the ids' intervals begin, and their widths."""
+        begin, width = self.plain(x)
+        self.hit, below = self.part * (p == x), self.part * (p < x)
+        return begin + (below[0] + below[1] + below[2]), width + (self.hit[0] + self.hit[1] + self.hit[2])
+
+    def find(self, p: np.ndarray, value: np.ndarray, inverse: np.ndarray, x: np.ndarray):
+        """The ids whose intervals hold ``value``, written to ``x``, where these begin, and their widths."""
+        (a, b, c), (u, v, w) = p, self.part
+        begin, width = self.plain(p)
+        for low, high, i, j in ((a, b, 0, 1), (b, c, 1, 2), (a, c, 0, 2)):
+            same, less = low == high, low < high
+            width[i] += self.part[j] * same
+            width[j] += self.part[i] * same
+            begin[j] += self.part[i] * less
+            begin[i] += self.part[j] * (high < low)
+        width += self.part
+        past = value >= begin + width
+        inside = (value >= begin) > past
+        over = u * past[0] + v * past[1] + w * past[2]  # predictions that lie below
+        np.take(inverse, ((value - over) / self.rest).astype(np.int32), out=x, mode="clip")
+        first, size = self.plain(x)
+        first += over
         for k in range(3):
-            hits, asked = (events == k).sum(0), (events >= k).sum(0)
-            self.rate[k] = np.clip(self.rate[k] + ((hits * cap - asked * self.rate[k]) >> RATE), 64, cap - 64)
-        self.share()
+            np.copyto(x, p[k], where=inside[k])
+            np.copyto(first, begin[k], where=inside[k])
+            np.copyto(size, width[k], where=inside[k])
+        self.hit = self.part * (p == x)
+        return first, size
 
+    def learn(self, width: np.ndarray) -> None:
+        """Each weight moves towards its part in the coded interval; order 0 keeps 1 in 64 at least.
 
-def encode_blocks(ids: np.ndarray) -> list[np.ndarray]:
-    """ids: (blocks, length), below 65536.  The code words of each block."""
+        Doubles hold these integers exactly, and IEEE division and product are the same everywhere.
+        """
+        part = (self.hit * (float(63 << 10) / width)).astype(np.int32)
+        part -= self.kept
+        part >>= RATE
+        part += self.kept
+        np.maximum(part, 1 << FINE, out=part)
+        for row, new in zip(self.weights, part):
+            row[self.cell] = new
+
+
+def predictions(start: Start, columns: np.ndarray):
+    """Predictions (3, ids, lanes) and contexts of all ids.  columns: two ids 0, then the ids, a lane in each column."""
+    n, lanes = columns.shape[0] - 2, columns.shape[1]
+    m, found, context = Memory(lanes), np.empty((3, n, lanes), np.uint16), np.empty((n, lanes), np.uint8)
+    for t in range(n):
+        before = columns[t + 1].astype(np.int64)
+        for memory, place, out in zip((m.o2, m.o1), m.places(before, columns[t].astype(np.int64)), found):
+            np.take(memory, place, out=out[t], mode="clip")
+            memory[place] = columns[t + 2]
+        np.take(start.follows, before, out=found[2, t], mode="clip")
+        context[t] = start.context(found[:, t], before)
+    return found, context
+
+
+def first_weights(found: np.ndarray, context: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Each context's share of right predictions over the frame; predictions that agree share alike."""
+    held = np.bincount(context.reshape(-1), minlength=SETS)
+    hits = found == ids
+    at_once = np.maximum(hits.sum(0, dtype=np.uint8), 1)
+    shares = [np.bincount(context[h], 1 / at_once[h], SETS) for h in hits]
+    return np.maximum(np.stack(shares) / np.maximum(held, 1) * (63 << 10), 1 << FINE).astype(np.uint16)
+
+
+def encode_blocks(ids: np.ndarray, start: Start) -> list[np.ndarray]:
+    """ids: (blocks, length).  The code words of each block; sets the first weights."""
     lanes, n = ids.shape
     columns = np.zeros((n + 2, lanes), np.uint16)  # two ids 0 before the first
     columns[2:] = ids.T
-    m = Models(lanes)
+    found, context = predictions(start, columns)
+    start.weights = first_weights(found, context, columns[2:])
+    m = Mixer(start, lanes)
     low, size = np.zeros(lanes, U), np.full(lanes, (1 << 64) - 1, U)
     out = np.zeros((lanes, n + 3), np.uint32)
     flat, fill = out.reshape(-1), np.arange(lanes) * out.shape[1]
     starts = fill.copy()
-    seen = np.zeros((3, STEPS, lanes), np.uint16)
-    part, share = np.zeros(lanes, U), np.zeros(lanes, U)
-    for t in range(0, n, STEPS):
-        x = columns[t + 2 : t + 2 + STEPS]
-        k = len(x)
-        wide = x.astype(np.int64)
-        i2, i1 = m.contexts(columns[t + 1 : t + 1 + k].astype(np.int64), columns[t : t + k].astype(np.int64))
-        slot = wide & 255
-        i0 = m.base0 + slot
-        for memory, places, found in zip((m.o2, m.o1, m.o0), (i2, i1, i0), seen):
-            for j in range(k):
-                np.take(memory, places[j], out=found[j], mode="clip")
-                memory[places[j]] = x[j]
-        miss = (seen[:, :k] != x).astype(np.int64)
-        event = miss[0] * (1 + miss[1] * (1 + miss[2]))
-        cell = event * lanes + m.at
-        unit = m.unit.take(cell)
-        start = m.begin.take(cell) + unit * (np.where(event == 2, slot, wide) * (event > 1)).astype(U)
-        for j in range(k):
-            np.right_shift(size, U(TOTAL), out=share)
-            np.multiply(share, start[j], out=part)
-            low += part
-            over = low < part
-            if over.any():  # a carry into the words already settled
-                to = fill[over] - 1
-                while to.size:
-                    flat[to] += np.uint32(1)
-                    to = to[flat[to] == 0] - 1
-            np.multiply(share, unit[j], out=size)
-            todo = np.flatnonzero(size < U(1 << WORD))
-            if todo.size:
-                a, to = low[todo], fill[todo]
-                flat[to] = a >> U(WORD)
-                fill[todo] = to + 1
-                low[todo] = a << U(WORD)
-                size[todo] <<= U(WORD)
-        m.learn(event)
+    for t in range(n):
+        m.mix(context[t])
+        begin, width = m.interval(found[:, t], columns[t + 2])
+        share = size >> U(TOTAL)
+        part = share * begin.astype(U)
+        low += part
+        over = low < part
+        if over.any():  # a carry into the words already settled
+            to = fill[over] - 1
+            while to.size:
+                flat[to] += np.uint32(1)
+                to = to[flat[to] == 0] - 1
+        size = share * width.astype(U)
+        todo = np.flatnonzero(size < U(1 << WORD))
+        if todo.size:
+            a, to = low[todo], fill[todo]
+            flat[to] = a >> U(WORD)
+            fill[todo] = to + 1
+            low[todo] = a << U(WORD)
+            size[todo] <<= U(WORD)
+        m.learn(width)
     flat[fill], flat[fill + 1] = low >> U(WORD), low & U((1 << WORD) - 1)
     return [flat[a:b] for a, b in zip(starts, fill + 2)]
 
 
-def decode_blocks(codes: list[np.ndarray], n: int) -> np.ndarray:
+def decode_blocks(codes: list[np.ndarray], n: int, start: Start) -> np.ndarray:
     """The ids of each block, (blocks, n)."""
     lanes = len(codes)
     flat = np.concatenate([*codes, np.zeros(2, np.uint32)]).astype(U)
     at = np.concatenate([[0], np.cumsum([c.size for c in codes])[:-1]]).astype(np.int64)
-    m = Models(lanes)
+    m, memory = Mixer(start, lanes), Memory(lanes)
+    inverse = np.repeat(np.arange(IDS, dtype=np.uint16), start.freq)
     size, code = np.full(lanes, (1 << 64) - 1, U), (flat[at] << U(WORD)) | flat[at + 1]  # code: what lies above low
     at += 2
     columns = np.zeros((n + 2, lanes), np.uint16)
     before2 = before = np.zeros(lanes, np.int64)
-    events = np.zeros((STEPS, lanes), np.int64)
     last = flat.size - 1
-    p2, p1, p0 = (np.zeros(lanes, np.uint16) for _ in range(3))
-    for t in range(0, n, STEPS):
-        k = min(STEPS, n - t)
-        end2, end1, end0 = m.ends
-        for j in range(k):
-            x = columns[t + j + 2]
-            i2, i1 = m.contexts(before, before2)
-            share = size >> U(TOTAL)
-            value = code // share
-            event = events[j]
-            not2, not1 = value >= end2, value >= end1
-            escape = value >= end0
-            np.add(not2, not1, out=event, dtype=np.int64)
-            event += escape
-            cell = event * lanes + m.at
-            begin, unit = m.begin.take(cell), m.unit.take(cell)
-            q = (value - begin) // unit
-            lit = q.view(np.int64)
-            np.take(m.o2, i2, out=x, mode="clip")
-            np.copyto(x, np.take(m.o1, i1, out=p1, mode="clip"), where=not2)
-            np.copyto(x, np.take(m.o0, m.base0 + np.minimum(lit, 255), out=p0, mode="clip"), where=not1)
-            np.copyto(x, lit, where=escape, casting="unsafe")
-            code -= share * (begin + unit * q)
-            size = share * unit
-            todo = np.flatnonzero(size < U(1 << WORD))
-            if todo.size:
-                to = at[todo]
-                code[todo] = (code[todo] << U(WORD)) | flat[np.minimum(to, last)]
-                size[todo] <<= U(WORD)
-                at[todo] = to + 1
-            before2, before = before, x.astype(np.int64)
-            m.o2[i2] = x
-            m.o1[i1] = x
-            m.o0[m.base0 + (before & 255)] = x
-        m.learn(events[:k])
+    p = np.empty((3, lanes), np.uint16)
+    for t in range(n):
+        x = columns[t + 2]
+        i2, i1 = memory.places(before, before2)
+        for source, place, out in ((memory.o2, i2, p[0]), (memory.o1, i1, p[1]), (start.follows, before, p[2])):
+            np.take(source, place, out=out, mode="clip")
+        m.mix(start.context(p, before))
+        share = size >> U(TOTAL)
+        begin, width = m.find(p, (code // share).astype(np.int32), inverse, x)
+        code -= share * begin.astype(U)
+        size = share * width.astype(U)
+        todo = np.flatnonzero(size < U(1 << WORD))
+        if todo.size:
+            to = at[todo]
+            code[todo] = (code[todo] << U(WORD)) | flat[np.minimum(to, last)]
+            size[todo] <<= U(WORD)
+            at[todo] = to + 1
+        m.learn(width)
+        memory.o2[i2] = x
+        memory.o1[i1] = x
+        before2, before = before, x.astype(np.int64)
     return np.ascontiguousarray(columns[2:].T)
 
 
 def pack(doc_ids: np.ndarray, counts: np.ndarray, ids: np.ndarray, block: int = BLOCK) -> bytes:
     """One frame.  ids: all ids of the documents, one document after another, below 65536."""
     n = ids.size
-    block = min(block, max(64, -(-n // LANES)))
     blocks = -(-n // block)
     padded = np.zeros(blocks * block, np.uint16)
     padded[:n] = ids
+    padded[n:] = padded[n - 1 : n]
     grid = padded.reshape(blocks, block)
-    codes = encode_blocks(grid) if blocks else []
+    codes, start = [], b""
+    if blocks:
+        model = Start.of(padded)
+        codes = encode_blocks(grid, model)
+        start = model.packed()
     crcs = np.array([zlib.crc32(g.astype("<u4").tobytes()) for g in grid], "<u4")
     body = b"".join([
-        MAGIC, struct.pack("<IIII", n, blocks, block, len(doc_ids)), doc_ids.astype("<i8").tobytes(), counts.astype("<u4").tobytes(),
+        MAGIC, struct.pack("<IIIII", n, blocks, block, len(doc_ids), len(start)), doc_ids.astype("<i8").tobytes(), counts.astype("<u4").tobytes(), start,
         crcs.tobytes(), np.array([c.size for c in codes], "<u4").tobytes(), *[c.astype("<u4").tobytes() for c in codes],
     ])
     return body + struct.pack("<I", zlib.crc32(body))
@@ -201,19 +294,21 @@ def unpack(frame: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """doc_ids, counts, ids; raises ValueError if a checksum fails."""
     if frame[:4] != MAGIC or zlib.crc32(frame[:-4]) != struct.unpack("<I", frame[-4:])[0]:
         raise ValueError("not a whole token frame")
-    n, blocks, block, docs = struct.unpack_from("<IIII", frame, 4)
-    at = 20
+    n, blocks, block, docs, held = struct.unpack_from("<IIIII", frame, 4)
+    at = 24
     take = lambda kind, k: np.frombuffer(frame, kind, k, at)
     doc_ids = take("<i8", docs)
     at += 8 * docs
     counts = take("<u4", docs)
     at += 4 * docs
+    start = frame[at : at + held]
+    at += held
     crcs = take("<u4", blocks)
     at += 4 * blocks
     sizes = take("<u4", blocks)
     at += 4 * blocks
     words = np.frombuffer(frame, "<u4", int(sizes.sum()), at)
-    grid = decode_blocks(np.split(words, np.cumsum(sizes)[:-1]), block) if blocks else np.zeros((0, 0), np.uint16)
+    grid = decode_blocks(np.split(words, np.cumsum(sizes)[:-1]), block, Start.unpacked(start)) if blocks else np.zeros((0, 0), np.uint16)
     for k in range(blocks):
         if zlib.crc32(grid[k].astype("<u4").tobytes()) != crcs[k]:
             raise ValueError(f"block {k} fails its checksum")
