@@ -10,13 +10,12 @@ ascending order of documents.  A frame is one binary value:
     blocks   crc32 of the block's ids (u32 each), words of code (u32 each), then the code words (u32)
     crc32    of everything before it (u32)
 
-Each block of ``BLOCK`` ids is coded on its own: its models are reset to the frame's start.  Four
-predictions of the next id are mixed into one distribution over all ids: order 2 and order 1 of the
-block (the id that last followed the two before, or the one before), order 1 of the frame (the id
-that most often follows the one before) and order 0 (the frame's frequencies).  The weights are
-chosen by a small context (which predictions agree, whether order 2 has seen its context, how sure
-the frame's successor is) and move after each id towards the share that each prediction had in the
-probability of what came.  A range coder with a 64-bit range and carries codes the id in one step
+Each block of ``BLOCK`` ids is coded on its own: its models are reset to the frame's start.  Three
+predictions of the next id are mixed into one distribution over all ids: order 2 (the id that in the
+block last followed the two before), order 1 (the id that in the frame most often follows the one
+before) and order 0 (the frame's frequencies).  The weights are chosen by a small context (whether
+orders 2 and 1 agree, whether order 2 has seen its context, how sure order 1 is) and move after each
+id towards the share that each prediction had in the probability of what came.  A range coder with a 64-bit range and carries codes the id in one step
 and gives 32-bit words.  All blocks of a frame are coded in step, one numpy lane for each.
 
 Parquet's commit protocol makes the writing safe against lost executors and repeated tasks.
@@ -37,14 +36,14 @@ import numpy as np
 MAGIC = b"VTF3"
 BLOCK = 4096
 LANES = 1024
-O2_BITS, O1_BITS = 11, 10
+O2_BITS = 11
 #: Frequencies of order 0 sum to 1 << FREQ; weights are kept in 16 bits and used in MIX bits.
 FREQ, MIX, RATE = 19, 10, 5
 #: A range is shared out in 1 << TOTAL parts; below 1 << WORD a word of code is settled.
 TOTAL, WORD = FREQ + MIX, 32
 FINE = 16 - MIX
 IDS = 1 << 16
-SETS = 64
+SETS = 16
 SURE = (1 / 32, 1 / 8, 1 / 2)  # shares of an id's most frequent successor that part the levels of sureness
 U = np.uint64
 
@@ -59,19 +58,19 @@ class Start:
     @classmethod
     def of(cls, ids: np.ndarray) -> Start:
         """ids: all ids of the frame in order, below 65536, one at least."""
-        count = np.bincount(ids, minlength=IDS)
+        count = sum(np.bincount(ids[at : at + (1 << 18)], minlength=IDS) for at in range(0, ids.size, 1 << 18))
         freq = (count > 0) + count * ((1 << FREQ) - np.count_nonzero(count)) // ids.size
         freq[count.argmax()] += (1 << FREQ) - freq.sum()
         pairs = ids[:-1].astype(np.uint32) << np.uint32(16) | ids[1:]
         pairs.sort()
-        first = np.flatnonzero(np.append(True, pairs[1:] != pairs[:-1])[: pairs.size])
-        times, before = np.diff(np.append(first, pairs.size)), (pairs[first] >> np.uint32(16)).astype(np.int64)
-        most = np.zeros(IDS, np.int64)
+        first = np.flatnonzero(np.append(True, pairs[1:] != pairs[:-1])[: pairs.size]).astype(np.int32)
+        times, before = np.diff(np.append(first, np.int32(pairs.size))), (pairs[first] >> np.uint32(16)).astype(np.uint16)
+        most = np.zeros(IDS, np.int32)
         np.maximum.at(most, before, times)
         best = np.flatnonzero(times == most[before])[::-1]  # of ties the least id, which is written last
         follows = np.zeros(IDS, np.uint16)
         follows[before[best]] = pairs[first[best]].astype(np.uint16)
-        return cls(freq, follows, np.searchsorted(SURE, most / np.maximum(count, 1), "right").astype(np.uint8), np.zeros((3, SETS), np.uint16))
+        return cls(freq, follows, np.searchsorted(SURE, most / np.maximum(count, 1), "right").astype(np.uint8), np.zeros((2, SETS), np.uint16))
 
     def packed(self) -> bytes:
         n = int(np.flatnonzero(self.freq)[-1]) + 1
@@ -86,29 +85,23 @@ class Start:
             full[:n] = np.frombuffer(raw, kind, n, at)
             at += n * np.dtype(kind).itemsize
             found.append(full)
-        return cls(*found, np.frombuffer(raw, "<u2", 3 * SETS, at).reshape(3, SETS))
+        return cls(*found, np.frombuffer(raw, "<u2", 2 * SETS, at).reshape(2, SETS))
 
     def context(self, p: np.ndarray, before: np.ndarray) -> np.ndarray:
-        """The weights' context.  p: the predictions of order 2, order 1 and the frame's order 1, each of any shape."""
-        a, b, c = p
-        found = self.sure.take(before)
-        for bit, same in ((2, a == b), (3, b == c), (4, a == c), (5, a == 0)):
-            found |= same.view(np.uint8) << np.uint8(bit)
-        return found
+        """The weights' context.  p: the predictions of orders 2 and 1."""
+        a, b = p
+        return self.sure.take(before) | (a == b).view(np.uint8) << np.uint8(2) | (a == 0).view(np.uint8) << np.uint8(3)
 
 
 class Memory:
-    """The ids that last followed, in all lanes."""
+    """The ids that last followed two others, in all lanes."""
 
     def __init__(self, lanes: int):
-        at = np.arange(lanes)
-        self.o2, self.o1 = np.zeros(lanes << O2_BITS, np.uint16), np.zeros(lanes << O1_BITS, np.uint16)
-        self.base2, self.base1 = at << O2_BITS, at << O1_BITS
+        self.last, self.base = np.zeros(lanes << O2_BITS, np.uint16), np.arange(lanes) << O2_BITS
 
-    def places(self, before: np.ndarray, before2: np.ndarray):
-        """Places of the order-2 and order-1 predictions after these ids (int64)."""
-        h = before * 40503
-        return self.base2 + (((h + before2 * 30011) >> 4) & ((1 << O2_BITS) - 1)), self.base1 + ((h >> 3) & ((1 << O1_BITS) - 1))
+    def places(self, before: np.ndarray, before2: np.ndarray) -> np.ndarray:
+        """Places of the predictions after these ids (int64)."""
+        return self.base + (((before * 40503 + before2 * 30011) >> 4) & ((1 << O2_BITS) - 1))
 
 
 class Mixer:
@@ -122,7 +115,7 @@ class Mixer:
         self.cell = context.astype(np.int64) * self.lanes + self.at
         self.kept = self.weights.take(self.cell, axis=1)
         share = self.kept >> FINE
-        self.rest = (1 << MIX) - (share[0] + share[1] + share[2])  # order 0
+        self.rest = (1 << MIX) - (share[0] + share[1])  # order 0
         self.part = share << FREQ
 
     def plain(self, x: np.ndarray):
@@ -133,26 +126,25 @@ class Mixer:
         """Where the ids' intervals begin, and their widths."""
         begin, width = self.plain(x)
         self.hit, below = self.part * (p == x), self.part * (p < x)
-        return begin + (below[0] + below[1] + below[2]), width + (self.hit[0] + self.hit[1] + self.hit[2])
+        return begin + (below[0] + below[1]), width + (self.hit[0] + self.hit[1])
 
     def find(self, p: np.ndarray, value: np.ndarray, inverse: np.ndarray, x: np.ndarray):
         """The ids whose intervals hold ``value``, written to ``x``, where these begin, and their widths."""
-        (a, b, c), (u, v, w) = p, self.part
+        (a, b), (u, v) = p, self.part
         begin, width = self.plain(p)
-        for low, high, i, j in ((a, b, 0, 1), (b, c, 1, 2), (a, c, 0, 2)):
-            same, less = low == high, low < high
-            width[i] += self.part[j] * same
-            width[j] += self.part[i] * same
-            begin[j] += self.part[i] * less
-            begin[i] += self.part[j] * (high < low)
+        same = a == b
         width += self.part
+        width[0] += v * same
+        width[1] += u * same
+        begin[0] += v * (b < a)
+        begin[1] += u * (a < b)
         past = value >= begin + width
         inside = (value >= begin) > past
-        over = u * past[0] + v * past[1] + w * past[2]  # predictions that lie below
+        over = u * past[0] + v * past[1]  # predictions that lie below
         np.take(inverse, ((value - over) / self.rest).astype(np.int32), out=x, mode="clip")
         first, size = self.plain(x)
         first += over
-        for k in range(3):
+        for k in range(2):
             np.copyto(x, p[k], where=inside[k])
             np.copyto(first, begin[k], where=inside[k])
             np.copyto(size, width[k], where=inside[k])
@@ -174,26 +166,30 @@ class Mixer:
 
 
 def predictions(start: Start, columns: np.ndarray):
-    """Predictions (3, ids, lanes) and contexts of all ids.  columns: two ids 0, then the ids, a lane in each column."""
+    """Predictions (2, ids, lanes) and contexts of all ids.  columns: two ids 0, then the ids, a lane in each column."""
     n, lanes = columns.shape[0] - 2, columns.shape[1]
-    m, found, context = Memory(lanes), np.empty((3, n, lanes), np.uint16), np.empty((n, lanes), np.uint8)
+    m, found, context = Memory(lanes), np.empty((2, n, lanes), np.uint16), np.empty((n, lanes), np.uint8)
+    before = columns[1].astype(np.int64)
+    before2 = before
     for t in range(n):
-        before = columns[t + 1].astype(np.int64)
-        for memory, place, out in zip((m.o2, m.o1), m.places(before, columns[t].astype(np.int64)), found):
-            np.take(memory, place, out=out[t], mode="clip")
-            memory[place] = columns[t + 2]
-        np.take(start.follows, before, out=found[2, t], mode="clip")
+        place = m.places(before, before2)
+        np.take(m.last, place, out=found[0, t], mode="clip")
+        m.last[place] = columns[t + 2]
+        np.take(start.follows, before, out=found[1, t], mode="clip")
         context[t] = start.context(found[:, t], before)
+        before2, before = before, columns[t + 2].astype(np.int64)
     return found, context
 
 
 def first_weights(found: np.ndarray, context: np.ndarray, ids: np.ndarray) -> np.ndarray:
     """Each context's share of right predictions over the frame; predictions that agree share alike."""
-    held = np.bincount(context.reshape(-1), minlength=SETS)
-    hits = found == ids
-    at_once = np.maximum(hits.sum(0, dtype=np.uint8), 1)
-    shares = [np.bincount(context[h], 1 / at_once[h], SETS) for h in hits]
-    return np.maximum(np.stack(shares) / np.maximum(held, 1) * (63 << 10), 1 << FINE).astype(np.uint16)
+    held = np.zeros(4 * SETS)
+    for t in range(0, len(ids), 256):
+        hits = (found[:, t : t + 256] == ids[t : t + 256]).view(np.uint8)
+        held += np.bincount((context[t : t + 256] << np.uint8(2) | hits[0] << np.uint8(1) | hits[1]).reshape(-1), minlength=4 * SETS)
+    none, second, first, both = held.reshape(SETS, 4).T
+    shares = np.stack([first + both / 2, second + both / 2]) / np.maximum(none + second + first + both, 1)
+    return np.maximum(shares * (63 << 10), 1 << FINE).astype(np.uint16)
 
 
 def encode_blocks(ids: np.ndarray, start: Start) -> list[np.ndarray]:
@@ -245,12 +241,12 @@ def decode_blocks(codes: list[np.ndarray], n: int, start: Start) -> np.ndarray:
     columns = np.zeros((n + 2, lanes), np.uint16)
     before2 = before = np.zeros(lanes, np.int64)
     last = flat.size - 1
-    p = np.empty((3, lanes), np.uint16)
+    p = np.empty((2, lanes), np.uint16)
     for t in range(n):
         x = columns[t + 2]
-        i2, i1 = memory.places(before, before2)
-        for source, place, out in ((memory.o2, i2, p[0]), (memory.o1, i1, p[1]), (start.follows, before, p[2])):
-            np.take(source, place, out=out, mode="clip")
+        place = memory.places(before, before2)
+        np.take(memory.last, place, out=p[0], mode="clip")
+        np.take(start.follows, before, out=p[1], mode="clip")
         m.mix(start.context(p, before))
         share = size >> U(TOTAL)
         begin, width = m.find(p, (code // share).astype(np.int32), inverse, x)
@@ -263,8 +259,7 @@ def decode_blocks(codes: list[np.ndarray], n: int, start: Start) -> np.ndarray:
             size[todo] <<= U(WORD)
             at[todo] = to + 1
         m.learn(width)
-        memory.o2[i2] = x
-        memory.o1[i1] = x
+        memory.last[place] = x
         before2, before = before, x.astype(np.int64)
     return np.ascontiguousarray(columns[2:].T)
 
@@ -435,11 +430,12 @@ def write_frames(docs, path: str, end_id: int, parts: int | None = None, id_col:
     from pyspark import TaskContext
     from pyspark.sql import functions as F
 
-    from veridoc.llm.common import small_batches, stored
+    from veridoc.llm.common import release, small_batches, stored
 
     small_batches(docs.sparkSession)
 
     def run(batches):
+        release()
         encode = library(path).encode
         shard, seq = TaskContext.get().partitionId(), 0
         ids, counts, parts, size = [], [], [], 0
@@ -460,6 +456,8 @@ def write_frames(docs, path: str, end_id: int, parts: int | None = None, id_col:
                 ids, counts, parts, size = [], [], [], 0
         if ids:
             yield frame()
+        ids = parts = None
+        release()
 
     rows = (
         docs.selectExpr(f"cast(`{id_col}` as bigint) as doc_id", f"`{text_col}` as text").withColumn("key", F.xxhash64("text"))
@@ -474,6 +472,9 @@ def read_frames(frames):
     from pyspark.sql import Window
     from pyspark.sql import functions as F
 
+    from veridoc.llm import bpe
+    from veridoc.llm.common import release
+
     totals = frames.groupBy("shard").agg(F.sum("n_ids").alias("n"))  # a row for each written part
     before = totals.select("shard", (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("shard_start"))
     inside = frames.select("shard", "seq", (F.sum("n_ids").over(Window.partitionBy("shard").orderBy("seq")) - F.col("n_ids")).alias("frame_start"))
@@ -481,6 +482,9 @@ def read_frames(frames):
     rows = frames.select("shard", "seq", "frame").join(starts, ["shard", "seq"]).select("start", "frame")
 
     def run(batches):
+        _LIBRARY.clear()  # of a worker that has written before
+        bpe._VOCABULARIES.clear()
+        release()
         for batch in batches:
             for start, frame in zip(batch.column(0).to_pylist(), batch.column(1)):
                 ids, counts, tokens = unpack(frame.as_py())
@@ -490,5 +494,6 @@ def read_frames(frames):
                 yield pa.RecordBatch.from_arrays([
                     pa.array(ids, pa.int64(), mask=ids == NO_ID), pa.array(start + ends - counts, pa.int64()), pa.array(counts.astype(np.int64)), pa.array(crcs, pa.int64()),
                 ], ["doc_id", "start", "n_tokens", "ids_crc32"])
+            release()
 
     return rows.mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
