@@ -280,6 +280,19 @@ def test_quality(spark, docs, empty):
     assert quality.keep_good(empty, model).count() == 0
 
 
+def test_quality_held_out_labels(spark):
+    """On the labelled documents that learning never sees: area under the ROC curve, by ranks, ties counted half, and accuracy."""
+    table = lambda name: spark.read.parquet(f"/root/testdata/sf0.01/{name}.parquet")
+    model = quality.train(table("documents"), table("labels"))
+    rows = quality.score(table("documents"), model).join(table("labels"), "doc_id").where(quality.held_out("doc_id")).select("score", "quality").collect()
+    good, bad = ([r.score for r in rows if r.quality == k] for k in (1, 0))
+    assert len(good) > 20 and len(bad) > 5
+    area = sum((g > b) + (g == b) / 2 for g in good for b in bad) / (len(good) * len(bad))
+    right = sum((r.score >= quality.THRESHOLD) == (r.quality == 1) for r in rows) / len(rows)
+    print(len(good), len(bad), area, right)
+    assert area > 0.95 and right > 0.95
+
+
 def test_html_held_out_pages():
     import random
 
