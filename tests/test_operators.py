@@ -315,3 +315,43 @@ def test_files_and_sinks(spark, tmp_path):
     image = np.arange(100 * 60, dtype=np.uint8).reshape(100, 60)
     assert ingest.resampled(image, 0.5).shape == (50, 30) and ingest.resampled(np.full((4, 4, 3), 7, np.uint8), 2.0).tolist() == np.full((8, 8, 3), 7).tolist()
     assert ingest.zone_crop(image).shape == (35, 60) and ingest.name_crop(image).shape[1] == 2200 and ingest.page_scale(700) == 2.0 and len(ingest.image_quality(image)) == 3
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def captions_and_items(spark, path):
+    """In files, which have a size that joins go by."""
+    rows = [(d, i, t, 0.9, float(x), float(y), float(x + 150), float(y + 25)) for d in range(3) for i, (t, x, y) in enumerate([("Passport No", 10, 10), (f"AB {d}", 220, 10), ("Sex", 10, 60), ("F", 10, 95), ("Nationality: UZB", 10, 200)])]
+    items_ = spark.createDataFrame(rows, ITEM)
+    known = [(d, i, f, a) for d in range(3) for i, f, a in ((0, "document_number", "passport no"), (2, "sex", "sex"), (4, "nationality", "nationality"))]
+    items_.write.parquet(f"{path}/items")
+    spark.createDataFrame(known, "doc_id int, item_idx int, field string, alias string").write.parquet(f"{path}/known")
+    return spark.read.parquet(f"{path}/known"), spark.read.parquet(f"{path}/items")
+
+
+def test_captions_equal_a_look_at_every_alias(spark):
+    import random
+
+    rng, every = random.Random(3), [(f, a) for f, names in viz.ALIASES.items() for a in names]
+    texts = [None, ""]
+    for _, a in every:
+        b = rng.choice(every)[1]
+        texts += [a, a.upper(), f"x {a}: 1", f"({a})", f"x{a}", f"{a}x", a.replace(" ", "") + " 12", f"{a} / {b}", f"{b}-{a}", f"_{a}_"]
+    rows = spark.createDataFrame([(1, i, t) for i, t in enumerate(texts)], "doc_id int, item_idx int, text string")
+    pairs = rows.withColumn("_n", viz.norm(F.col("text"))).withColumn("_c", F.regexp_replace("_n", r"(?U)\W", "")).crossJoin(viz.aliases(spark))
+    inside = F.when(F.col("cjk"), F.col("_n").startswith(F.col("alias"))).otherwise(F.expr("regexp_like(_n, pattern)"))
+    joined = (F.length("compact") >= 6) & F.col("_c").startswith(F.col("compact")) & (F.length("_c") <= F.length("compact") + 14)
+    tier = F.when(inside, 1).when(joined, 2)
+    want = pairs.withColumn("t", tier).where("t is not null").groupBy("item_idx").agg(F.min(F.struct("field_ord", "t", -F.col("len"), "alias_ord", "field", "alias")).alias("b")).select("item_idx", "b.field", "b.alias", "b.t")
+    got = viz.label_match(rows)
+    assert "NestedLoop" not in plan_of(got)
+    assert sorted((r.item_idx, r.field, r.alias, r.tier) for r in got.collect()) == sorted(map(tuple, want.collect()))
+
+
+def test_nearest_value_sends_no_items_through_the_driver(spark, tmp_path):
+    known, items_ = captions_and_items(spark, tmp_path)
+    got = viz.nearest_value(known.drop("alias"), items_)
+    assert "Broadcast" not in plan_of(got)
+    assert sorted((r.doc_id, r.field, r.value, r.value_idx) for r in got.collect()) == [(d, f, v, i) for d in range(3) for f, v, i in (("document_number", f"AB {d}", 1), ("sex", "F", 3))]
