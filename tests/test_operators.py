@@ -355,3 +355,19 @@ def test_nearest_value_sends_no_items_through_the_driver(spark, tmp_path):
     got = viz.nearest_value(known.drop("alias"), items_)
     assert "Broadcast" not in plan_of(got)
     assert sorted((r.doc_id, r.field, r.value, r.value_idx) for r in got.collect()) == [(d, f, v, i) for d in range(3) for f, v, i in (("document_number", f"AB {d}", 1), ("sex", "F", 3))]
+
+
+def test_extract_sends_no_items_through_the_driver(spark, tmp_path):
+    known, items_ = captions_and_items(spark, tmp_path)
+    got = viz.extract(items_, known)
+    assert "Broadcast" not in plan_of(got) and "Broadcast" not in plan_of(viz.reading_order(known, items_))
+    assert sorted((r.doc_id, r.field, r.value) for r in got.collect()) == [(d, f, v) for d in range(3) for f, v in (("document_number", f"AB {d}"), ("nationality", "uzb"), ("sex", "F"))]
+
+
+def test_fuzzy_captions_are_compared_where_letters_allow_it():
+    from difflib import SequenceMatcher
+
+    names = [(f, viz.plain_norm(a)) for f, al in viz.ALIASES.items() for a in al if len(viz.plain_norm(a)) >= 6]
+    texts = ["passqort number", "", "oate of bith", "x" * 50, "дата рожцения", "姓名姓名姓名", "\U0001f600 of birth date", *[a[1:] + "z" for _, a in names]]
+    for text, some in zip(texts, viz.candidates(texts, names, 0.84)):
+        assert [n for n in names if SequenceMatcher(None, text, n[1]).quick_ratio() >= 0.84] == some
