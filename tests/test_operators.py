@@ -371,3 +371,13 @@ def test_fuzzy_captions_are_compared_where_letters_allow_it():
     texts = ["passqort number", "", "oate of bith", "x" * 50, "дата рожцения", "姓名姓名姓名", "\U0001f600 of birth date", *[a[1:] + "z" for _, a in names]]
     for text, some in zip(texts, viz.candidates(texts, names, 0.84)):
         assert [n for n in names if SequenceMatcher(None, text, n[1]).quick_ratio() >= 0.84] == some
+
+
+def test_audit_sends_no_items_through_the_driver(spark, tmp_path):
+    known, items_ = captions_and_items(spark, tmp_path)
+    fields = viz.nearest_value(known, items_)
+    got = viz.mapping_audit(items_.unionByName(items_.limit(1).withColumn("doc_id", F.lit(None).cast("int"))), known, fields)
+    assert "Broadcast" not in plan_of(got)
+    want = {0: "label", 1: "value", 2: "label", 3: "value", 4: "label"}
+    assert sorted((r.doc_id, r.item_idx, r.role) for r in got.where("doc_id is not null").collect()) == [(d, i, want[i]) for d in range(3) for i in range(5)]
+    assert [r.role for r in got.where("doc_id is null").collect()] == ["unmapped"]  # a row without a page stays
