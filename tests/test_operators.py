@@ -381,3 +381,12 @@ def test_audit_sends_no_items_through_the_driver(spark, tmp_path):
     want = {0: "label", 1: "value", 2: "label", 3: "unmapped", 4: "label"}  # a value of one sign is not looked for
     assert sorted((r.doc_id, r.item_idx, r.role) for r in got.where("doc_id is not null").collect()) == [(d, i, want[i]) for d in range(3) for i in range(5)]
     assert [r.role for r in got.where("doc_id is null").collect()] == ["unmapped"]  # a row without a page stays
+
+
+def test_recognition_merges_pages_and_reads_rows_once(spark, tmp_path):
+    """No relation of pages is sent through the driver, and both readings of the zone share one clustering into rows."""
+    from veridoc.operators import recognize
+
+    page(spark, ["PASSPORT", *SPECIMEN]).write.parquet(f"{tmp_path}/p")
+    for d in recognize.zone_candidates(spark.read.parquet(f"{tmp_path}/p"), 0):
+        assert "Broadcast" not in plan_of(d) and "collect_list(struct(c" not in plan_of(d).lower() and "/rows-" in d.inputFiles()[0]

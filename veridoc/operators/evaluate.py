@@ -204,7 +204,7 @@ def held(checks: Column, names=REQUIRED) -> Column:
 def image_rows(records: DataFrame, items: DataFrame, runs: DataFrame) -> DataFrame:
     """One evaluation row for each image.  records: of ``recognize``; items: of the page; runs: doc_id, file, country, processing_ms."""
     seen = items.groupBy("doc_id").agg(F.count("*").alias("detected_objects"), F.round(F.avg("score") * 100, 2).alias("ocr_mean_confidence_pct"))
-    rows = runs.join(records, "doc_id").join(seen, "doc_id", "left")
+    rows = runs.join(records.hint("merge"), "doc_id").join(seen.hint("merge"), "doc_id", "left")
     n = held(F.col("zone.checks"))
     conf = F.transform(F.filter(F.map_values("fields"), lambda f: F.coalesce(f["value"], F.lit("")) != ""), lambda f: f["confidence"])
     mean = F.when(F.size(conf) > 0, F.round(F.aggregate(conf, F.lit(0.0), lambda a, x: a + x) * 100 / F.size(conf), 2)).otherwise(0.0)
@@ -228,7 +228,7 @@ def page_projection(records: DataFrame, items: DataFrame, vehicles: DataFrame, v
 
     text = items.groupBy("doc_id").agg(F.array_join(F.collect_list("text"), " ").alias("text"), F.count("*").alias("ocr_objects"))
     cars = vehicles.groupBy("doc_id").agg(F.count("*").alias("vehicle_documents"), *[F.max(F.col(f) != "").alias(f"_v_{f}") for f in VEHICLE_PRESENCE])
-    rows = runs.join(records, "doc_id").join(text, "doc_id", "left").join(cars, "doc_id", "left").join(vehicle_pages.select("doc_id", "is_vehicle"), "doc_id", "left")
+    rows = runs.join(records.hint("merge"), "doc_id").join(text.hint("merge"), "doc_id", "left").join(cars.hint("merge"), "doc_id", "left").join(vehicle_pages.select("doc_id", "is_vehicle").hint("merge"), "doc_id", "left")
     has = lambda f: F.coalesce(F.col("fields")[f]["value"], F.lit("")) != ""
     zone = F.size("zone.lines") > 0
     n = F.coalesce(F.size(F.map_filter("zone.checks", lambda k, v: v)), F.lit(0))

@@ -1,6 +1,7 @@
 """From the recogniser's items to records: passes, zone candidates, visual fields, decision, contract.
 
-Everything is one plan over relations keyed by doc_id; reading a page again (a name region, crops of the zone) is the recogniser's work, so
+Everything is one plan over relations keyed by doc_id, which are merged: sizes of files do not tell how many rows are made of them, and a
+broadcast would send these through the driver; reading a page again (a name region, crops of the zone) is the recogniser's work, so
 further passes come in as items, and only documents that need them take anything from them.
 """
 
@@ -21,7 +22,10 @@ NAMES = ("surname_viz", "given_names_viz")
 
 @dataclass
 class Passes:
-    """Items (doc_id, item_idx, text, score, x1, y1, x2, y2) of each pass; zone: those of crops, with ``crop`` as their number."""
+    """Items (doc_id, item_idx, text, score, x1, y1, x2, y2) of each pass; zone: those of crops, with ``crop`` as their number.
+
+    Each pass is read several times, so one that is dear to make is better stored.
+    """
 
     primary: DataFrame
     verification: DataFrame | None = None
@@ -35,11 +39,11 @@ def zone_candidates(items: DataFrame, idx: int) -> tuple[DataFrame, DataFrame]:
 
     The score of the first is the mean over all visual rows, that of the second over its two rows.
     """
-    rows = passes.visual_rows(items)
+    rows = kept(passes.visual_rows(items), "rows")
     page = rows.groupBy("doc_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("row_idx", "text"))), lambda r: r["text"]).alias("ls"), F.avg("score").alias("score"))
     clean = page.select(F.col("doc_id").alias("id"), mrz.normalize_lines(F.col("ls")).alias("l"), "score").where("size(l) = 2")
     raw = passes.raw_zone_rows(rows).where("size(lines) = 2").withColumnRenamed("lines", "found")
-    scored = rows.join(raw, "doc_id").withColumn("t", F.regexp_replace(F.upper("text"), r"\s", "")).where(F.array_contains("found", F.col("t")))
+    scored = rows.join(raw.hint("merge"), "doc_id").withColumn("t", F.regexp_replace(F.upper("text"), r"\s", "")).where(F.array_contains("found", F.col("t")))
     read = scored.groupBy("doc_id").agg(F.first("found").alias("lines"), F.avg("score").alias("score"))
     return (clean.select("id", F.get("l", F.lit(0)).alias("line1"), F.get("l", F.lit(1)).alias("line2"), "score", F.lit(idx).alias("idx")),
             read.select(F.col("doc_id").alias("id"), "lines", "score", F.lit(idx).alias("idx")))
@@ -53,7 +57,7 @@ def best_raw(read: DataFrame) -> DataFrame:
 def backfill_names(fields: DataFrame, region: DataFrame) -> DataFrame:
     """Names from the region's pass, where a page lacks one of them; a surer reading replaces one that is there."""
     have = fields.where(F.col("field").isin(*NAMES)).groupBy("doc_id").agg(F.count("*").alias("n"))
-    lacking = region.where(F.col("field").isin(*NAMES)).join(have, "doc_id", "left").where(F.coalesce("n", F.lit(0)) < len(NAMES))
+    lacking = region.where(F.col("field").isin(*NAMES)).join(have.hint("merge"), "doc_id", "left").where(F.coalesce("n", F.lit(0)) < len(NAMES))
     new = lacking.select("doc_id", "field", F.struct("value", "raw", F.array_distinct(F.array_append("source", F.lit("name_region"))).alias("source"), "confidence").alias("r"))
     j = fields.join(new, ["doc_id", "field"], "full")
     take = F.col("r").isNotNull() & (F.col("confidence").isNull() | (F.col("r.confidence") > F.col("confidence")))
@@ -63,7 +67,7 @@ def backfill_names(fields: DataFrame, region: DataFrame) -> DataFrame:
 def escalated(best: DataFrame, more: DataFrame) -> DataFrame:
     """The candidates of further crops, for documents without a reading whose required checks hold."""
     fine = best.where(mrz.required_valid(F.col("p.checks"))).select("id")
-    return more.join(fine, "id", "left_anti")
+    return more.join(fine.hint("merge"), "id", "left_anti")
 
 
 def recognize(given: Passes, today: str, hint: str = "AUTO") -> DataFrame:
@@ -102,11 +106,11 @@ def recognize(given: Passes, today: str, hint: str = "AUTO") -> DataFrame:
         c, r = zone_candidates(crop, 9)
         back = lambda d: d.withColumn("idx", 9 + F.substring_index("id", "#", -1).cast("int")).withColumn("id", F.regexp_replace("id", "#[^#]*$", "").cast(first.schema["doc_id"].dataType))
         more = escalated(best, back(c))
-        read = read.unionByName(back(r).join(more.select("id").distinct(), "id", "left_semi"))
+        read = read.unionByName(back(r).join(more.select("id").distinct().hint("merge"), "id", "left_semi"))
         best = kept(mrz.best_parse(clean.unionByName(more), today), "best")
     raw = best_raw(read)
 
-    rows = docs.withColumnRenamed("doc_id", "id").join(best, "id", "left").join(raw.withColumnRenamed("lines", "raw_lines"), "id", "left").join(visual.select(F.col("doc_id").alias("id"), F.col("type").alias("visual_type"), F.col("state").alias("visual_state")), "id", "left")
+    rows = docs.withColumnRenamed("doc_id", "id").join(best.hint("merge"), "id", "left").join(raw.withColumnRenamed("lines", "raw_lines").hint("merge"), "id", "left").join(visual.select(F.col("doc_id").alias("id"), F.col("type").alias("visual_type"), F.col("state").alias("visual_state")).hint("merge"), "id", "left")
     unread = mrz.raw_document(F.col("raw_lines"), today)
     rows = rows.withColumn("unread", F.when(F.col("p").isNull(), unread)).withColumn("names", F.when(F.col("p").isNull(), mrz.raw_identity(mrz.clean_line(F.get("raw_lines", F.lit(0))))))
     parsed_state = reconcile.issuing_state(F.col("p.issuing_state"), F.col("visual_type"), F.col("visual_state"))
@@ -136,20 +140,20 @@ def recognize(given: Passes, today: str, hint: str = "AUTO") -> DataFrame:
 
     audit = viz.mapping_audit(everything, seen, final.select(F.col("id").alias("doc_id"), "field", "f.value", "f.raw"))
     objects = audit.groupBy(F.col("doc_id").alias("id")).agg(F.sort_array(F.collect_list(F.struct(F.col("item_idx").alias("index"), "text", "mapped_keys", "role", F.col("confidence_value").alias("confidence")))).alias("objects"))
-    rows = rows.join(gathered, "id", "left").join(objects, "id", "left")
+    rows = rows.join(gathered.hint("merge"), "id", "left").join(objects.hint("merge"), "id", "left")
     none = F.array().cast("array<string>")
-    rows = rows.join(conflicts, "id", "left") if conflicts is not None else rows.withColumn("conflicts", none)
+    rows = rows.join(conflicts.hint("merge"), "id", "left") if conflicts is not None else rows.withColumn("conflicts", none)
     if given.quality is not None:
-        rows = rows.join(as_id(given.quality.select("doc_id", "quality_status", "quality_reasons")), "id", "left")
+        rows = rows.join(as_id(given.quality.select("doc_id", "quality_status", "quality_reasons")).hint("merge"), "id", "left")
     else:
         rows = rows.withColumn("quality_status", F.lit("ok")).withColumn("quality_reasons", none)
     rows = rows.withColumn("changes", F.coalesce(F.size("repairs"), F.lit(0))).withColumn("lines_found", F.col("raw_lines").isNotNull())
     decided = reconcile.decide(rows, hint)
     counts = lambda d, name: as_id(d.groupBy("doc_id").agg(F.count("*").alias(name)))
-    rows = rows.join(decided, "id").join(counts(first, "n1"), "id", "left")
+    rows = rows.join(decided.hint("merge"), "id").join(counts(first, "n1").hint("merge"), "id", "left")
     if second is not None:
         agreement = as_id(passes.text_agreement(first, second)).withColumnRenamed("agreement", "agree")
-        rows = rows.join(counts(second, "n2"), "id", "left").join(agreement, "id", "left")
+        rows = rows.join(counts(second, "n2").hint("merge"), "id", "left").join(agreement.hint("merge"), "id", "left")
     else:
         rows = rows.withColumn("n2", F.lit(0)).withColumn("agree", F.lit(None).cast("double"))
     zone_struct = F.struct(

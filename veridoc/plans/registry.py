@@ -9,6 +9,7 @@ from veridoc.functions import mrz
 from veridoc.operators import evaluate, items, recognize, reconcile, vehicle, viz
 from veridoc.sources import derived
 from veridoc.sources.derived import TODAY, table
+from veridoc.sources.kept import kept
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -388,7 +389,7 @@ def personal_number_label(spark, sf_dir):
  case when substr(line2, 21, 1) = '<' then 'X' else substr(line2, 21, 1) end <> case when id % 2 = 0 then 'M' else 'F' end sex_differs, 'TD3' "format" from x""")
 def recognize_documents(spark, sf_dir):
     """The whole way from items of a page to its record."""
-    found = recognize.recognize(recognize.Passes(derived.passport_pages(spark, sf_dir)), TODAY)
+    found = recognize.recognize(recognize.Passes(kept(derived.passport_pages(spark, sf_dir), "pages")), TODAY)
     return found.select("doc_id", "status", "state", F.array_contains("reasons", "MRZ_OCR_CHECKSUM_CORRECTED").alias("corrected"), F.col("fields")["document_number"]["value"].alias("document_number"),
                         F.array_contains("reasons", "MRZ_VIZ_SEX_DIFF").alias("sex_differs"), F.col("zone.format").alias("format"))
 
@@ -674,7 +675,7 @@ def document_count(spark, sf_dir):
  cast(id % 5 = 0 as int) mrz_repairs, cast(10 as bigint) detected_objects, round((8 * round((id % 20) / 100.0 + 0.75, 2) + 1.8) * 10, 2) ocr_mean_confidence_pct from x""")
 def image_rows(spark, sf_dir):
     """Evaluation rows of whole pages."""
-    items_ = derived.passport_pages(spark, sf_dir)
+    items_ = kept(derived.passport_pages(spark, sf_dir), "pages")  # every pass over the pages would make them anew
     found = recognize.recognize(recognize.Passes(items_), TODAY)
     runs = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), F.col("c_custkey").cast("string").alias("file"), F.lit("UZB").alias("country"), F.lit(7).alias("processing_ms"))
     return evaluate.image_rows(found, items_, runs).select("file", "status", "mrz_found", "mrz_checksum_score_pct", "mrz_all_five_checks_valid", "mrz_repairs", "detected_objects", "ocr_mean_confidence_pct")
@@ -683,7 +684,7 @@ def image_rows(spark, sf_dir):
 @query(f"""with {ZONE}, x as (select z.*, {_STATE} state from z join customer on c_custkey = id) select 'd' || id document_id, false vehicle_detected, true passport_detected, true mrz_found, true surname, true issuing_state, rtrim(substr(line2, 29, 14), '<') <> '' optional_data, cast(10 as bigint) ocr_objects from x""")
 def page_projection(spark, sf_dir):
     """What may leave the machine about whole pages."""
-    items_ = derived.passport_pages(spark, sf_dir)
+    items_ = kept(derived.passport_pages(spark, sf_dir), "pages")  # every pass over the pages would make them anew
     lines = items_.select("doc_id", F.col("item_idx").alias("line_no"), "text")
     runs = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), F.concat(F.lit("d"), "c_custkey").alias("document_id"), F.lit(1).alias("page"), F.lit(7).alias("processing_ms"))
     found = evaluate.page_projection(recognize.recognize(recognize.Passes(items_), TODAY), items_, vehicle.vehicle_records(lines), vehicle.is_vehicle(lines), runs)

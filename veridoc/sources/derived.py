@@ -30,7 +30,7 @@ def mrz_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("c_custkey")
     pad = lambda x, n: F.lpad(x.cast("string"), n, "0")
     state = F.element_at(F.array(*map(F.lit, STATES)), (F.col("c_nationkey") % 7 + 1).cast("int"))
-    base = table(spark, sf_dir, "customer").select(
+    base = dealt(table(spark, sf_dir, "customer"), "c_custkey").select(
         k.alias("id"), state.alias("state"), F.concat(F.lit("C"), pad(k, 8)).alias("doc"), F.concat(pad(k * 7 % 100, 2), pad(k % 12 + 1, 2), pad(k % 28 + 1, 2)).alias("birth"),
         F.concat(pad(k % 15 + 20, 2), pad(k % 12 + 1, 2), pad(k % 28 + 1, 2)).alias("expiry"), F.element_at(F.array(F.lit("M"), F.lit("F"), F.lit("<")), (k % 3 + 1).cast("int")).alias("sex"),
         F.rpad((k * 31).cast("string"), 14, "<").alias("opt"), F.translate(k.cast("string"), "0123456789", "ABCDEFGHIJ").alias("name"), ((k * 31) % 30 / 100 + 0.7).alias("score"),
