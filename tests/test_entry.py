@@ -40,3 +40,13 @@ def test_without_training_data_operators(tmp_path):
     shutil.copy(root / "__spark_entry__.py", tmp_path)
     code = "import __spark_entry__ as e; q = e.queries(); assert q and not any(n.startswith('op') for n in q); e.oracle_sql()"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={"PYTHONPATH": str(tmp_path), "PATH": "/usr/bin"})
+
+
+@pytest.mark.skipif(not Path(SMALL).is_dir(), reason="needs the test tables")
+def test_pages_are_computed_once(spark):
+    """No filter is inferred that would compute the zone's rows in the scan as well."""
+    from veridoc.sources import derived
+
+    pages = derived.passport_pages(spark, SMALL)
+    assert "Filter" not in pages._jdf.queryExecution().executedPlan().toString()
+    assert pages.count() == 10 * spark.read.parquet(f"{SMALL}/customer.parquet").count()

@@ -89,6 +89,7 @@ def vehicle_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def passport_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The forms with the rows of a damaged zone below."""
-    zone = damaged_rows(spark, sf_dir).select(F.col("id").alias("doc_id"), F.posexplode("lines").alias("i", "text"))
+    # outer: else a filter on the rows' number is inferred, for which the scan computes all rows once more
+    zone = damaged_rows(spark, sf_dir).select(F.col("id").alias("doc_id"), F.posexplode_outer("lines").alias("i", "text"))
     low = zone.select("doc_id", (F.col("i") + 8).alias("item_idx"), "text", *[F.lit(v).alias(n) if n[0] == "x" else (F.col("i") * 60.0 + v).alias(n) for n, v in (("x1", 10.0), ("y1", 900.0), ("x2", 900.0), ("y2", 930.0))], F.lit(0.9).alias("score"))
     return forms(spark, sf_dir).unionByName(low)
