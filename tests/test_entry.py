@@ -48,5 +48,5 @@ def test_pages_are_computed_once(spark):
     from veridoc.sources import derived
 
     pages = derived.passport_pages(spark, SMALL)
-    assert "Filter" not in pages._jdf.queryExecution().executedPlan().toString()
+    assert "Filter " not in pages._jdf.queryExecution().executedPlan().toString()
     assert pages.count() == 10 * spark.read.parquet(f"{SMALL}/customer.parquet").count()
