@@ -220,6 +220,25 @@ def test_token_file_words(monkeypatch, path, known, words):
         assert counts.tolist() == [len(w) for w in want] and ids.tolist() == sum(want, [])
 
 
+def test_token_file_parts(path):
+    """Words that differ in marks alone cost the library one call; every letter and mark that is cut without it is cut as it does."""
+    import random
+
+    encoder, rng = tokenfile.Library(path), random.Random(3)
+    encoder.encode(["tionnth tionnth, (tionnth). \"tionnth\" Tionnth?!", "tionnth's 'll a-b,"])
+    known = encoder.known.to_pylist()
+    assert len(set(known)) == len(known) and [w for w in known if "tionnth" in w] == ["tionnth", "tionnth's"] and "a-b," in known
+    ranges = re.findall(r"\\x\{(\w+)\}-\\x\{(\w+)\}", tokenfile.LETTERS)
+    letters = [chr(c) for a, b in ranges for c in range(int(a, 16), int(b, 16) + 1)]
+    assert len(letters) > 600
+    signs = [*tokenfile.MARKS, "'", "'s", "'ll", "a", "Z", "1", "\u00d7", "\u0301", "\u0482", "\u5b57", "\u00aa", "\u200d", "\u0130"]
+    texts = [" ".join(f"a{x}b, {x}. ({x}" for x in letters), " ".join(f"a{x}b {x} x{x} {x}x {x}{x}" for x in signs)]
+    texts += [" ".join("".join(rng.choice([*signs, "word", "\u00e9"]) for _ in range(rng.randrange(1, 7))) for _ in range(400)) for _ in range(20)]
+    ids, counts = encoder.encode(texts)
+    want = [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert counts.tolist() == [len(w) for w in want] and ids.tolist() == sum(want, [])
+
+
 @pytest.mark.parametrize("limit", [1, 3, 7, 1000])
 def test_token_file_slices(monkeypatch, limit):
     import pyarrow as pa
