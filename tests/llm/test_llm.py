@@ -287,6 +287,15 @@ def test_token_coder_blocks(block):
         assert (tokenfile.unpack(tokenfile.pack(np.array([1]), np.array([ids.size]), ids, block))[2] == ids).all()
 
 
+@pytest.mark.parametrize("steps", [1, 7, 100])
+def test_token_coder_steps(monkeypatch, steps):
+    """How many ids are prepared at once changes no byte of a frame."""
+    ids = np.random.default_rng(steps).zipf(1.2, 3000).clip(0, 65535).astype(np.uint32)
+    want = tokenfile.pack(np.array([1]), np.array([ids.size]), ids, 50)
+    monkeypatch.setattr(tokenfile, "STEPS", steps)
+    assert tokenfile.pack(np.array([1]), np.array([ids.size]), ids, 50) == want and (tokenfile.unpack(want)[2] == ids).all()
+
+
 def test_quality(spark, docs, empty):
     good = [(i, " ".join(f"plain{(i * 7 + k * k) % 50} words." for k in range(40)), 1) for i in range(300)]
     bad = [(i, " ".join(f"NOISE{k % 3}!!" for k in range(40)), 0) for i in range(300, 400)]

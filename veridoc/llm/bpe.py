@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from veridoc.llm.common import release, small_batches
 
 #: White space of the vocabulary's patterns: str.split() without U+001C to U+001F.
+ODD_SPACES = "\x1c\x1d\x1e\x1f"
 ODD_SPACE = re.compile("[\x1c-\x1f]")
 SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
 
@@ -152,22 +153,27 @@ def encode_bytes(text: str, v: Vocabulary, recent: Recent) -> bytes:
     return b"".join(map(ids, v.added_split(text)))
 
 
-def gathered(pool, first, sizes):
-    """The runs of ``pool`` that begin at ``first``, one after another, and where each begins and the last ends."""
+def runs(ids, sizes) -> pa.LargeBinaryArray:
+    """Runs of ids (numpy, u32), one after another, as an Arrow array of their bytes."""
     import numpy as np
 
-    ends = np.concatenate([[0], np.cumsum(sizes)])
-    place = np.int32 if max(ends[-1], pool.size) < 1 << 31 else np.int64
-    at = np.repeat((first - ends[:-1]).astype(place), sizes)
-    at += np.arange(ends[-1], dtype=place)
-    return pool[at], ends
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(4 * np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])), pa.py_buffer(ids)])
+
+
+def opened(found: pa.LargeBinaryArray):
+    """The ids of all runs, and where each run begins and the last ends."""
+    import numpy as np
+
+    ends = np.frombuffer(found.buffers()[1], np.int64, len(found) + 1, 8 * found.offset) // 4 if len(found) else np.zeros(1, np.int64)
+    ids = np.frombuffer(found.buffers()[2], np.uint32, ends[-1]) if ends[-1] else np.zeros(0, np.uint32)
+    return ids, ends
 
 
 def encode_texts(texts: list, of_words, whole):
     """Ids of all texts, one after another (numpy, u32), and each text's number of ids (int64).
 
     ``of_words`` encodes the distinct words of all texts together: an Arrow array of normalised
-    words gives a pool of ids, where in it each word's ids begin, and how many they are.
+    words gives their runs of ids.
     ``whole`` encodes the texts that may hold added tokens, odd white space, or characters that
     would be changed again if a normalised word were normalised anew.
     """
@@ -178,14 +184,12 @@ def encode_texts(texts: list, of_words, whole):
     for k, text in enumerate(texts):
         text = text or ""
         low = normal(text)
-        if "<|" in text or ODD_SPACE.search(text) or not (text.isascii() or unicodedata.is_normalized("NFC", low)):
+        if "<|" in text or any(c in text for c in ODD_SPACES) or not (text.isascii() or unicodedata.is_normalized("NFC", low)):
             apart[k], low = whole(text), ""
         plain.append(low)
     found = pc.utf8_split_whitespace(pa.array(plain, pa.string()))  # cuts where str.split() does
     coded = pc.dictionary_encode(found.values)
-    pool, first, sizes = of_words(coded.dictionary)
-    word = coded.indices.to_numpy()
-    ids, ends = gathered(pool, first[word], sizes[word])
+    ids, ends = opened(of_words(coded.dictionary).take(coded.indices))
     cuts = ends[found.offsets.to_numpy()]
     counts = np.diff(cuts)
     if apart:

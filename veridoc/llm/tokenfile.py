@@ -44,6 +44,7 @@ TOTAL, WORD = FREQ + MIX, 32
 FINE = 16 - MIX
 IDS = 1 << 16
 SETS = 16
+STEPS = 16  # of all lanes that are prepared at once when encoding
 SURE = (1 / 32, 1 / 8, 1 / 2)  # shares of an id's most frequent successor that part the levels of sureness
 U = np.uint64
 
@@ -90,7 +91,16 @@ class Start:
     def context(self, p: np.ndarray, before: np.ndarray) -> np.ndarray:
         """The weights' context.  p: the predictions of orders 2 and 1."""
         a, b = p
-        return self.sure.take(before) | (a == b).view(np.uint8) << np.uint8(2) | (a == 0).view(np.uint8) << np.uint8(3)
+        return self.sure.take(before, mode="clip") | (a == b).view(np.uint8) << np.uint8(2) | (a == 0).view(np.uint8) << np.uint8(3)
+
+
+def slots(before: np.ndarray, before2: np.ndarray) -> np.ndarray:
+    """Slots of the predictions after these ids (all uint16, products wrap)."""
+    found = before * np.uint16(40503)
+    found += before2 * np.uint16(30011)
+    found >>= np.uint16(4)
+    found &= np.uint16((1 << O2_BITS) - 1)
+    return found
 
 
 class Memory:
@@ -99,64 +109,45 @@ class Memory:
     def __init__(self, lanes: int):
         self.last, self.base = np.zeros(lanes << O2_BITS, np.uint16), np.arange(lanes) << O2_BITS
 
-    def places(self, before: np.ndarray, before2: np.ndarray) -> np.ndarray:
-        """Places of the predictions after these ids (int64)."""
-        return self.base + (((before * 40503 + before2 * 30011) >> 4) & ((1 << O2_BITS) - 1))
-
 
 class Mixer:
-    """Weights of all lanes, and the intervals that the mixed predictions give.  All intervals lie below 1 << TOTAL, so 32 bits do."""
+    """Weights of all lanes, and what share of 1 << TOTAL each prediction gets.  All intervals lie below 1 << TOTAL, so 32 bits do."""
 
     def __init__(self, start: Start, lanes: int):
-        self.start, self.at, self.lanes = start, np.arange(lanes), lanes
-        self.weights = np.repeat(start.weights.astype(np.int32), lanes, axis=1)
-
-    def mix(self, context: np.ndarray) -> None:
-        self.cell = context.astype(np.int64) * self.lanes + self.at
-        self.kept = self.weights.take(self.cell, axis=1)
-        share = self.kept >> FINE
-        self.rest = (1 << MIX) - (share[0] + share[1])  # order 0
-        self.part = share << FREQ
-
-    def plain(self, x: np.ndarray):
-        """What order 0 gives the ids: its mass below each, and at each."""
-        return self.rest * self.start.cum.take(x), self.rest * self.start.freq.take(x)
-
-    def interval(self, p: np.ndarray, x: np.ndarray):
-        """Where the ids' intervals begin, and their widths."""
-        begin, width = self.plain(x)
-        self.hit, below = self.part * (p == x), self.part * (p < x)
-        return begin + (below[0] + below[1]), width + (self.hit[0] + self.hit[1])
-
-    def find(self, p: np.ndarray, value: np.ndarray, inverse: np.ndarray, x: np.ndarray):
-        """The ids whose intervals hold ``value``, written to ``x``, where these begin, and their widths."""
-        (a, b), (u, v) = p, self.part
-        begin, width = self.plain(p)
-        same = a == b
-        width += self.part
-        width[0] += v * same
-        width[1] += u * same
-        begin[0] += v * (b < a)
-        begin[1] += u * (a < b)
-        past = value >= begin + width
-        inside = (value >= begin) > past
-        over = u * past[0] + v * past[1]  # predictions that lie below
-        np.take(inverse, ((value - over) / self.rest).astype(np.int32), out=x, mode="clip")
-        first, size = self.plain(x)
-        first += over
-        for k in range(2):
-            np.copyto(x, p[k], where=inside[k])
-            np.copyto(first, begin[k], where=inside[k])
-            np.copyto(size, width[k], where=inside[k])
-        self.hit = self.part * (p == x)
-        return first, size
-
-    def learn(self, width: np.ndarray) -> None:
-        """Each weight moves towards its part in the coded interval; order 0 keeps 1 in 64 at least.
+        self.start, self.base = start, np.arange(lanes) * SETS
+        self.weights = np.tile(start.weights.astype(np.int32), (1, lanes))
+
+    def mix(self, context: np.ndarray, part: np.ndarray, rest: np.ndarray) -> None:
+        """Writes the shares of orders 2 and 1, and how often the frame's frequencies count."""
+        self.cell = self.base + context
+        self.kept = self.weights.take(self.cell, axis=1, mode="clip")
+        np.right_shift(self.kept, FINE, out=part)
+        np.subtract(1 << MIX, part[0], out=rest)
+        rest -= part[1]
+        part <<= FREQ
+
+    def find(self, p: np.ndarray, part: np.ndarray, rest: np.ndarray, value: np.ndarray, inverse: np.ndarray, x: np.ndarray) -> None:
+        """The ids whose intervals hold ``value``, written to ``x``.
+
+        What orders 2 and 1 add stands where the interval of their id begins.  It is taken out of ``value``, first that of
+        order 2, and order 0 is left.
+        """
+        (a, b), (u, v) = p, part
+        first, second = rest * self.start.cum.take(p, mode="clip")
+        first += v * (b < a)
+        for begin, share in ((first, u), (second, v)):
+            np.subtract(value, begin, out=begin)
+            np.maximum(begin, 0, out=begin)
+            np.minimum(begin, share, out=begin)
+            value -= begin
+        np.take(inverse, (value / rest).astype(np.int32), out=x, mode="clip")
+
+    def learn(self, hit: np.ndarray, width: np.ndarray) -> None:
+        """Each weight moves towards its part (``hit``) in the coded interval; order 0 keeps 1 in 64 at least.
 
         Doubles hold these integers exactly, and IEEE division and product are the same everywhere.
         """
-        part = (self.hit * (float(63 << 10) / width)).astype(np.int32)
+        part = (hit * (float(63 << 10) / width)).astype(np.int32)
         part -= self.kept
         part >>= RATE
         part += self.kept
@@ -169,15 +160,15 @@ def predictions(start: Start, columns: np.ndarray):
     """Predictions (2, ids, lanes) and contexts of all ids.  columns: two ids 0, then the ids, a lane in each column."""
     n, lanes = columns.shape[0] - 2, columns.shape[1]
     m, found, context = Memory(lanes), np.empty((2, n, lanes), np.uint16), np.empty((n, lanes), np.uint8)
-    before = columns[1].astype(np.int64)
-    before2 = before
-    for t in range(n):
-        place = m.places(before, before2)
-        np.take(m.last, place, out=found[0, t], mode="clip")
-        m.last[place] = columns[t + 2]
-        np.take(start.follows, before, out=found[1, t], mode="clip")
-        context[t] = start.context(found[:, t], before)
-        before2, before = before, columns[t + 2].astype(np.int64)
+    for lo in range(0, n, STEPS):
+        hi = min(lo + STEPS, n)
+        before = columns[lo + 1 : hi + 1]
+        for t, slot in enumerate(slots(before, columns[lo:hi]), lo):
+            place = m.base + slot
+            np.take(m.last, place, out=found[0, t], mode="clip")
+            m.last[place] = columns[t + 2]
+        np.take(start.follows, before, out=found[1, lo:hi], mode="clip")
+        context[lo:hi] = start.context(found[:, lo:hi], before)
     return found, context
 
 
@@ -204,27 +195,38 @@ def encode_blocks(ids: np.ndarray, start: Start) -> list[np.ndarray]:
     out = np.zeros((lanes, n + 3), np.uint32)
     flat, fill = out.reshape(-1), np.arange(lanes) * out.shape[1]
     starts = fill.copy()
-    for t in range(n):
-        m.mix(context[t])
-        begin, width = m.interval(found[:, t], columns[t + 2])
-        share = size >> U(TOTAL)
-        part = share * begin.astype(U)
-        low += part
-        over = low < part
-        if over.any():  # a carry into the words already settled
-            to = fill[over] - 1
-            while to.size:
-                flat[to] += np.uint32(1)
-                to = to[flat[to] == 0] - 1
-        size = share * width.astype(U)
-        todo = np.flatnonzero(size < U(1 << WORD))
-        if todo.size:
-            a, to = low[todo], fill[todo]
-            flat[to] = a >> U(WORD)
-            fill[todo] = to + 1
-            low[todo] = a << U(WORD)
-            size[todo] <<= U(WORD)
-        m.learn(width)
+    parts, rests, widths = np.empty((STEPS, 2, lanes), np.int32), np.empty((STEPS, lanes), np.int32), np.empty((STEPS, lanes), np.int32)
+    for lo in range(0, n, STEPS):
+        x = columns[lo + 2 : min(lo + STEPS, n) + 2]
+        p = found[:, lo : lo + STEPS].swapaxes(0, 1)
+        right, freq = p == x[:, None], start.freq.take(x, mode="clip")
+        for t in range(len(x)):
+            m.mix(context[lo + t], parts[t], rests[t])
+            hit, width = parts[t] * right[t], widths[t]
+            np.multiply(rests[t], freq[t], out=width)
+            width += hit[0]
+            width += hit[1]
+            m.learn(hit, width)
+        below = parts[: len(x)] * (p < x[:, None])
+        begins = (rests[: len(x)] * start.cum.take(x, mode="clip") + below[:, 0] + below[:, 1]).astype(U)
+        for begin, width in zip(begins, widths.astype(U)):
+            size >>= U(TOTAL)
+            begin *= size
+            low += begin
+            over = low < begin
+            if over.any():  # a carry into the words already settled
+                to = fill[over] - 1
+                while to.size:
+                    flat[to] += np.uint32(1)
+                    to = to[flat[to] == 0] - 1
+            size *= width
+            todo = np.flatnonzero(size < U(1 << WORD))
+            if todo.size:
+                a, to = low[todo], fill[todo]
+                flat[to] = a >> U(WORD)
+                fill[todo] = to + 1
+                low[todo] = a << U(WORD)
+                size[todo] <<= U(WORD)
     flat[fill], flat[fill + 1] = low >> U(WORD), low & U((1 << WORD) - 1)
     return [flat[a:b] for a, b in zip(starts, fill + 2)]
 
@@ -239,28 +241,33 @@ def decode_blocks(codes: list[np.ndarray], n: int, start: Start) -> np.ndarray:
     size, code = np.full(lanes, (1 << 64) - 1, U), (flat[at] << U(WORD)) | flat[at + 1]  # code: what lies above low
     at += 2
     columns = np.zeros((n + 2, lanes), np.uint16)
-    before2 = before = np.zeros(lanes, np.int64)
     last = flat.size - 1
-    p = np.empty((2, lanes), np.uint16)
+    p, part, rest = np.empty((2, lanes), np.uint16), np.empty((2, lanes), np.int32), np.empty(lanes, np.int32)
     for t in range(n):
-        x = columns[t + 2]
-        place = memory.places(before, before2)
+        before, x = columns[t + 1], columns[t + 2]
+        place = memory.base + slots(before, columns[t])
         np.take(memory.last, place, out=p[0], mode="clip")
         np.take(start.follows, before, out=p[1], mode="clip")
-        m.mix(start.context(p, before))
-        share = size >> U(TOTAL)
-        begin, width = m.find(p, (code // share).astype(np.int32), inverse, x)
-        code -= share * begin.astype(U)
-        size = share * width.astype(U)
+        m.mix(start.context(p, before), part, rest)
+        size >>= U(TOTAL)
+        m.find(p, part, rest, (code // size).astype(np.int32), inverse, x)
+        below, hit = part * (p < x), part * (p == x)
+        begin = rest * start.cum.take(x, mode="clip")
+        begin += below[0]
+        begin += below[1]
+        width = rest * start.freq.take(x, mode="clip")
+        width += hit[0]
+        width += hit[1]
+        code -= size * begin.astype(U)
+        size *= width.astype(U)
         todo = np.flatnonzero(size < U(1 << WORD))
         if todo.size:
             to = at[todo]
             code[todo] = (code[todo] << U(WORD)) | flat[np.minimum(to, last)]
             size[todo] <<= U(WORD)
             at[todo] = to + 1
-        m.learn(width)
+        m.learn(hit, width)
         memory.last[place] = x
-        before2, before = before, x.astype(np.int64)
     return np.ascontiguousarray(columns[2:].T)
 
 
@@ -360,8 +367,7 @@ class Library:
         v = bpe.vocabulary(path)[0]
         self.piece = v.pattern
         self.ends = np.array([s.endswith(v.suffix) for s in v.strings])
-        self.known, self.pool = pa.array([], pa.string()), np.zeros(0, np.uint32)
-        self.first = self.sizes = np.zeros(0, np.int64)
+        self.known, self.runs = pa.array([], pa.string()), pa.array([], pa.large_binary())
 
     def whole(self, text: str, tokenizer=None) -> np.ndarray:
         return np.array((tokenizer or self.tokenizer).encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
@@ -386,7 +392,7 @@ class Library:
         return np.concatenate(found), np.concatenate(sizes)
 
     def parts(self, parts):
-        """A pool of ids, where in it each part's ids begin, and how many they are.
+        """The runs of ids of distinct parts.
 
         Parts of former slices are known; when these are more than KNOWN, those of this slice replace them.
         """
@@ -402,28 +408,22 @@ class Library:
             at[places] = len(self.known) + np.arange(places.size)
             some = parts.take(pa.array(places))
             pieces = np.ones(places.size, np.int64) if tokenizer is self.letters else pc.count_substring_regex(some, self.piece).to_numpy()
-            ids, sizes = self.fresh(some, tokenizer, pieces)
             self.known = pa.concat_arrays([self.known, some])
-            self.first = np.concatenate([self.first, self.pool.size + np.cumsum(sizes) - sizes])
-            self.sizes, self.pool = np.concatenate([self.sizes, sizes]), np.concatenate([self.pool, ids])
-        found = self.pool, self.first[at], self.sizes[at]
+            self.runs = pa.concat_arrays([self.runs, bpe.runs(*self.fresh(some, tokenizer, pieces))])
+        found = self.runs.take(pa.array(at))
         if len(self.known) > KNOWN:
-            self.known, (self.pool, ends), self.sizes = parts, bpe.gathered(*found), found[2]
-            self.first = ends[:-1]
+            self.known, self.runs = parts, found
         return found
 
     def words(self, words):
-        """A pool of ids, where in it each word's ids begin, and how many they are."""
+        """The runs of ids of distinct words."""
         import pyarrow.compute as pc
 
         from veridoc.llm import bpe
 
         coded = pc.dictionary_encode(parted(words))
-        pool, first, sizes = self.parts(coded.dictionary)
-        at = coded.indices.to_numpy()
-        pool, ends = bpe.gathered(pool, first[at], sizes[at])
-        ends = ends[::3]
-        return pool, ends[:-1], np.diff(ends)
+        ids, ends = bpe.opened(self.parts(coded.dictionary).take(coded.indices))
+        return bpe.runs(ids, np.diff(ends[::3]))
 
     def encode(self, texts: list):
         from veridoc.llm import bpe
