@@ -239,6 +239,18 @@ def test_token_file_parts(path):
     assert counts.tolist() == [len(w) for w in want] and ids.tolist() == sum(want, [])
 
 
+@pytest.mark.parametrize("portion", [1, 5, 1 << 16])
+def test_token_file_new_marks(monkeypatch, path, portion):
+    """Marks that Python reorders or composes across and the library, of an older Unicode, does not know."""
+    monkeypatch.setattr(bpe, "PORTION", portion)
+    encoder = tokenfile.Library(path)
+    assert encoder.strange("a\u0d3c") and not encoder.strange("e\u0301\u0323\u3099")
+    texts = ["x \u0301\u0d3c y", "a\u1df7\u0301", "\u0898\u0323\u0307", "e\u0301 \u00e9", "a <|endoftext|> b  'll <|endoftext|>c\x1cd \n e\u0301"]
+    want = [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    ids, counts = encoder.encode(texts)
+    assert counts.tolist() == [len(w) for w in want] and ids.tolist() == sum(want, [])
+
+
 @pytest.mark.parametrize("limit", [1, 3, 7, 1000])
 def test_token_file_slices(monkeypatch, limit):
     import pyarrow as pa

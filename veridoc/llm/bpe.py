@@ -153,6 +153,18 @@ def encode_bytes(text: str, v: Vocabulary, recent: Recent) -> bytes:
     return b"".join(map(ids, v.added_split(text)))
 
 
+def unknown_marks(normalize) -> frozenset:
+    """Characters that NFC moves or composes and the library's normaliser, of an older Unicode, leaves where they are."""
+    found = set()
+    for c in map(chr, range(0x110000)):
+        parts = unicodedata.decomposition(c).split()
+        pair = "".join(chr(int(x, 16)) for x in parts) if len(parts) == 2 and parts[0][0] != "<" else ""
+        for text in (["\u0345" + c] if unicodedata.combining(c) else []) + ([pair] if pair else []):
+            if normalize(text) != normal(text):
+                found.add(text[-1])
+    return frozenset(found)
+
+
 def runs(ids, sizes) -> pa.LargeBinaryArray:
     """Runs of ids (numpy, u32), one after another, as an Arrow array of their bytes."""
     import numpy as np
@@ -169,13 +181,14 @@ def opened(found: pa.LargeBinaryArray):
     return ids, ends
 
 
-def encode_texts(texts: list, of_words, whole):
+def encode_texts(texts: list, of_words, whole, strange):
     """Ids of all texts, one after another (numpy, u32), and each text's number of ids (int64).
 
     ``of_words`` encodes the distinct words of all texts together: an Arrow array of normalised
     words gives their runs of ids.
     ``whole`` encodes the texts that may hold added tokens, odd white space, or characters that
-    would be changed again if a normalised word were normalised anew.
+    would be changed again if a normalised word were normalised anew, and texts not in NFC that
+    ``strange`` says are put there in another way by the library.
     """
     import numpy as np
     import pyarrow.compute as pc
@@ -184,7 +197,7 @@ def encode_texts(texts: list, of_words, whole):
     for k, text in enumerate(texts):
         text = text or ""
         low = normal(text)
-        if "<|" in text or any(c in text for c in ODD_SPACES) or not (text.isascii() or unicodedata.is_normalized("NFC", low)):
+        if "<|" in text or any(c in text for c in ODD_SPACES) or not (text.isascii() or unicodedata.is_normalized("NFC", low) and (unicodedata.is_normalized("NFC", text) or not strange(text))):
             apart[k], low = whole(text), ""
         plain.append(low)
     found = pc.utf8_split_whitespace(pa.array(plain, pa.string()))  # cuts where str.split() does

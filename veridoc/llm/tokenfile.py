@@ -368,9 +368,21 @@ class Library:
         self.piece = v.pattern
         self.ends = np.array([s.endswith(v.suffix) for s in v.strings])
         self.known, self.runs = pa.array([], pa.string()), pa.array([], pa.large_binary())
+        self.marks = None
 
     def whole(self, text: str, tokenizer=None) -> np.ndarray:
-        return np.array((tokenizer or self.tokenizer).encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+        from veridoc.llm import bpe
+
+        encode = (tokenizer or self.tokenizer).encode_batch_fast
+        return np.concatenate([np.zeros(0, np.uint32), *[np.array(encode([part], add_special_tokens=False)[0].ids, np.uint32) for part in bpe.portions(text)]])
+
+    def strange(self, text: str) -> bool:
+        """Whether NFC may not be what the library makes of the text."""
+        from veridoc.llm import bpe
+
+        if self.marks is None:
+            self.marks = bpe.unknown_marks(self.tokenizer.normalizer.normalize_str)
+        return not self.marks.isdisjoint(text)
 
     def fresh(self, words, tokenizer, pieces: np.ndarray):
         """Ids of all words, which have so many pieces, and how many ids each has: the ids that end a piece tell."""
@@ -428,7 +440,7 @@ class Library:
     def encode(self, texts: list):
         from veridoc.llm import bpe
 
-        return bpe.encode_texts(texts, self.words, self.whole)
+        return bpe.encode_texts(texts, self.words, self.whole, self.strange)
 
 
 def library(path: str) -> Library:
