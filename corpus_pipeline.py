@@ -12,21 +12,36 @@ their own text, so rows of one id with different texts are different documents;
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veridoc.llm import bpe, decontaminate, ngram_join, pii, quality
-from veridoc.llm.common import small_side, stored, table
+from veridoc.llm.common import collect_garbage, small_side, stored, table
 from veridoc.llm.queries import word_bpe
 
 ORACLE_SQL = None
 
 
+def fresh(stage):
+    """Before the stage, the executors give back what the one before left."""
+
+    @functools.wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        collect_garbage(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
+@fresh
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
     return quality.keep_good(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
+@fresh
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of linked ones stays: that with the least id (then text hash), once.  Documents without an id or
     without words stay."""
@@ -44,16 +59,19 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return once.unionByName(back(repeated))
 
 
+@fresh
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Benchmark passages are cut out; a document of which nothing is left goes."""
     return decontaminate.cut_spans(docs, table(spark, sf_dir, "benchmark"))
 
 
+@fresh
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data gives way to its kind; no document goes."""
     return pii.redact(docs)
 
 
+@fresh
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Adds each document's token ids and the text decoded from them."""
     return bpe.encode(docs, word_bpe())

@@ -693,3 +693,30 @@ def test_pipeline_stages_on_awkward_rows(spark, docs, empty, path):
     assert last.count() == len(rows) and [r.token_ids for r in last.where("text is null").collect()] == [[], []]
     for stage in (corpus_pipeline.near_duplicates, corpus_pipeline.personal_data, corpus_pipeline.token_ids):
         assert stage(spark, empty, "").count() == 0
+
+
+def test_pipeline_gives_memory_back(spark, docs, monkeypatch):
+    """Between stages the JVMs collect their garbage, workers keep no tables, and the links are found and contracted in one worker."""
+    import corpus_pipeline
+    from veridoc.llm import common, components, textbytes
+
+    def full_collections():
+        beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+        return sum(b.getCollectionCount() for b in beans if "Young" not in b.getName())
+
+    for _, stage in corpus_pipeline.STAGES[3:]:
+        before = full_collections()
+        stage(spark, docs, "")
+        assert full_collections() > before
+    textbytes.powers(10)
+    common.release()
+    assert not textbytes._powers
+    plans = []
+
+    def stored(df, name):
+        plans.append((name, df._jdf.queryExecution().optimizedPlan().toString()))
+        return common.stored(df, name)
+
+    monkeypatch.setattr(components, "stored", stored)
+    ngram_join.similar_sets(docs)
+    assert plans[0][0] == "edges" and plans[0][1].split("RepartitionByExpression")[0].count("MapInArrow") == 1

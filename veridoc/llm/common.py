@@ -69,6 +69,13 @@ def ascii_lower(text: Column) -> Column:
     )
 
 
+def collect_garbage(spark: SparkSession) -> None:
+    """The same for the JVMs of the executors: a full collection shrinks a heap to what is in use, and frees direct buffers that only garbage holds.
+    A task for each core reaches every executor that is not busy."""
+    n = spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).select(F.expr("java_method('java.lang.System', 'gc')")).write.format("noop").mode("overwrite").save()
+
+
 def release() -> None:
     """Gives a worker's free memory back to the system, so that what one stage needed does not add to the next one's."""
     import ctypes
@@ -76,6 +83,9 @@ def release() -> None:
 
     import pyarrow as pa
 
+    from veridoc.llm import textbytes
+
+    textbytes.forget()
     gc.collect()
     pa.default_memory_pool().release_unused()
     try:

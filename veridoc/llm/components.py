@@ -59,9 +59,12 @@ def contract(batches):
         yield out(forest)
 
 
-def connected(edges: DataFrame) -> DataFrame:
-    """edges: u, v (bigint).  node, root: the least node of its component, for every node with an edge."""
-    e = stored(edges.select(F.col("u").cast("bigint").alias("u"), F.col("v").cast("bigint").alias("v")).where("u <> v").mapInArrow(contract, EDGES), "edges")
+def connected(edges: DataFrame, contracted: bool = False) -> DataFrame:
+    """edges: u, v (bigint).  node, root: the least node of its component, for every node with an edge.
+    ``contracted``: the edges come from ``contract`` already, so that no second Python worker runs behind the one that finds them."""
+    if not contracted:
+        edges = edges.select(F.col("u").cast("bigint").alias("u"), F.col("v").cast("bigint").alias("v")).where("u <> v").mapInArrow(contract, EDGES)
+    e = stored(edges, "edges")
     state = None
     while True:
         # Large star: every neighbour above the node moves to the least of them all.

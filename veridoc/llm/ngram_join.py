@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veridoc.llm.common import partitions, release, small_batches, stored
-from veridoc.llm.components import Forest, connected
+from veridoc.llm.components import EDGES, Forest, connected, contract
 from veridoc.llm.textbytes import MIX_LOWER, U, blend, buffers, running, slices, span, word_bounds
 
 N = 5
@@ -399,6 +399,7 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 ids.append(signed(set_id(own)) if own.size else None)
                 groups.append(signed(order.value.look(own)[1]) if own.size else None)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(n, pa.int64()), pa.array(ids, pa.int64()), pa.array(groups, pa.int64())], ["doc_id", "text_hash", "n", "s", "g"])
+        release()
 
     described = stored(texts.mapInArrow(describe, "doc_id bigint, text_hash bigint, n bigint, s bigint, g bigint"), "sets")
     classes = stored(described.where("s is not null and doc_id is not null").groupBy("s").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("g").alias("g")), "classes")
@@ -443,8 +444,8 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     later = F.filter(F.sequence(F.lit(0), F.col("chunks") - 1), lambda j: (F.col("kind") == 1) | (j > own_chunk))
     places = F.concat(F.when(F.col("kind") == 0, F.array(here)).otherwise(F.array().cast("array<struct<chunk:int,kind:int>>")), F.transform(later, lambda j: F.struct(j.alias("chunk"), F.lit(1).alias("kind"))))
     far = whole.join(routes, "g").withColumn("p", F.explode(places)).select("home", F.col("p.chunk").alias("chunk"), F.col("p.kind").alias("kind"), "s", "raw")
-    found = own.unionByName(far).repartition(partitions(spark), "home", "chunk").sortWithinPartitions("home", "chunk", "kind", "s").mapInArrow(open_groups, "u bigint, v bigint")
-    roots = connected(found)
+    found = own.unionByName(far).repartition(partitions(spark), "home", "chunk").sortWithinPartitions("home", "chunk", "kind", "s").mapInArrow(lambda batches: contract(open_groups(batches)), EDGES)
+    roots = connected(found, contracted=True)
     named = classes.select("s", "rep").join(roots, F.col("s") == F.col("node"), "left").select("s", "rep", F.coalesce("root", "s").alias("class_id"))
     least = named.groupBy("class_id").agg(F.min("rep").alias("root"))
     named = named.join(least, "class_id").select(F.col("s").alias("s_"), "class_id", "root")

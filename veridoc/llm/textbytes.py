@@ -18,12 +18,17 @@ _powers: dict[str, np.ndarray] = {}
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """PRIME**i and its inverse, modulo 2**64, for i below n."""
     if _powers.get("p", MIX[:0]).size < n:
-        size = max(1 << 21, n)
+        size = 1 << max(19, (n - 1).bit_length())
         _powers["p"] = np.cumprod(np.append(U(1), np.full(size - 1, PRIME, U)), dtype=U)
         _powers["q"] = np.cumprod(np.append(U(1), np.full(size - 1, pow(PRIME, -1, 1 << 64), U)), dtype=U)
     return _powers["p"], _powers["q"]
 
 
+def forget() -> None:
+    """Lets the powers go; who needs them makes them anew."""
+    _powers.clear()
+
+
 def blend(x: np.ndarray) -> np.ndarray:
     """A finalizer: spreads each value over all 64 bits, one to one."""
     x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
